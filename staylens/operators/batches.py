@@ -28,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staylens.operators.joins import join_small
+from staylens.session import keep
 
 TS = "snapshot_at"
 
@@ -38,20 +39,45 @@ def _gap_exceeded(later: Column, earlier: Column, gap_seconds: int) -> Column:
     return (later - earlier) > F.expr(f"INTERVAL '{int(gap_seconds)}' SECOND")
 
 
+# Up to this many distinct stamps, one ordered window (a single task per
+# scope) numbers them faster than the three-level form; the count is taken
+# on the cached distinct stamps before the plan is chosen.
+SINGLE_TASK_MAX_STAMPS = 2_000_000
+
+
 def batch_map(
     df: DataFrame,
     gap_seconds: int = 300,
     scope: Sequence[str] = (),
     ts: str = TS,
+    single_task_max: int | None = None,
 ) -> DataFrame:
     """One row per (scope, distinct time stamp) with Observation_Batch / Observation_At."""
     scope = list(scope)
-    stamps = (
-        df.where(F.col(ts).isNotNull())
-        .select(*scope, ts)
-        .distinct()
-        .withColumn("_day", F.to_date(ts))
-        .withColumn("_sec", F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
+    limit = SINGLE_TASK_MAX_STAMPS if single_task_max is None else single_task_max
+    distinct = keep(df.where(F.col(ts).isNotNull()).select(*scope, ts).distinct())
+    if distinct.count() <= limit:
+        return _single_window_map(distinct, gap_seconds, scope, ts)
+    return _bucketed_map(distinct, gap_seconds, scope, ts)
+
+
+def _single_window_map(stamps: DataFrame, gap_seconds: int, scope: list[str], ts: str) -> DataFrame:
+    """Size-checked small case: lag + running sum over the ordered stamps."""
+    w = Window.partitionBy(*scope).orderBy(ts)
+    prev = F.lag(ts).over(w)
+    starts = F.when(prev.isNull() | _gap_exceeded(F.col(ts), prev, gap_seconds), 1).otherwise(0)
+    numbered = stamps.withColumn("_start", starts).withColumn(
+        "Observation_Batch", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
+    )
+    # same partitioning (scope) satisfies (scope, batch): no further exchange
+    end = F.max(ts).over(Window.partitionBy(*scope, "Observation_Batch"))
+    return numbered.select(*scope, ts, "Observation_Batch", end.alias("Observation_At"))
+
+
+def _bucketed_map(distinct: DataFrame, gap_seconds: int, scope: list[str], ts: str) -> DataFrame:
+    """Large case: the three bounded levels described in the module docstring."""
+    stamps = distinct.withColumn("_day", F.to_date(ts)).withColumn(
+        "_sec", F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     )
 
     # Level 1: within one second of one day.
@@ -60,6 +86,9 @@ def batch_map(
     stamps = stamps.withColumn(
         "_flag", F.when(prev.isNotNull() & _gap_exceeded(F.col(ts), prev, gap_seconds), 1).otherwise(0)
     ).withColumn("_r1", F.sum("_flag").over(w1.rowsBetween(Window.unboundedPreceding, 0)))
+    # each level feeds two branches (its summary and the final join): cache it
+    # so the tree does not re-run it per branch
+    stamps = keep(stamps)
 
     seconds = stamps.groupBy(*scope, "_day", "_sec").agg(
         F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.sum("_flag").alias("_n")
@@ -74,6 +103,7 @@ def batch_map(
         "_off2",
         F.sum(F.col("_n") + F.col("_start")).over(w2.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"),
     )
+    seconds = keep(seconds)
     days = seconds.groupBy(*scope, "_day").agg(
         F.min("_lo").alias("_dlo"),
         F.max("_hi").alias("_dhi"),
@@ -98,6 +128,7 @@ def batch_map(
     numbered = join_small(stamps, offsets, on=[*scope, "_day", "_sec"], how="inner").select(
         *scope, ts, (F.col("_off") + F.col("_r1")).cast("bigint").alias("Observation_Batch")
     )
+    numbered = keep(numbered)
     ends = numbered.groupBy(*scope, "Observation_Batch").agg(F.max(ts).alias("Observation_At"))
     return join_small(numbered, ends, on=[*scope, "Observation_Batch"], how="inner").select(
         *scope, ts, "Observation_Batch", "Observation_At"

@@ -177,7 +177,9 @@ def build_engine(
     e = e.join(p, on="ProductID", how="left")
     if funnel is not None:
         e = e.join(funnel_rollup(funnel), on="ProductID", how="left")
-    e = cut_lineage(e).withColumns(
+    # one row per hotel from here on: write it once so the global maxima,
+    # the median and the rank below plan over a plain scan
+    e = cut_lineage(e, "engine_base").withColumns(
         {
             "Agoda Status": C.normalise_status("`Agoda Status`"),
             "Ctrip Status": C.normalise_status("`Ctrip Status`"),
@@ -208,7 +210,6 @@ def build_engine(
             ),
         }
     )
-    e = cut_lineage(e)
     e = global_row_number(
         e, [F.col("`Opportunity Index`").desc_nulls_last(), F.col("ProductID").asc()], "Commercial Rank"
     )

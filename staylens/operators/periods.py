@@ -8,7 +8,7 @@
 * baseline = the newest n batches of the source, n = batches in current.
 
 All decisions are taken on the batch maps (one row per distinct crawl
-stamp), which are checkpointed once; the resulting bounds are plain
+stamp), which are cached once; the resulting bounds are plain
 literals, so the row filters on the demand tables are pushed down to the
 Parquet scan.  Batch ids are consecutive in time order, so "newest n
 batches" is ``id > max_id - n`` and "batches in current" is
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from staylens.operators.batches import batch_map, with_batches
 from staylens.operators.joins import join_small
-from staylens.session import cut_lineage
+from staylens.session import cut_lineage, keep
 
 
 @dataclass
@@ -33,30 +33,39 @@ class Periods:
     current_start: object  # timestamp (Python) or None when latest is empty
     current_batches: int
     has_new: bool
+    cached: tuple = ()
+
+    def release(self) -> None:
+        """Drop the cached batch maps once the windows are materialised."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def _bounds(cur_map: DataFrame, prev_map: DataFrame | None):
+    """One aggregate job: newest latest stamp, first stamp absent from previous."""
     if prev_map is None:
         row = cur_map.agg(F.max("snapshot_at").alias("hi")).first()
         return None, row["hi"], False
-    joined = cur_map.select("snapshot_at").join(
-        prev_map.select("snapshot_at", F.lit(True).alias("_old")), on="snapshot_at", how="left"
+    joined = cur_map.select("snapshot_at", F.lit(True).alias("_new")).join(
+        prev_map.select("snapshot_at", F.lit(True).alias("_old")), on="snapshot_at", how="full_outer"
     )
     row = joined.agg(
-        F.max("snapshot_at").alias("hi"),
-        F.min(F.when(F.col("_old").isNull(), F.col("snapshot_at"))).alias("first_new"),
+        F.max(F.when(F.col("_new"), F.col("snapshot_at"))).alias("hi"),
+        F.min(F.when(F.col("_new") & F.col("_old").isNull(), F.col("snapshot_at"))).alias("first_new"),
+        F.count_if(F.col("_old")).alias("n_old"),
     ).first()
-    has_prev = prev_map.limit(1).count() > 0
+    has_prev = row["n_old"] > 0
     return (row["first_new"] if has_prev else None), row["hi"], has_prev
 
 
 def select_periods(latest: DataFrame, previous: DataFrame | None, gap_seconds: int = 300) -> Periods:
-    cur_map = cut_lineage(batch_map(latest, gap_seconds))
-    prev_map = cut_lineage(batch_map(previous, gap_seconds)) if previous is not None else None
+    # one row per distinct stamp; reused by every bound below and by the joins
+    cur_map = keep(batch_map(latest, gap_seconds))
+    prev_map = keep(batch_map(previous, gap_seconds)) if previous is not None else None
     first_new, latest_hi, _ = _bounds(cur_map, prev_map)
     if latest_hi is None:  # nothing with a time stamp
         empty = with_batches(latest, mapping=cur_map)
-        return Periods(empty, None, None, 0, False)
+        return Periods(empty, None, None, 0, False, (cur_map,))
 
     import datetime as _dt
 
@@ -65,26 +74,39 @@ def select_periods(latest: DataFrame, previous: DataFrame | None, gap_seconds: i
     current_start = first_new if has_new else day_start
 
     ts = F.col("snapshot_at")
-    cur_ids = cur_map.where(ts >= F.lit(current_start)).agg(
-        F.min("Observation_Batch").alias("lo"), F.max("Observation_Batch").alias("hi")
-    ).first()
-    n = 0 if cur_ids["lo"] is None else cur_ids["hi"] - cur_ids["lo"] + 1
-    current = with_batches(latest.where(ts >= F.lit(current_start)), mapping=cur_map.where(ts >= F.lit(current_start)))
+    # the windows are small time slices of the demand: write each once, so
+    # the summary, funnel and audit read them without re-joining the maps
+    current = cut_lineage(
+        with_batches(latest.where(ts >= F.lit(current_start)), mapping=cur_map.where(ts >= F.lit(current_start))),
+        "current_window",
+    )
 
     if has_new:
         source_rows, source_map = previous, prev_map
     else:
         source_rows = latest.where(ts < F.lit(day_start))
         source_map = cur_map.where(ts < F.lit(day_start))
-    src = source_map.agg(F.max("Observation_Batch").alias("newest")).first()
-    if n == 0 or src["newest"] is None:
-        return Periods(current, None, current_start, n, has_new)
+    # one job: batch range of the current window and newest batch of the source
+    ids = (
+        cur_map.where(ts >= F.lit(current_start))
+        .select(F.lit(True).alias("_cur"), "Observation_Batch")
+        .unionByName(source_map.select(F.lit(False).alias("_cur"), "Observation_Batch"))
+        .agg(
+            F.min(F.when(F.col("_cur"), F.col("Observation_Batch"))).alias("lo"),
+            F.max(F.when(F.col("_cur"), F.col("Observation_Batch"))).alias("hi"),
+            F.max(F.when(~F.col("_cur"), F.col("Observation_Batch"))).alias("newest"),
+        )
+        .first()
+    )
+    n = 0 if ids["lo"] is None else ids["hi"] - ids["lo"] + 1
+    if n == 0 or ids["newest"] is None:
+        return Periods(current, None, current_start, n, has_new, tuple(m for m in (cur_map, prev_map) if m is not None))
 
-    picked = source_map.where(F.col("Observation_Batch") > F.lit(src["newest"] - n))
+    picked = source_map.where(F.col("Observation_Batch") > F.lit(ids["newest"] - n))
     span = picked.agg(F.min("snapshot_at").alias("lo"), F.max("snapshot_at").alias("hi")).first()
     # batch ends among the kept stamps (matters when a batch straddles the cut day)
     ends = picked.groupBy("Observation_Batch").agg(F.max("snapshot_at").alias("Observation_At"))
     mapping = join_small(picked.drop("Observation_At"), ends, on="Observation_Batch", how="inner")
     rows = source_rows.where((ts >= F.lit(span["lo"])) & (ts <= F.lit(span["hi"])))
-    baseline = with_batches(rows, mapping=mapping)
-    return Periods(current, baseline, current_start, n, has_new)
+    baseline = cut_lineage(with_batches(rows, mapping=mapping), "baseline_window")
+    return Periods(current, baseline, current_start, n, has_new, tuple(m for m in (cur_map, prev_map) if m is not None))

@@ -19,8 +19,22 @@ from staylens.session import keep
 _LOW_BITS = (1 << 33) - 1
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """``df`` plus ``name`` = 1..n in ``order`` (which must be a total order)."""
+# Up to this many rows one ordered window (one task) is cheaper than the
+# sampled range sort; the row count is checked first.
+SINGLE_TASK_MAX_ROWS = 1_000_000
+
+
+def global_row_number(
+    df: DataFrame, order: Sequence[Column], name: str, single_task_max: int | None = None
+) -> DataFrame:
+    """``df`` plus ``name`` = 1..n in ``order`` (which must be a total order).
+
+    ``df`` should be cheap to scan twice (a written or cached table): its
+    size is counted before the plan is chosen.
+    """
+    limit = SINGLE_TASK_MAX_ROWS if single_task_max is None else single_task_max
+    if df.count() <= limit:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     tagged = keep(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned(F.col("_mid"), 33)
     counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

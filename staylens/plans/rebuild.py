@@ -45,8 +45,9 @@ def run(src: Sources, gap_seconds: int = 300) -> dict[str, DataFrame]:
     previous = clean.prepare_demand(src.previous) if src.previous is not None else None
     windows = P.select_periods(latest, previous, gap_seconds)
     history_hotels, history_destinations = facts.stored_history(latest, previous, gap_seconds)
-    # hotel-sized / hotel-date-sized tables reused downstream: cut lineage once
-    summary = cut_lineage(S.demand_summary(windows.current))
+    # published tables that the engine reads again: written once to the
+    # shared checkpoint folder, so the engine plans over two small scans
+    summary = cut_lineage(S.demand_summary(windows.current), "demand_summary")
     funnel = cut_lineage(
         FN.hotel_date_funnel(
             windows.current,
@@ -54,8 +55,10 @@ def run(src: Sources, gap_seconds: int = 300) -> dict[str, DataFrame]:
             feeds.bookings(src.bookings),
             feeds.internal_parity(src.internal_parity),
             feeds.ota_parity(src.ota_parity),
-        )
+        ),
+        "hotel_date_funnel",
     )
+    windows.release()
     engine = E.build_engine(summary, src.master, src.performance, funnel)
     return {
         "demand_summary": summary,
