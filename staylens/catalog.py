@@ -221,8 +221,8 @@ def q_scan_ota_parity(spark, sf_dir):
 
 # ---------------------------------------------------------------- F1-F3, A5, engine
 
-def _rebuild(spark, sf_dir, gap=300):
-    return rebuild.run(rebuild.driver_sources(spark, sf_dir), gap)
+def _rebuild(spark, sf_dir, gap=300) -> rebuild.Rebuild:
+    return rebuild.Rebuild(rebuild.driver_sources(spark, sf_dir), gap)
 
 
 @register(
@@ -231,7 +231,7 @@ def _rebuild(spark, sf_dir, gap=300):
 )
 def q_hotel_date_funnel(spark, sf_dir):
     """Current funnel with bookings, parity and coverage-normalised change."""
-    return _rebuild(spark, sf_dir)["hotel_date_funnel"]
+    return _rebuild(spark, sf_dir).funnel
 
 
 @register(
@@ -241,7 +241,7 @@ def q_hotel_date_funnel(spark, sf_dir):
 )
 def q_demand_summary(spark, sf_dir):
     """A5 + S1/S2: per-hotel demand summary of the current window."""
-    return _rebuild(spark, sf_dir)["demand_summary"]
+    return _rebuild(spark, sf_dir).summary
 
 
 ENGINE_SQL = O.with_ctes(*O.funnel_sql(300), O.SUMMARY, O.ENGINE)
@@ -250,4 +250,284 @@ ENGINE_SQL = O.with_ctes(*O.funnel_sql(300), O.SUMMARY, O.ENGINE)
 @register("engine", ENGINE_SQL + O.select_rounded(O.ENGINE_COLUMNS, O.ENGINE_DOUBLES, "engine"))
 def q_engine(spark, sf_dir):
     """Ranked hotels with one recommended action."""
-    return _rebuild(spark, sf_dir)["engine"].select(*[F.col(f"`{c}`") for c in O.ENGINE_COLUMNS])
+    return _rebuild(spark, sf_dir).engine.select(*[F.col(f"`{c}`") for c in O.ENGINE_COLUMNS])
+
+
+# ---------------------------------------------------------------- daily views (bulk form)
+
+from staylens.operators import views as V  # noqa: E402
+
+FULL = O.with_ctes(*O.full_chain(300))
+
+
+def _detail(r: rebuild.Rebuild) -> DataFrame:
+    return V.home_detail(r.funnel, r.engine)
+
+
+def _sel(cols, doubles, src):
+    return O.select_rounded(cols, set(doubles), src)
+
+
+HOME_DETAIL_COLS = FN.FUNNEL_COLUMNS + ["Region", "HotelType Short"]
+
+
+@register("home_detail", FULL + _sel(HOME_DETAIL_COLS, O.FUNNEL_DOUBLES, "detail"))
+def q_home_detail(spark, sf_dir):
+    """funnel rows with Region and hotel type (dated rows only)."""
+    return _detail(_rebuild(spark, sf_dir)).select(*[F.col(f"`{c}`") for c in HOME_DETAIL_COLS])
+
+
+@register("daily_market", FULL + _sel(["checkin_date", "Searches", "Views", "Hotels", "Demand Level"],
+                                      ["Searches", "Views"], "daily"))
+def q_daily_market(spark, sf_dir):
+    """A8 + W3: searches, views, hotels and demand level per check-in date."""
+    return V.daily_market(_detail(_rebuild(spark, sf_dir)))
+
+
+@register("destination_signal_daily",
+          FULL + ' SELECT checkin_date, Destination, "Destination Signal" FROM dsig')
+def q_destination_signal_daily(spark, sf_dir):
+    """Destination demand signal per check-in date."""
+    return V.destination_signal_daily(_detail(_rebuild(spark, sf_dir)))
+
+
+HSIG_COLS = ["checkin_date", "ProductID", "View Change %", "Hotel Signal", "Destination Signal", "Action"]
+
+
+@register("hotel_signal_daily", FULL + _sel(HSIG_COLS, ["View Change %"], "hsig"))
+def q_hotel_signal_daily(spark, sf_dir):
+    """W8 + W11: hotel signal and action flag per hotel and check-in date."""
+    return V.hotel_signal_daily(_detail(_rebuild(spark, sf_dir))).select(*[F.col(f"`{c}`") for c in HSIG_COLS])
+
+
+KPI_COLS = ["checkin_date", "Latest_Window_Searches", "Previous_Searches", "Search_Change", "Active_Hotels",
+            "Rising_Hotels", "Action_Hotels", "Total_Observed_Searches", "Total_Observed_Searches_Display",
+            "Demand Level", "Change_Pct", "Date_Signal"]
+KPI_SQL = FULL + """,
+k_dest AS (
+  SELECT checkin_date, coalesce(sum(DS), 0.0) AS Latest_Window_Searches, sum(PCDS) AS Previous_Searches,
+         sum(DSC) AS Search_Change FROM dest_days GROUP BY ALL
+),
+k_h AS (
+  SELECT checkin_date, count(DISTINCT ProductID) AS Active_Hotels,
+         count_if(coalesce(View_Change > 0, FALSE)) AS Rising_Hotels, count_if(Action) AS Action_Hotels
+  FROM hsig GROUP BY ALL
+),
+k_o AS (SELECT checkin_date, coalesce(sum(Total_Observed_Searches), 0.0) AS Total_Observed_Searches
+        FROM hist_d GROUP BY ALL),
+kp0 AS (
+  SELECT d.*, h.Active_Hotels, h.Rising_Hotels, h.Action_Hotels,
+         coalesce(o.Total_Observed_Searches, 0.0) AS Total_Observed_Searches,
+         CAST(floor(coalesce(o.Total_Observed_Searches, 0.0) + 0.5) AS BIGINT) AS Total_Observed_Searches_Display,
+         y."Demand Level",
+         CASE WHEN d.Previous_Searches <> 0 AND d.Search_Change IS NOT NULL
+              THEN d.Search_Change / d.Previous_Searches END AS Change_Pct
+  FROM k_dest d JOIN k_h h USING (checkin_date) LEFT JOIN k_o o USING (checkin_date)
+  LEFT JOIN daily y USING (checkin_date)
+),
+kpis AS (
+  SELECT *, CASE WHEN Change_Pct IS NULL THEN 'No baseline' WHEN Change_Pct >= 0.25 THEN 'Critical surge'
+                 WHEN Change_Pct >= 0.10 THEN 'High increase' WHEN Change_Pct <= -0.10 THEN 'Declining'
+                 ELSE 'Stable' END AS Date_Signal
+  FROM kp0
+)"""
+
+
+@register("daily_kpis", KPI_SQL + _sel(KPI_COLS, ["Latest_Window_Searches", "Previous_Searches", "Search_Change",
+                                                   "Total_Observed_Searches", "Change_Pct"], "kpis"))
+def q_daily_kpis(spark, sf_dir):
+    """F14 + W10 + W11: the daily KPI row for every check-in date."""
+    r = _rebuild(spark, sf_dir)
+    detail = _detail(r)
+    return V.daily_kpis(detail, r.history[1], V.daily_market(detail)).select(*[F.col(f"`{c}`") for c in KPI_COLS])
+
+
+HDAY_SQL = FULL + """,
+hd_s AS (SELECT checkin_date, sum(Total_Observed_Searches) AS Searches FROM hist_d GROUP BY ALL),
+hd_v AS (SELECT checkin_date, sum(Total_Observed_Views) AS Views, count(DISTINCT ProductID) AS Hotels
+         FROM hist_h GROUP BY ALL),
+hday0 AS (SELECT * FROM hd_s FULL OUTER JOIN hd_v USING (checkin_date)),
+hday_q AS (SELECT quantile_cont(Searches, [0.4, 0.75, 0.9]) AS q FROM hday0),
+hday AS (
+  SELECT hday0.*, CASE WHEN Searches >= q[3] THEN 'Very High' WHEN Searches >= q[2] THEN 'High'
+                       WHEN Searches >= q[1] THEN 'Medium' ELSE 'Low' END AS "Demand Level"
+  FROM hday0, hday_q
+)"""
+HDAY_COLS = ["checkin_date", "Searches", "Views", "Hotels", "Demand Level"]
+
+
+@register("history_daily", HDAY_SQL + _sel(HDAY_COLS, ["Searches", "Views"], "hday"))
+def q_history_daily(spark, sf_dir):
+    """A12 + W3: stored searches, views, hotels and level per check-in date."""
+    r = _rebuild(spark, sf_dir)
+    return V.history_daily(*r.history)
+
+
+@register("strongest_dates", HDAY_SQL + _sel(HDAY_COLS, ["Searches", "Views"],
+          "(SELECT * FROM hday ORDER BY Searches DESC NULLS LAST, checkin_date ASC LIMIT 5)"))
+def q_strongest_dates(spark, sf_dir):
+    """The five strongest stored check-in dates."""
+    r = _rebuild(spark, sf_dir)
+    return V.strongest_dates(V.history_daily(*r.history))
+
+
+MAP_SQL = FULL + """,
+coords AS (
+  SELECT n_name AS Destination, CAST(n_nationkey * 0.5 + 5.0 AS DOUBLE) AS Latitude,
+         CAST(n_regionkey * 2.0 + 98.0 AS DOUBLE) AS Longitude FROM nation
+),
+mp_v AS (SELECT checkin_date, Destination, sum(Total_Observed_Views) AS Views FROM hist_h GROUP BY ALL),
+mp0 AS (
+  SELECT checkin_date, Destination, coalesce(s.Total_Observed_Searches, 0.0) AS Searches,
+         coalesce(v.Views, 0.0) AS Views, c.Latitude, c.Longitude
+  FROM (SELECT checkin_date, Destination, Total_Observed_Searches FROM hist_d) s
+  FULL OUTER JOIN mp_v v USING (checkin_date, Destination)
+  JOIN coords c USING (Destination)
+),
+mp_q AS (
+  SELECT checkin_date, quantile_cont(CASE WHEN Searches > 0 THEN Searches END, [0.2, 0.5, 0.75, 0.9]) AS q
+  FROM mp0 GROUP BY ALL
+),
+mp AS (
+  SELECT m.*, CASE WHEN Searches >= coalesce(q[4], 0) THEN 'Very High' WHEN Searches >= coalesce(q[3], 0) THEN 'High'
+                   WHEN Searches >= coalesce(q[2], 0) THEN 'Medium' WHEN Searches >= coalesce(q[1], 0) THEN 'Low'
+                   ELSE 'Very Low' END AS "Demand Level"
+  FROM mp0 m LEFT JOIN mp_q USING (checkin_date)
+)"""
+MAP_COLS = ["checkin_date", "Destination", "Searches", "Views", "Latitude", "Longitude", "Demand Level"]
+
+
+@register("map_table", MAP_SQL + _sel(MAP_COLS, ["Searches", "Views", "Latitude", "Longitude"], "mp"))
+def q_map_table(spark, sf_dir):
+    """A13 + W5: mapped destination demand and level per check-in date."""
+    r = _rebuild(spark, sf_dir)
+    coords = T.destination_coordinates(spark, sf_dir)
+    return V.map_table(*r.history, coords).select(*MAP_COLS)
+
+
+WL_COLS = ["checkin_date", "Priority", "ProductID", "ProductName", "Region", "Destination", "Total_Observed_Views",
+           "View Change %", "View_Change", "Hotel Signal", "Destination Signal", "Demand Level",
+           "Why prioritized", "Work Priority"]
+WL_SQL = FULL + f""",
+wl_recent AS (
+  SELECT checkin_date, ProductID, "View Change %", View_Change, "Hotel Signal", "Destination Signal", Region
+  FROM hsig
+),
+wl0 AS (
+  SELECT h.*, r."View Change %", r.View_Change,
+         coalesce(r."Hotel Signal", 'No recent observation') AS "Hotel Signal",
+         coalesce(r."Destination Signal", 'No recent observation') AS "Destination Signal", r.Region
+  FROM hist_h h LEFT JOIN wl_recent r USING (checkin_date, ProductID)
+),
+wl1 AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY checkin_date ORDER BY Total_Observed_Views DESC NULLS LAST,
+             View_Change DESC NULLS LAST, ProductName ASC NULLS LAST, ProductID) AS Priority
+    FROM wl0) WHERE Priority <= 12
+),
+wl_q AS (SELECT checkin_date, quantile_cont(Total_Observed_Views, [0.5, 0.8]) AS q FROM hist_h GROUP BY ALL),
+wl2 AS (
+  SELECT w.*, q.q,
+    CASE WHEN Total_Observed_Views >= q[2] THEN 'Very High' WHEN Total_Observed_Views >= q[1] THEN 'High'
+         ELSE 'Medium' END AS "Demand Level"
+  FROM wl1 w LEFT JOIN wl_q q USING (checkin_date)
+),
+wl AS (
+  SELECT *,
+    CASE WHEN "Destination Signal" IN ('Critical surge', 'High increase') AND coalesce(View_Change > 0, FALSE)
+           THEN 'Destination rising + hotel views rising'
+         WHEN "Demand Level" = 'Very High' THEN 'High hotel views'
+         ELSE 'Hotel interest to monitor' END AS "Why prioritized",
+    CASE WHEN coalesce(Total_Observed_Views > 0 AND Total_Observed_Views >= q[2], FALSE)
+              AND coalesce(View_Change > 0, FALSE) THEN '{V.WORK_PRIORITY[0]}'
+         WHEN coalesce(Total_Observed_Views > 0 AND Total_Observed_Views >= q[2], FALSE) THEN '{V.WORK_PRIORITY[1]}'
+         WHEN coalesce(View_Change > 0, FALSE) THEN '{V.WORK_PRIORITY[2]}'
+         ELSE '{V.WORK_PRIORITY[3]}' END AS "Work Priority"
+  FROM wl2
+)"""
+
+
+@register("date_worklist", WL_SQL + _sel(WL_COLS, ["Total_Observed_Views", "View Change %", "View_Change"], "wl"))
+def q_date_worklist(spark, sf_dir):
+    """W14 + W4 + W12: the twelve hotels to check for every check-in date."""
+    r = _rebuild(spark, sf_dir)
+    return V.date_worklist(r.history[0], _detail(r)).select(*[F.col(f"`{c}`") for c in WL_COLS])
+
+
+ENG = O.with_ctes(*O.funnel_sql(300), O.SUMMARY, O.ENGINE)
+
+
+@register("portfolio_kpis", ENG + """ SELECT count(*) AS Hotels, count_if(Priority = 'Critical') AS Critical,
+  count_if(Priority = 'High') AS High, round(sum(Revenue), 9) + 0.0 AS Revenue,
+  round(round_even(avg("Opportunity Index") * 10, 0) / 10, 9) + 0.0 AS Avg_Opportunity FROM engine""")
+def q_portfolio_kpis(spark, sf_dir):
+    """Portfolio counters over the engine."""
+    return V.portfolio_kpis(_rebuild(spark, sf_dir).engine)
+
+
+@register("priority_counts", ENG + " SELECT Priority, count(*) AS count FROM engine GROUP BY ALL")
+def q_priority_counts(spark, sf_dir):
+    """Hotels per priority band."""
+    return V.priority_counts(_rebuild(spark, sf_dir).engine)
+
+
+@register("engine_validation", ENG + """ SELECT count(*) AS Rows, count(DISTINCT ProductID) AS Unique_ProductIDs,
+  count(*) = count(DISTINCT ProductID) AS No_Duplicates FROM engine""")
+def q_engine_validation(spark, sf_dir):
+    """Engine rows against distinct hotels."""
+    return V.engine_validation(_rebuild(spark, sf_dir).engine)
+
+
+V2_COLS = ["ProductID", "Revenue Score v2", "RN Score v2", "Mapping Score v2", "Business Score v2",
+           "Opportunity Score v2"]
+V2_SQL = ENG + """,
+v2a AS (SELECT max(Revenue) AS mr, max("B2B2C RN") AS mn FROM engine),
+v2b AS (
+  SELECT ProductID, Demand_Score,
+    round_even((CASE WHEN mr <> 0 THEN Revenue / mr END) * 100 * 100, 0) / 100 AS "Revenue Score v2",
+    round_even((CASE WHEN mn <> 0 THEN "B2B2C RN" / mn END) * 100 * 100, 0) / 100 AS "RN Score v2",
+    CAST((CASE WHEN "Agoda Status" = 'Mapped' THEN 50 ELSE 0 END)
+         + (CASE WHEN "Ctrip Status" = 'Mapped' THEN 50 ELSE 0 END) AS BIGINT) AS "Mapping Score v2"
+  FROM engine, v2a
+),
+v2c AS (
+  SELECT *, round_even(("Revenue Score v2" * 0.5 + "RN Score v2" * 0.3 + Demand_Score * 0.2) * 100, 0) / 100
+    AS "Business Score v2" FROM v2b
+),
+v2 AS (
+  SELECT *, round_even(("Business Score v2" * (100 - "Mapping Score v2") / 100) * 100, 0) / 100
+    AS "Opportunity Score v2" FROM v2c
+)"""
+
+
+@register("scores_v2", V2_SQL + _sel(V2_COLS, ["Revenue Score v2", "RN Score v2", "Business Score v2",
+                                               "Opportunity Score v2"], "v2"))
+def q_scores_v2(spark, sf_dir):
+    """The older score set."""
+    return E.scores_v2(_rebuild(spark, sf_dir).engine).select(*[F.col(f"`{c}`") for c in V2_COLS])
+
+
+@register("hotel_summary_text", ENG + f""" SELECT ProductID, concat_ws(' ',
+  CASE WHEN Priority = 'Critical' THEN '{E.SUMMARY_SENTENCES[0]}' END,
+  CASE WHEN Demand_Score > 70 THEN '{E.SUMMARY_SENTENCES[1]}' END,
+  CASE WHEN "Agoda Status" <> 'Mapped' THEN '{E.SUMMARY_SENTENCES[2]}' END,
+  CASE WHEN Revenue > 500000 THEN '{E.SUMMARY_SENTENCES[3]}' END,
+  'Recommended action: ' || Action || '.') AS Summary FROM engine""")
+def q_hotel_summary_text(spark, sf_dir):
+    """PRJ8: one text summary per hotel."""
+    e = _rebuild(spark, sf_dir).engine
+    return e.select("ProductID", E.hotel_summary_text(e).alias("Summary"))
+
+
+@register("hotel_master_view", O.with_ctes(O.ENGINE.split("roll AS (")[0].rstrip().rstrip(","), """
+p_raw AS (
+  SELECT ProductID, "Agoda Status", "Ctrip Status" FROM (
+    SELECT o_custkey AS ProductID, """ + O.AGODA_CASE + """ AS "Agoda Status", """ + O.CTRIP_CASE + """ AS "Ctrip Status",
+           row_number() OVER (PARTITION BY o_custkey ORDER BY (o_totalprice IS NULL) DESC, o_totalprice DESC,
+             ((o_orderkey % 40) IS NULL) DESC, o_orderkey % 40 DESC, o_orderkey DESC) AS rk
+    FROM orders) WHERE rk = 1
+)""") + """ SELECT m.ProductID, m.ProductName, m.Destination, m."HotelType Short", m.Region,
+  p."Agoda Status", p."Ctrip Status" FROM m1 m LEFT JOIN p_raw p USING (ProductID)""")
+def q_hotel_master_view(spark, sf_dir):
+    """D3: deduplicated master with partner statuses."""
+    return E.hotel_master_view(T.hotel_master(spark, sf_dir), T.hotel_performance(spark, sf_dir))

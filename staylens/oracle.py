@@ -543,3 +543,93 @@ ENGINE_DOUBLES = SUMMARY_DOUBLES | {
     "Search_to_Booking", "Revenue Score", "RN Score", "Agoda Score", "Ctrip Score",
     "Mapping Score", "Business Score", "Opportunity Index",
 }
+
+
+DETAIL = """
+detail AS (
+  SELECT f.*, e.Region, e."HotelType Short"
+  FROM funnel f LEFT JOIN (SELECT ProductID, Region, "HotelType Short" FROM engine) e USING (ProductID)
+  WHERE f.checkin_date IS NOT NULL
+),
+dest_days AS (
+  SELECT checkin_date, Destination, max(Destination_Searches) AS DS,
+         max(Previous_Destination_Searches) AS PDS,
+         max(Previous_Comparable_Destination_Searches) AS PCDS,
+         max(Destination_Search_Change) AS DSC
+  FROM detail GROUP BY ALL
+),
+dm_s AS (SELECT checkin_date, coalesce(sum(DS), 0.0) AS Searches FROM dest_days GROUP BY ALL),
+dm_h AS (
+  SELECT checkin_date, coalesce(sum(view_volume), 0.0) AS Views, count(DISTINCT ProductID) AS Hotels
+  FROM detail GROUP BY ALL
+),
+dm0 AS (SELECT * FROM dm_s FULL OUTER JOIN dm_h USING (checkin_date)),
+dm_q AS (SELECT quantile_cont(Searches, [0.4, 0.75, 0.9]) AS q FROM dm0),
+daily AS (
+  SELECT dm0.*, CASE WHEN Searches >= q[3] THEN 'Very High' WHEN Searches >= q[2] THEN 'High'
+                     WHEN Searches >= q[1] THEN 'Medium' ELSE 'Low' END AS "Demand Level"
+  FROM dm0, dm_q
+),
+dsig AS (
+  SELECT checkin_date, Destination,
+    CASE WHEN PDS IS NULL THEN 'New demand'
+         WHEN (CASE WHEN PCDS > 0 THEN DSC / PCDS END) >= 0.25 THEN 'Critical surge'
+         WHEN (CASE WHEN PCDS > 0 THEN DSC / PCDS END) >= 0.10 THEN 'High increase'
+         WHEN (CASE WHEN PCDS > 0 THEN DSC / PCDS END) <= -0.10 THEN 'Declining'
+         ELSE 'Stable' END AS "Destination Signal"
+  FROM dest_days
+),
+hq75 AS (SELECT checkin_date, quantile_cont(view_volume, 0.75) AS q75 FROM detail GROUP BY ALL),
+hsig0 AS (
+  SELECT d.*, CASE WHEN Previous_Comparable_Views > 0 THEN View_Change / Previous_Comparable_Views END
+           AS "View Change %"
+  FROM detail d
+),
+hsig AS (
+  SELECT h.*,
+    CASE WHEN h.Previous_Views IS NULL OR h.check_status = 'new entry' THEN 'New interest'
+         WHEN h."View Change %" >= 0.25 THEN 'Critical surge'
+         WHEN h."View Change %" >= 0.10 THEN 'High increase'
+         WHEN h."View Change %" <= -0.10 THEN 'Declining'
+         ELSE 'Stable' END AS "Hotel Signal",
+    s."Destination Signal",
+    coalesce(s."Destination Signal" IN ('Critical surge', 'High increase', 'New demand')
+      AND (coalesce(h.View_Change > 0, FALSE) OR coalesce(h.view_volume >= q.q75, FALSE)), FALSE) AS Action
+  FROM hsig0 h
+  LEFT JOIN dsig s ON h.checkin_date = s.checkin_date AND h.Destination IS NOT DISTINCT FROM s.Destination
+  LEFT JOIN hq75 q ON h.checkin_date = q.checkin_date
+)"""
+
+HISTORY_CTES = """
+hist_h AS (
+  SELECT ProductID, checkin_date, snapshot_at AS Last_Observed_At, hotness_score, trend_momentum,
+         search_volume, view_volume AS Total_Observed_Views, Interval_Count AS Historical_View_Intervals,
+         ProductName, Destination, check_status FROM hh
+),
+hist_d AS (
+  SELECT Destination, checkin_date, Destination_Search_Snapshot AS Last_Observed_At,
+         Destination_Searches AS Total_Observed_Searches, Destination_Intervals AS Historical_Search_Intervals
+  FROM hd
+)"""
+
+
+def history_sql(gap: int = 300) -> list[str]:
+    """CTEs hist_h / hist_d (A4) from the union of previous and latest."""
+    return [
+        """
+hist_union AS (SELECT *, 0 AS _src FROM previous UNION ALL SELECT *, 1 AS _src FROM latest),
+hist AS (
+  SELECT * EXCLUDE (_rn, _src) FROM (
+    SELECT *, row_number() OVER (PARTITION BY snapshot_at, checkin_date, ProductID
+                                 ORDER BY _src DESC, load_seq DESC, row_seq DESC) AS _rn
+    FROM hist_union) WHERE _rn = 1
+)""",
+        batched("hist", "hb", gap),
+        hotel_checkin("hb", "hh"),
+        destination_checkin("hb", "hd"),
+        HISTORY_CTES,
+    ]
+
+
+def full_chain(gap: int = 300) -> list[str]:
+    return [*funnel_sql(gap), SUMMARY, ENGINE, *history_sql(gap), DETAIL]
