@@ -531,3 +531,223 @@ p_raw AS (
 def q_hotel_master_view(spark, sf_dir):
     """D3: deduplicated master with partner statuses."""
     return E.hotel_master_view(T.hotel_master(spark, sf_dir), T.hotel_performance(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- weeks and trends (bulk form)
+
+from staylens.operators import weeks as W  # noqa: E402
+
+
+def _raw_latest(spark, sf_dir):
+    """PRJ3: the light load (no row dropped) used by the comparison views."""
+    return clean.load_demand(T.demand_latest(spark, sf_dir))
+
+
+RAW = [O.DEMAND_ROWS, O.LATEST]
+WK_OPTS = """
+wk_opts AS (
+  SELECT DISTINCT CAST(date_trunc('week', snapshot_at) AS DATE) AS week_start
+  FROM latest_raw WHERE snapshot_at IS NOT NULL
+)"""
+
+
+@register("week_options", O.with_ctes(*RAW, WK_OPTS) + """ SELECT week_start,
+  CAST(isoyear(week_start) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(week_start) AS VARCHAR), 2, '0')
+  || ' (' || strftime(week_start, '%d %b') || '–' || strftime(week_start + 6, '%d %b') || ')' AS label
+  FROM wk_opts""")
+def q_week_options(spark, sf_dir):
+    """ISO snapshot weeks with labels."""
+    return W.week_options(_raw_latest(spark, sf_dir))
+
+
+@register("snapshot_freshness", O.with_ctes(*RAW) + """ SELECT CAST(date_trunc('week', snapshot_at) AS DATE)
+  AS week_start, max(snapshot_at) AS Latest_Snapshot, count(*) AS Rows FROM latest_raw
+  WHERE snapshot_at IS NOT NULL GROUP BY ALL""")
+def q_snapshot_freshness(spark, sf_dir):
+    """F16: newest snapshot per ISO snapshot week."""
+    return W.snapshot_freshness(_raw_latest(spark, sf_dir))
+
+
+SW_COLS = [
+    "week_start", "ProductID", "checkin_date", "view_volume", "Interval_Count", "hotness_score", "trend_momentum",
+    "ProductName", "Destination", "snapshot_at", "check_status", "Previous_Views", "Previous_View_Intervals",
+    "Comparable_View_Intervals", "Comparable_Views", "Previous_Comparable_Views", "View_Change",
+    "Destination_Searches", "Destination_Search_Snapshot", "Destination_Intervals", "Previous_Destination_Searches",
+    "Previous_Destination_Intervals", "Comparable_Destination_Intervals", "Comparable_Destination_Searches",
+    "Previous_Comparable_Destination_Searches", "Previous_Destination_Search_Snapshot", "Destination_Search_Change",
+    "Upload_Change_Status",
+]
+SW_DOUBLES = ["view_volume", "hotness_score", "trend_momentum", "Previous_Views", "Comparable_Views",
+              "Previous_Comparable_Views", "View_Change", "Destination_Searches", "Previous_Destination_Searches",
+              "Comparable_Destination_Searches", "Previous_Comparable_Destination_Searches",
+              "Destination_Search_Change"]
+SW_SQL = O.with_ctes(*RAW, WK_OPTS, """
+sw_rows AS (
+  SELECT * REPLACE (coalesce(view_volume, 0.0) AS view_volume,
+                    coalesce(lower(trim(check_status)), 'unknown') AS check_status)
+  FROM latest_raw WHERE snapshot_at IS NOT NULL AND checkin_date IS NOT NULL
+),
+sw_rel AS (
+  SELECT r.*, w.week_start,
+         CASE WHEN r.snapshot_at >= w.week_start THEN 'latest' ELSE 'previous' END AS period
+  FROM sw_rows r JOIN wk_opts w
+    ON r.snapshot_at >= w.week_start - INTERVAL 7 DAY AND r.snapshot_at < w.week_start + INTERVAL 7 DAY
+)""", O.batched("sw_rel", "swb", 300, scope="week_start"),
+    O.keep_last("swb", "sw_iv", "week_start, period, Observation_Batch, ProductID, checkin_date",
+                where="ProductID IS NOT NULL"), """
+sw_l AS (
+  SELECT week_start, ProductID, checkin_date, coalesce(sum(view_volume), 0.0) AS view_volume,
+         count(*) AS Interval_Count, avg(hotness_score) AS hotness_score, avg(trend_momentum) AS trend_momentum,
+         arg_max_null(ProductName, snapshot_at) AS ProductName, arg_max_null(Destination, snapshot_at) AS Destination,
+         max(snapshot_at) AS snapshot_at, arg_max_null(check_status, snapshot_at) AS check_status
+  FROM sw_iv WHERE period = 'latest' GROUP BY ALL
+),
+sw_p AS (
+  SELECT week_start, ProductID, checkin_date, coalesce(sum(view_volume), 0.0) AS Previous_Views,
+         count(*) AS Previous_View_Intervals
+  FROM sw_iv WHERE period = 'previous' GROUP BY ALL
+),
+sw_h AS (
+  SELECT l.*, p.Previous_Views, p.Previous_View_Intervals,
+         CASE WHEN p.Previous_View_Intervals IS NOT NULL THEN least(l.Interval_Count, p.Previous_View_Intervals) END
+           AS Comparable_View_Intervals
+  FROM sw_l l LEFT JOIN sw_p p USING (week_start, ProductID, checkin_date)
+),
+sw_h2 AS (
+  SELECT *, view_volume / Interval_Count * Comparable_View_Intervals AS Comparable_Views,
+         Previous_Views / Previous_View_Intervals * Comparable_View_Intervals AS Previous_Comparable_Views
+  FROM sw_h
+),
+sw_di AS (
+  SELECT week_start, period, Observation_Batch, Destination, checkin_date,
+         median(search_volume) AS search_volume, max(snapshot_at) AS snapshot_at
+  FROM swb WHERE Destination IS NOT NULL GROUP BY ALL
+),
+sw_dl AS (
+  SELECT week_start, Destination, checkin_date, coalesce(sum(search_volume), 0.0) AS Destination_Searches,
+         max(snapshot_at) AS Destination_Search_Snapshot, count(*) AS Destination_Intervals
+  FROM sw_di WHERE period = 'latest' GROUP BY ALL
+),
+sw_dp AS (
+  SELECT week_start, Destination, checkin_date, coalesce(sum(search_volume), 0.0) AS Previous_Destination_Searches,
+         count(*) AS Previous_Destination_Intervals
+  FROM sw_di WHERE period = 'previous' GROUP BY ALL
+),
+sw_d AS (
+  SELECT l.*, p.Previous_Destination_Searches, p.Previous_Destination_Intervals,
+         CASE WHEN p.Previous_Destination_Intervals IS NOT NULL
+              THEN least(l.Destination_Intervals, p.Previous_Destination_Intervals) END
+           AS Comparable_Destination_Intervals,
+         CAST(l.week_start AS TIMESTAMP) - INTERVAL 1 SECOND AS Previous_Destination_Search_Snapshot
+  FROM sw_dl l LEFT JOIN sw_dp p USING (week_start, Destination, checkin_date)
+),
+sw_d2 AS (
+  SELECT *, Destination_Searches / Destination_Intervals * Comparable_Destination_Intervals
+              AS Comparable_Destination_Searches,
+         Previous_Destination_Searches / Previous_Destination_Intervals * Comparable_Destination_Intervals
+              AS Previous_Comparable_Destination_Searches
+  FROM sw_d
+),
+sw AS (
+  SELECT h.*, h.Comparable_Views - h.Previous_Comparable_Views AS View_Change,
+         d.Destination_Searches, d.Destination_Search_Snapshot, d.Destination_Intervals,
+         d.Previous_Destination_Searches, d.Previous_Destination_Intervals, d.Comparable_Destination_Intervals,
+         d.Comparable_Destination_Searches, d.Previous_Comparable_Destination_Searches,
+         d.Previous_Destination_Search_Snapshot,
+         d.Comparable_Destination_Searches - d.Previous_Comparable_Destination_Searches AS Destination_Search_Change,
+         CASE WHEN h.Previous_Views IS NULL THEN 'New'
+              WHEN h.Comparable_Views - h.Previous_Comparable_Views > 0 THEN 'Increase'
+              WHEN h.Comparable_Views - h.Previous_Comparable_Views < 0 THEN 'Decrease'
+              ELSE 'No change' END AS Upload_Change_Status
+  FROM sw_h2 h LEFT JOIN sw_d2 d
+    ON h.week_start = d.week_start AND h.Destination = d.Destination AND h.checkin_date = d.checkin_date
+)""")
+
+
+@register("snapshot_week", SW_SQL + _sel(SW_COLS, SW_DOUBLES, "sw"))
+def q_snapshot_week(spark, sf_dir):
+    """every ISO snapshot week against the previous week."""
+    return W.snapshot_week(_raw_latest(spark, sf_dir), 300).select(*SW_COLS)
+
+
+FULL_HIST = [f"""
+fh_rows AS (
+  SELECT * REPLACE (coalesce(view_volume, 0.0) AS view_volume) FROM latest_raw
+  WHERE snapshot_at IS NOT NULL AND checkin_date IS NOT NULL AND ProductID IS NOT NULL AND Destination IS NOT NULL
+)""", O.batched("fh_rows", "fhb", 300), O.hotel_checkin("fhb", "fhh"), """
+fhd_pb AS (
+  SELECT Observation_Batch, Destination, checkin_date, median(search_volume) AS s, max(snapshot_at) AS t
+  FROM fhb GROUP BY ALL
+),
+fhd AS (
+  SELECT Destination, checkin_date, coalesce(sum(s), 0.0) AS Destination_Searches,
+         max(t) AS Destination_Search_Snapshot, count(*) AS Destination_Intervals
+  FROM fhd_pb GROUP BY ALL
+),
+full_hist AS (
+  SELECT h.* EXCLUDE (search_volume), d.Destination_Searches, d.Destination_Search_Snapshot, d.Destination_Intervals
+  FROM fhh h LEFT JOIN fhd d USING (Destination, checkin_date)
+)"""]
+FH_COLS = ["ProductID", "checkin_date", "snapshot_at", "hotness_score", "trend_momentum", "view_volume",
+           "Interval_Count", "ProductName", "Destination", "check_status", "Destination_Searches",
+           "Destination_Search_Snapshot", "Destination_Intervals"]
+
+
+@register("full_history_funnel", O.with_ctes(*RAW, *FULL_HIST)
+          + _sel(FH_COLS, ["hotness_score", "trend_momentum", "view_volume", "Destination_Searches"], "full_hist"))
+def q_full_history_funnel(spark, sf_dir):
+    """A10: hotel x check-in facts over every stored row, with destination searches."""
+    return facts.full_history_funnel(_raw_latest(spark, sf_dir), 300).select(*FH_COLS)
+
+
+@register("checkin_date_trend", O.with_ctes(*RAW, """
+t_rows AS (
+  SELECT * REPLACE (coalesce(view_volume, 0.0) AS view_volume) FROM latest_raw
+  WHERE snapshot_at IS NOT NULL AND checkin_date IS NOT NULL AND Destination IS NOT NULL
+)""", O.batched("t_rows", "tb", 300), O.destination_checkin("tb", "td"),
+    O.keep_last("tb", "t_iv", "Observation_Batch, ProductID, checkin_date", where="ProductID IS NOT NULL"), """
+t_v AS (SELECT Destination, checkin_date, coalesce(sum(view_volume), 0.0) AS Views FROM t_iv GROUP BY ALL),
+trend AS (
+  SELECT * FROM (SELECT Destination, checkin_date, Destination_Searches AS Searches FROM td)
+  FULL OUTER JOIN t_v USING (Destination, checkin_date)
+)""") + _sel(["Destination", "checkin_date", "Searches", "Views"], ["Searches", "Views"], "trend"))
+def q_checkin_date_trend(spark, sf_dir):
+    """Destination x check-in searches and views over all stored rows."""
+    return facts.checkin_date_trend(_raw_latest(spark, sf_dir), 300)
+
+
+@register("hotel_trend", O.with_ctes(*RAW, O.batched("latest_raw", "ab", 300), """
+a_rows AS (
+  SELECT * REPLACE (coalesce(view_volume, 0.0) AS view_volume, coalesce(search_volume, 0.0) AS search_volume)
+  FROM ab WHERE checkin_date IS NOT NULL
+),""".rstrip(","), O.keep_last("a_rows", "a_iv", "Observation_Batch, ProductID, checkin_date",
+                               where="ProductID IS NOT NULL"), """
+a_views AS (SELECT ProductID, checkin_date, coalesce(sum(view_volume), 0.0) AS "Hotel Views"
+            FROM a_iv GROUP BY ALL),
+a_home AS (
+  SELECT ProductID, arg_max(Destination, load_seq * 1000000000000 + row_seq) AS Destination
+  FROM a_rows WHERE ProductID IS NOT NULL AND Destination IS NOT NULL GROUP BY ALL
+),
+a_ds AS (
+  SELECT Destination, checkin_date, sum(s) AS "Destination Searches" FROM (
+    SELECT Observation_Batch, Destination, checkin_date, median(search_volume) AS s
+    FROM a_rows WHERE Destination IS NOT NULL GROUP BY ALL) GROUP BY ALL
+),
+a_hd AS (SELECT h.ProductID, d.checkin_date, d."Destination Searches" FROM a_home h JOIN a_ds d USING (Destination)),
+a_trend AS (SELECT * FROM a_hd FULL OUTER JOIN a_views USING (ProductID, checkin_date))""")
+    + _sel(["ProductID", "checkin_date", "Destination Searches", "Hotel Views"],
+           ["Destination Searches", "Hotel Views"], "a_trend"))
+def q_hotel_trend(spark, sf_dir):
+    """A11 (bulk): every hotel's views and its destination's searches per check-in date."""
+    return facts.hotel_trend(_raw_latest(spark, sf_dir), 300)
+
+
+@register("daily_history_trend", O.with_ctes(*O.funnel_sql(300)[:3], *O.history_sql(300)) + """ SELECT
+  checkin_date, round(s.Searches, 9) + 0.0 AS Searches, round(v.Views, 9) + 0.0 AS Views FROM
+  (SELECT checkin_date, sum(Total_Observed_Searches) AS Searches FROM hist_d GROUP BY ALL) s
+  FULL OUTER JOIN (SELECT checkin_date, sum(Total_Observed_Views) AS Views FROM hist_h GROUP BY ALL) v
+  USING (checkin_date)""")
+def q_daily_history_trend(spark, sf_dir):
+    """Stored searches and views per check-in date."""
+    hotels, destinations = facts.stored_history(latest(spark, sf_dir), previous(spark, sf_dir))
+    return facts.daily_history_trend(hotels, destinations)
