@@ -116,6 +116,7 @@ from staylens.operators import funnel as FN  # noqa: E402
 from staylens.operators import periods as P  # noqa: E402
 from staylens.operators import summary as S  # noqa: E402
 from staylens.plans import rebuild  # noqa: E402
+from staylens.session import cut_lineage  # noqa: E402
 from staylens.sources import feeds  # noqa: E402
 
 WINDOW_COLS = ["period", "snapshot_at", "ProductID", "checkin_date", "load_seq", "row_seq"]
@@ -751,3 +752,205 @@ def q_daily_history_trend(spark, sf_dir):
     """Stored searches and views per check-in date."""
     hotels, destinations = facts.stored_history(latest(spark, sf_dir), previous(spark, sf_dir))
     return facts.daily_history_trend(hotels, destinations)
+
+
+# ---------------------------------------------------------------- check-in weeks (bulk form)
+
+def _checkin_detail(spark, sf_dir):
+    r = _rebuild(spark, sf_dir)
+    detail = W.checkin_detail(facts.full_history_funnel(_raw_latest(spark, sf_dir), 300), r.engine)
+    # read by several branches (destinations, hotels, daily): written once
+    return cut_lineage(detail, "checkin_detail")
+
+
+def _order_case(col: str, table: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in table.items()) + " ELSE 0 END"
+
+
+def _signal_case(pct: str) -> str:
+    return (f"CASE WHEN {pct} >= 0.25 THEN 'Critical surge' WHEN {pct} >= 0.10 THEN 'High increase' "
+            f"WHEN {pct} <= -0.10 THEN 'Declining' ELSE 'Stable' END")
+
+
+CI_SQL = O.with_ctes(*O.full_chain(300), *FULL_HIST, f"""
+ci_detail AS (
+  SELECT f.* REPLACE (coalesce(f.Destination_Searches, 0.0) AS Destination_Searches), e.Region, e."HotelType Short"
+  FROM full_hist f JOIN (SELECT ProductID, Region, "HotelType Short" FROM engine) e USING (ProductID)
+  WHERE f.checkin_date IS NOT NULL
+),
+ci_weeks AS (SELECT DISTINCT CAST(date_trunc('week', checkin_date) AS DATE) AS week_start FROM ci_detail),
+ci_rel AS (
+  SELECT d.*, w.week_start, CASE WHEN d.checkin_date >= w.week_start THEN 'current' ELSE 'previous' END AS period
+  FROM ci_detail d JOIN ci_weeks w
+    ON d.checkin_date >= w.week_start - INTERVAL 7 DAY AND d.checkin_date < w.week_start + INTERVAL 7 DAY
+),
+ci_dd AS (
+  SELECT week_start, period, Destination, checkin_date, max(Destination_Searches) AS s
+  FROM ci_rel WHERE Destination IS NOT NULL GROUP BY ALL
+),
+ci_dc AS (SELECT week_start, Destination, sum(s) AS Current_Searches FROM ci_dd WHERE period = 'current' GROUP BY ALL),
+ci_dp AS (SELECT week_start, Destination, sum(s) AS Previous_Searches FROM ci_dd WHERE period = 'previous' GROUP BY ALL),
+ci_dest0 AS (
+  SELECT week_start, Destination, coalesce(Current_Searches, 0.0) AS Current_Searches,
+         coalesce(Previous_Searches, 0.0) AS Previous_Searches
+  FROM ci_dc FULL OUTER JOIN ci_dp USING (week_start, Destination)
+),
+ci_dest AS (
+  SELECT *, Current_Searches - Previous_Searches AS Search_Change,
+         CASE WHEN Previous_Searches > 0 THEN (Current_Searches - Previous_Searches) / Previous_Searches END
+           AS Change_Pct
+  FROM ci_dest0
+),
+ci_hc AS (
+  SELECT week_start, ProductID,
+         arg_max(ProductName, checkin_date) FILTER (WHERE ProductName IS NOT NULL) AS ProductName,
+         arg_max(Destination, checkin_date) FILTER (WHERE Destination IS NOT NULL) AS Destination,
+         coalesce(sum(view_volume), 0.0) AS Current_Views, count(DISTINCT checkin_date) AS CheckIn_Days,
+         max(Region) AS Region
+  FROM ci_rel WHERE period = 'current' GROUP BY ALL
+),
+ci_hp AS (
+  SELECT week_start, ProductID, coalesce(sum(view_volume), 0.0) AS Previous_Views
+  FROM ci_rel WHERE period = 'previous' GROUP BY ALL
+),
+ci_h0 AS (
+  SELECT c.*, p.Previous_Views, c.Current_Views - p.Previous_Views AS View_Change,
+         CASE WHEN p.Previous_Views > 0 THEN (c.Current_Views - p.Previous_Views) / p.Previous_Views END
+           AS View_Change_Pct
+  FROM ci_hc c LEFT JOIN ci_hp p USING (week_start, ProductID)
+),
+ci_h1 AS (
+  SELECT h.*, d.Current_Searches, d.Previous_Searches, d.Search_Change, d.Change_Pct
+  FROM ci_h0 h LEFT JOIN ci_dest d ON h.week_start = d.week_start AND h.Destination = d.Destination
+),
+ci_h2 AS (
+  SELECT *,
+    CASE WHEN coalesce(Previous_Searches = 0 AND Current_Searches > 0, FALSE) THEN 'New demand'
+         ELSE {_signal_case('Change_Pct')} END AS "Destination Signal",
+    CASE WHEN Previous_Views IS NULL THEN 'New interest' ELSE {_signal_case('View_Change_Pct')} END AS "Hotel Signal"
+  FROM ci_h1
+),
+ci_hq AS (SELECT week_start, quantile_cont(Current_Views, [0.75, 0.8]) AS q FROM ci_h2 GROUP BY ALL),
+ci_hotels AS (
+  SELECT h.* ,
+    coalesce("Destination Signal" IN ('Critical surge', 'High increase', 'New demand')
+      AND (coalesce(View_Change > 0, FALSE) OR coalesce(Current_Views >= q[1], FALSE)), FALSE) AS Action,
+    CASE WHEN coalesce(Current_Views > 0 AND Current_Views >= q[2], FALSE) AND coalesce(View_Change > 0, FALSE)
+           THEN '{V.WORK_PRIORITY[0]}'
+         WHEN coalesce(Current_Views > 0 AND Current_Views >= q[2], FALSE) THEN '{V.WORK_PRIORITY[1]}'
+         WHEN coalesce(View_Change > 0, FALSE) THEN '{V.WORK_PRIORITY[2]}'
+         ELSE '{V.WORK_PRIORITY[3]}' END AS "Work Priority",
+    row_number() OVER (PARTITION BY week_start ORDER BY (Current_Views > 0) DESC, Current_Views DESC NULLS LAST,
+      {_order_case('"Hotel Signal"', W.HOTEL_SIGNAL_ORDER)} DESC,
+      {_order_case('"Destination Signal"', W.DEST_SIGNAL_ORDER)} DESC,
+      View_Change DESC NULLS LAST, ProductID) AS Priority
+  FROM ci_h2 h JOIN ci_hq USING (week_start)
+),
+ci_ds AS (
+  SELECT week_start, period, checkin_date, sum(s) AS Searches FROM (
+    SELECT week_start, period, checkin_date, Destination, max(Destination_Searches) AS s FROM ci_rel GROUP BY ALL
+  ) GROUP BY ALL
+),
+ci_dv AS (SELECT week_start, period, checkin_date, sum(view_volume) AS Views FROM ci_rel GROUP BY ALL),
+ci_daily AS (
+  SELECT week_start, checkin_date, Searches, Views,
+         checkin_date + CASE WHEN period = 'previous' THEN 7 ELSE 0 END AS Matched_Date,
+         CASE WHEN period = 'current' THEN 'Selected week' ELSE 'Previous week' END AS Period,
+         strftime(checkin_date + CASE WHEN period = 'previous' THEN 7 ELSE 0 END, '%a') AS Weekday
+  FROM ci_ds FULL OUTER JOIN ci_dv USING (week_start, period, checkin_date)
+)""")
+
+CI_HOTEL_COLS = ["week_start", "ProductID", "ProductName", "Destination", "Region", "Current_Views", "CheckIn_Days",
+                 "Previous_Views", "View_Change", "View_Change_Pct", "Current_Searches", "Previous_Searches",
+                 "Search_Change", "Change_Pct", "Destination Signal", "Hotel Signal", "Action", "Work Priority",
+                 "Priority"]
+CI_HOTEL_DOUBLES = ["Current_Views", "Previous_Views", "View_Change", "View_Change_Pct", "Current_Searches",
+                    "Previous_Searches", "Search_Change", "Change_Pct"]
+
+
+@register("checkin_week_hotels", CI_SQL + _sel(CI_HOTEL_COLS, CI_HOTEL_DOUBLES, "ci_hotels"))
+def q_checkin_week_hotels(spark, sf_dir):
+    """F8 + W7 + W9 + W11-W13: hotels of every check-in week against the week before, ranked."""
+    return W.checkin_week_hotels(_checkin_detail(spark, sf_dir)).select(*[F.col(f"`{c}`") for c in CI_HOTEL_COLS])
+
+
+@register("week_worklist", CI_SQL + _sel(CI_HOTEL_COLS, CI_HOTEL_DOUBLES,
+                                         "(SELECT * FROM ci_hotels WHERE Priority <= 200)"))
+def q_week_worklist(spark, sf_dir):
+    """The first 200 hotels of every check-in week."""
+    h = W.checkin_week_hotels(_checkin_detail(spark, sf_dir))
+    return W.week_worklist(h).select(*[F.col(f"`{c}`") for c in CI_HOTEL_COLS])
+
+
+CI_DEST_COLS = ["week_start", "Destination", "Current_Searches", "Previous_Searches", "Search_Change", "Change_Pct"]
+
+
+@register("checkin_week_destinations", CI_SQL + _sel(CI_DEST_COLS, CI_DEST_COLS[2:], "ci_dest"))
+def q_checkin_week_destinations(spark, sf_dir):
+    """destination searches of every check-in week against the week before."""
+    return W.checkin_week_destinations(_checkin_detail(spark, sf_dir)).select(*CI_DEST_COLS)
+
+
+CI_DAILY_COLS = ["week_start", "checkin_date", "Searches", "Views", "Matched_Date", "Period", "Weekday"]
+
+
+@register("checkin_week_daily", CI_SQL + _sel(CI_DAILY_COLS, ["Searches", "Views"], "ci_daily"))
+def q_checkin_week_daily(spark, sf_dir):
+    """per check-in week and date, searches and views of both weeks aligned by weekday."""
+    return W.checkin_week_daily(_checkin_detail(spark, sf_dir)).select(*CI_DAILY_COLS)
+
+
+@register("unpivot_trend", CI_SQL + """,
+ci_long AS (
+  SELECT week_start, checkin_date, Matched_Date, Period, Weekday, 'Searches' AS Metric, Searches AS Volume FROM ci_daily
+  UNION ALL
+  SELECT week_start, checkin_date, Matched_Date, Period, Weekday, 'Views' AS Metric, Views AS Volume FROM ci_daily
+)""" + _sel(["week_start", "checkin_date", "Matched_Date", "Period", "Weekday", "Metric", "Volume"], ["Volume"],
+            "ci_long"))
+def q_unpivot_trend(spark, sf_dir):
+    """the weekly daily table as (Metric, Volume) rows."""
+    return W.unpivot_trend(W.checkin_week_daily(_checkin_detail(spark, sf_dir)))
+
+
+CI_KPI_COLS = ["week_start", "Current_Total", "Previous_Total", "Current_Days", "Previous_Days", "Rising_Hotels",
+               "Hotels", "Action_Hotels", "Current_Basis", "Previous_Basis", "Change", "Change_Pct", "Complete",
+               "Signal"]
+
+
+@register("checkin_week_kpis", CI_SQL + f""",
+ck_d AS (SELECT week_start, sum(Current_Searches) AS Current_Total, sum(Previous_Searches) AS Previous_Total
+         FROM ci_dest GROUP BY ALL),
+ck_n AS (
+  SELECT week_start, count(DISTINCT CASE WHEN Period = 'Selected week' THEN checkin_date END) AS Current_Days,
+         count(DISTINCT CASE WHEN Period = 'Previous week' THEN checkin_date END) AS Previous_Days
+  FROM ci_daily GROUP BY ALL
+),
+ck_h AS (
+  SELECT week_start, count_if(coalesce(View_Change > 0, FALSE)) AS Rising_Hotels, count(*) AS Hotels,
+         count_if(Action) AS Action_Hotels
+  FROM ci_hotels GROUP BY ALL
+),
+ck0 AS (
+  SELECT d.*, n.Current_Days, n.Previous_Days, h.Rising_Hotels, h.Hotels, h.Action_Hotels,
+         (n.Current_Days = 7 AND n.Previous_Days = 7) AS Complete
+  FROM ck_d d JOIN ck_n n USING (week_start) LEFT JOIN ck_h h USING (week_start)
+),
+ck1 AS (
+  SELECT *,
+    CASE WHEN Complete THEN Current_Total WHEN Current_Days <> 0 THEN Current_Total / Current_Days END AS Current_Basis,
+    CASE WHEN Complete THEN Previous_Total WHEN Previous_Days <> 0 THEN Previous_Total / Previous_Days END
+      AS Previous_Basis
+  FROM ck0
+),
+ck2 AS (
+  SELECT *, Current_Basis - Previous_Basis AS Change,
+         CASE WHEN Previous_Basis <> 0 THEN (Current_Basis - Previous_Basis) / Previous_Basis END AS Change_Pct
+  FROM ck1
+),
+ck AS (
+  SELECT *, CASE WHEN Change_Pct IS NULL THEN 'No baseline' ELSE {_signal_case('Change_Pct')} END AS Signal FROM ck2
+)""" + _sel(CI_KPI_COLS, ["Current_Total", "Previous_Total", "Current_Basis", "Previous_Basis", "Change", "Change_Pct"],
+            "ck"))
+def q_checkin_week_kpis(spark, sf_dir):
+    """check-in week KPIs (totals or per-day averages), change and signal."""
+    return W.checkin_week_kpis(_checkin_detail(spark, sf_dir)).select(*CI_KPI_COLS)

@@ -248,10 +248,12 @@ def checkin_week_daily(detail: DataFrame) -> DataFrame:
     searches = per_dest.groupBy("week_start", "period", "checkin_date").agg(F.sum("s").alias("Searches"))
     views = rows.groupBy("week_start", "period", "checkin_date").agg(F.sum("view_volume").alias("Views"))
     d = searches.join(views, on=["week_start", "period", "checkin_date"], how="full_outer")
-    shift = F.when(F.col("period") == "previous", 7).otherwise(0)
+    # column names are case-insensitive: move the internal period aside first
+    d = d.withColumnRenamed("period", "_p")
+    shift = F.when(F.col("_p") == "previous", 7).otherwise(0)
     d = d.withColumn("Matched_Date", F.date_add("checkin_date", shift))
-    d = d.withColumn("Period", F.when(F.col("period") == "current", "Selected week").otherwise("Previous week"))
-    return d.withColumn("Weekday", F.date_format("Matched_Date", "EEE")).drop("period")
+    d = d.withColumn("Period", F.when(F.col("_p") == "current", "Selected week").otherwise("Previous week"))
+    return d.withColumn("Weekday", F.date_format("Matched_Date", "EEE")).drop("_p")
 
 
 def checkin_week_kpis(detail: DataFrame) -> DataFrame:
