@@ -165,3 +165,41 @@ def pct_signal(pct: str | Column, missing_label: str | None = None) -> Column:
     if missing_label is not None:
         return F.when(p.isNull(), missing_label).otherwise(chain.otherwise("Stable"))
     return chain.otherwise("Stable")
+
+
+def _dtype(df, name: str) -> str:
+    return df.schema[name].dataType.typeName()
+
+
+def as_date(df, name: str) -> Column:
+    """``name`` as a date: typed dates pass through, time stamps are truncated, text is parsed."""
+    t, c = _dtype(df, name), F.col(f"`{name}`")
+    if t == "date":
+        return c
+    if t in ("timestamp", "timestamp_ntz"):
+        return F.to_date(c)
+    return parse_date(c)
+
+
+def as_timestamp(df, name: str) -> Column:
+    t, c = _dtype(df, name), F.col(f"`{name}`")
+    if t == "timestamp_ntz":
+        return c
+    if t in ("timestamp", "date"):
+        return c.cast("timestamp_ntz")
+    return parse_timestamp(c)
+
+
+def as_long(df, name: str) -> Column:
+    """Integral id: integer types pass through; fractional or text values are checked."""
+    t, c = _dtype(df, name), F.col(f"`{name}`")
+    if t in ("long", "integer", "short", "byte"):
+        return c.cast("bigint")
+    return to_long(c)
+
+
+def as_double(df, name: str) -> Column:
+    t, c = _dtype(df, name), F.col(f"`{name}`")
+    if t in ("double", "float", "long", "integer", "short", "byte", "decimal"):
+        return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+    return to_double(c)

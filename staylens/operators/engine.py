@@ -50,19 +50,19 @@ SUMMARY_SENTENCES = [
 
 def dedupe_master(master: DataFrame) -> DataFrame:
     """One row per ProductID, the last in input order."""
-    rows = master.withColumn("ProductID", C.to_long("ProductID")).where(F.col("ProductID").isNotNull())
+    rows = master.withColumn("ProductID", C.as_long(master, "ProductID")).where(F.col("ProductID").isNotNull())
     return latest_per_key(rows, ["ProductID"], ["row_seq"])
 
 
 def dedupe_performance(performance: DataFrame) -> DataFrame:
     """Per ProductID the row with the highest (Revenue, RN); NULL -> 0 first."""
     rows = performance.select(
-        C.to_long("ProductID").alias("ProductID"),
+        C.as_long(performance, "ProductID").alias("ProductID"),
         "ProductName",
         "`Agoda Status`",
         "`Ctrip Status`",
-        F.coalesce(C.to_double("Revenue"), F.lit(0.0)).alias("Revenue"),
-        F.coalesce(C.to_double("`B2B2C RN`"), F.lit(0.0)).alias("B2B2C RN"),
+        F.coalesce(C.as_double(performance, "Revenue"), F.lit(0.0)).alias("Revenue"),
+        F.coalesce(C.as_double(performance, "B2B2C RN"), F.lit(0.0)).alias("B2B2C RN"),
         "row_seq",
     ).where(F.col("ProductID").isNotNull())
     return latest_per_key(rows, ["ProductID"], ["Revenue", "B2B2C RN", "row_seq"])
@@ -75,14 +75,15 @@ def hotel_master_view(master: DataFrame, performance: DataFrame) -> DataFrame:
     it wins the keep-last), as the original dashboard does.
     """
     m = dedupe_master(master).drop("row_seq")
+    rev, rn = C.as_double(performance, "Revenue"), C.as_double(performance, "B2B2C RN")
     rows = performance.select(
-        C.to_long("ProductID").alias("ProductID"),
+        C.as_long(performance, "ProductID").alias("ProductID"),
         "`Agoda Status`",
         "`Ctrip Status`",
-        C.to_double("Revenue").isNull().alias("_rn"),
-        C.to_double("Revenue").alias("_rev"),
-        C.to_double("`B2B2C RN`").isNull().alias("_bn"),
-        C.to_double("`B2B2C RN`").alias("_b"),
+        rev.isNull().alias("_rn"),
+        rev.alias("_rev"),
+        rn.isNull().alias("_bn"),
+        rn.alias("_b"),
         "row_seq",
     ).where(F.col("ProductID").isNotNull())
     p = latest_per_key(rows, ["ProductID"], ["_rn", "_rev", "_bn", "_b", "row_seq"]).select(

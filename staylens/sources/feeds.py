@@ -22,22 +22,24 @@ OTA_COLUMNS = ["ProductID", "stay_date", "Agoda_Raw_Gap", "Agoda_Price_Disadvant
 def bookings(raw: DataFrame) -> DataFrame:
     """SRC5: parse; drop NULL keys; sum ``booking_count`` (bad count = 0)."""
     rows = raw.select(
-        C.to_long("ProductID").alias("ProductID"),
-        C.parse_date("CheckInDate").alias("checkin_date"),
-        F.coalesce(C.to_double("booking_count"), F.lit(0.0)).alias("booking_count"),
+        C.as_long(raw, "ProductID").alias("ProductID"),
+        C.as_date(raw, "CheckInDate").alias("checkin_date"),
+        F.coalesce(C.as_double(raw, "booking_count"), F.lit(0.0)).alias("booking_count"),
     ).where(F.col("ProductID").isNotNull() & F.col("checkin_date").isNotNull())
     return rows.groupBy("ProductID", "checkin_date").agg(F.sum("booking_count").alias("Bookings"))
 
 
 def internal_parity(raw: DataFrame) -> DataFrame:
     """SRC6: gap text, '-' and blank = NULL; min, median, count(non-NULL), rows."""
-    gap_text = F.when(F.trim(F.col("`Market Margin Gap`").cast("string")).isin("-", ""), None).otherwise(
-        F.col("`Market Margin Gap`")
-    )
+    if C._dtype(raw, "Market Margin Gap") == "string":
+        text = F.trim(F.col("`Market Margin Gap`"))
+        gap = C.to_double(F.when(~text.isin("-", ""), text))
+    else:
+        gap = C.as_double(raw, "Market Margin Gap")
     rows = raw.select(
-        C.to_long("ProductID").alias("ProductID"),
-        C.parse_date("stayDate").alias("stay_date"),
-        C.to_double(gap_text).alias("gap"),
+        C.as_long(raw, "ProductID").alias("ProductID"),
+        C.as_date(raw, "stayDate").alias("stay_date"),
+        gap.alias("gap"),
     ).where(F.col("ProductID").isNotNull() & F.col("stay_date").isNotNull())
     return rows.groupBy("ProductID", "stay_date").agg(
         F.min("gap").alias("Internal_Worst_Gap"),
@@ -65,8 +67,8 @@ def ota_parity(wide: DataFrame, id_column: str = "Hotel Id") -> DataFrame:
     """SRC7: unpivot date columns; min per key; disadvantage = max(-gap, 0), NULL kept."""
     dates = date_columns(wide)
     typed = wide.select(
-        C.to_long(F.col(f"`{id_column}`")).alias("ProductID"),
-        *[C.to_double(F.col(f"`{d}`")).alias(d) for d in dates],
+        C.as_long(wide, id_column).alias("ProductID"),
+        *[C.as_double(wide, d).alias(d) for d in dates],
     )
     long = typed.unpivot("ProductID", dates, "stay_text", "Agoda_Raw_Gap")
     long = long.select(
