@@ -954,3 +954,201 @@ ck AS (
 def q_checkin_week_kpis(spark, sf_dir):
     """check-in week KPIs (totals or per-day averages), change and signal."""
     return W.checkin_week_kpis(_checkin_detail(spark, sf_dir)).select(*CI_KPI_COLS)
+
+
+# ---------------------------------------------------------------- merge (F5/F6) and audit
+
+from staylens.operators import audit as AU  # noqa: E402
+from staylens.operators import merge as M  # noqa: E402
+from staylens.sources.driver_tables import DEMAND_COLUMNS, PREVIOUS_CUTOFF  # noqa: E402
+
+
+def _merge(spark, sf_dir) -> M.MergeResult:
+    """History = the previous export as stored; upload = everything the latest load adds or re-sends."""
+    history = T.demand_previous(spark, sf_dir)
+    latest_all = T.demand_latest(spark, sf_dir)
+    upload = latest_all.where(
+        (F.col("snapshot_at") >= F.lit(PREVIOUS_CUTOFF).cast("timestamp_ntz")) | (F.col("load_seq") == 1)
+    )
+    return M.merge_incremental(history, upload)
+
+
+MERGE_CTES = [O.DEMAND_ROWS, f"""
+m_hist AS (
+  SELECT {O.DEMAND_COLS}, 0 AS load_seq, row_seq FROM demand_rows WHERE snapshot_at < TIMESTAMP '{PREVIOUS_CUTOFF}'
+),
+m_upl AS (
+  SELECT {O.DEMAND_COLS}, 0 AS load_seq, row_seq FROM demand_rows WHERE snapshot_at >= TIMESTAMP '{PREVIOUS_CUTOFF}'
+  UNION ALL
+  SELECT snapshot_at, checkin_date, ProductID, ProductName, Destination, trend_momentum, hotness_score,
+         check_status, search_volume, view_volume + 1, 1, row_seq FROM demand_rows WHERE event_type = 'purchase'
+),
+m_inc AS (SELECT * FROM m_upl WHERE ProductID IS NOT NULL),
+m_comb AS (SELECT *, 0 AS _src FROM m_hist UNION ALL SELECT *, 1 AS _src FROM m_inc),
+m_win AS (
+  SELECT * EXCLUDE (_rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY snapshot_at, checkin_date, ProductID
+                                 ORDER BY _src DESC, load_seq DESC, row_seq DESC) AS _rn
+    FROM m_comb WHERE snapshot_at IS NOT NULL AND checkin_date IS NOT NULL AND ProductID IS NOT NULL
+  ) WHERE _rn = 1
+),
+m_merged AS (
+  SELECT * EXCLUDE (_src) FROM m_win
+  UNION ALL
+  SELECT * FROM m_hist WHERE snapshot_at IS NULL OR checkin_date IS NULL OR ProductID IS NULL
+),
+m_h1 AS (
+  SELECT * EXCLUDE (_rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY snapshot_at, checkin_date, ProductID
+                                 ORDER BY load_seq DESC, row_seq DESC) AS _rn
+    FROM m_hist WHERE snapshot_at IS NOT NULL AND checkin_date IS NOT NULL AND ProductID IS NOT NULL
+  ) WHERE _rn = 1
+),
+m_cmp AS (
+  SELECT u.*, h.ProductID IS NULL AS is_new,
+         h.ProductID IS NULL
+         OR u.ProductName IS DISTINCT FROM h.ProductName OR u.Destination IS DISTINCT FROM h.Destination
+         OR u.trend_momentum IS DISTINCT FROM h.trend_momentum OR u.hotness_score IS DISTINCT FROM h.hotness_score
+         OR u.check_status IS DISTINCT FROM h.check_status OR u.search_volume IS DISTINCT FROM h.search_volume
+         OR u.view_volume IS DISTINCT FROM h.view_volume AS differs
+  FROM (SELECT * FROM m_win WHERE _src = 1) u
+  LEFT JOIN m_h1 h USING (snapshot_at, checkin_date, ProductID)
+)"""]
+
+
+@register("merge_incremental", O.with_ctes(*MERGE_CTES)
+          + _sel(DEMAND_COLUMNS, ["trend_momentum", "hotness_score", "search_volume", "view_volume"], "m_merged"))
+def q_merge_incremental(spark, sf_dir):
+    """the history after merging the latest upload (keyed upsert, later load wins)."""
+    return _merge(spark, sf_dir).merged.select(*DEMAND_COLUMNS)
+
+
+@register("merge_stats", O.with_ctes(*MERGE_CTES) + """ SELECT
+  (SELECT count(*) FROM m_hist) AS history_rows,
+  (SELECT count(*) FROM m_upl) AS uploaded_rows,
+  (SELECT count(*) FROM m_upl WHERE ProductID IS NULL) AS skipped_missing_product,
+  (SELECT count_if(is_new) FROM m_cmp) AS new_events,
+  (SELECT count(*) FROM m_hist) + (SELECT count(*) FROM m_inc) - (SELECT count(*) FROM m_merged) AS duplicates_removed,
+  (SELECT count(*) FROM m_merged) AS merged_rows,
+  (SELECT count_if(differs) > 0 FROM m_cmp) AS data_changed,
+  (SELECT min(snapshot_at) FROM m_inc) AS upload_min_timestamp,
+  (SELECT max(snapshot_at) FROM m_inc) AS upload_max_timestamp""")
+def q_merge_stats(spark, sf_dir):
+    """F5 + F6: merge statistics, including whether the upload changed anything."""
+    return _merge(spark, sf_dir).stats
+
+
+@register("raw_key_quality", O.with_ctes(*RAW, O.PREVIOUS.replace(
+    "AND ProductID IS NOT NULL AND ProductName IS NOT NULL", "").replace("previous AS", "previous_raw AS"))
+    + """ SELECT 'latest' AS source, count_if(snapshot_at IS NULL) AS invalid_timestamp_rows,
+  count_if(checkin_date IS NULL) AS invalid_checkin_rows, count_if(ProductID IS NULL) AS missing_product_rows,
+  count(*) - count(DISTINCT (snapshot_at, checkin_date, ProductID)) AS duplicate_event_keys FROM latest_raw
+  UNION ALL SELECT 'previous', count_if(snapshot_at IS NULL), count_if(checkin_date IS NULL),
+  count_if(ProductID IS NULL), count(*) - count(DISTINCT (snapshot_at, checkin_date, ProductID)) FROM previous_raw""")
+def q_raw_key_quality(spark, sf_dir):
+    """Key quality of the latest and previous raw exports."""
+    a = AU.raw_key_quality(T.demand_latest(spark, sf_dir)).select(F.lit("latest").alias("source"), "*")
+    b = AU.raw_key_quality(T.demand_previous(spark, sf_dir)).select(F.lit("previous").alias("source"), "*")
+    return a.unionByName(b)
+
+
+@register("master_conflicts", O.with_ctes(O.ENGINE.split("roll AS (")[0].rstrip().rstrip(",")) + """,
+mc_m AS (SELECT ProductID, count(*) AS n, count(DISTINCT coalesce(ProductName, '<NA>')) AS d1,
+         count(DISTINCT coalesce(Destination, '<NA>')) AS d2, count(DISTINCT coalesce(Region, '<NA>')) AS d3,
+         count(DISTINCT coalesce("HotelType Short", '<NA>')) AS d4
+         FROM master WHERE ProductID IS NOT NULL GROUP BY ALL),
+mc_p AS (SELECT ProductID, count(*) AS n, count(DISTINCT coalesce(ProductName, '<NA>')) AS d1,
+         count(DISTINCT coalesce("Agoda Status", '<NA>')) AS d2, count(DISTINCT coalesce("Ctrip Status", '<NA>')) AS d3,
+         1 AS d4
+         FROM (SELECT ProductID, 'Hotel ' || CAST(ProductID AS VARCHAR) AS ProductName, "Agoda Status", "Ctrip Status"
+               FROM perf) WHERE ProductID IS NOT NULL GROUP BY ALL)
+SELECT 'master' AS source, count(*) AS duplicate_ids,
+       coalesce(count_if(d1 > 1 OR d2 > 1 OR d3 > 1 OR d4 > 1), 0) AS conflicting_ids
+  FROM mc_m WHERE n > 1
+UNION ALL
+SELECT 'performance', count(*), coalesce(count_if(d1 > 1 OR d2 > 1 OR d3 > 1 OR d4 > 1), 0) FROM mc_p WHERE n > 1""")
+def q_master_conflicts(spark, sf_dir):
+    """Duplicated and conflicting hotel ids in the master and performance sheets."""
+    a = AU.master_conflicts(T.hotel_master(spark, sf_dir)).select(F.lit("master").alias("source"), "*")
+    b = AU.master_conflicts(T.hotel_performance(spark, sf_dir)).select(F.lit("performance").alias("source"), "*")
+    return a.unionByName(b)
+
+
+WIN_SQL = O.with_ctes(O.DEMAND_ROWS, O.LATEST, O.PREVIOUS, *O.periods_sql(300))
+
+
+@register("search_conflicts", WIN_SQL + """ SELECT count_if(v > 1) AS inconsistent_search_groups FROM (
+  SELECT Observation_Batch, Destination, checkin_date, count(DISTINCT search_volume) AS v FROM cb
+  WHERE Destination IS NOT NULL AND checkin_date IS NOT NULL GROUP BY ALL)""")
+def q_search_conflicts(spark, sf_dir):
+    """Destination search groups with conflicting raw values in the current window."""
+    return AU.search_conflicts(_rebuild(spark, sf_dir).windows.current)
+
+
+@register("batch_sizes", WIN_SQL + """ SELECT min(n) AS min_rows, round(median(n), 9) + 0.0 AS median_rows,
+  max(n) AS max_rows, count(*) AS batches FROM (SELECT Observation_Batch, count(*) AS n FROM cb GROUP BY ALL)""")
+def q_batch_sizes(spark, sf_dir):
+    """Rows per observation batch in the current window."""
+    return AU.batch_sizes(_rebuild(spark, sf_dir).windows.current)
+
+
+def _reconcile_sql(name: str, exp: str, act: str, keys: str, pairs: list[tuple[str, str]]) -> str:
+    differs = " OR ".join(
+        f"coalesce(abs({e} - {a}) > 1e-6, FALSE) OR (({e}) IS NULL) <> (({a}) IS NULL)" for e, a in pairs
+    )
+    return f"""SELECT '{name}' AS "check", count(*) AS compared_keys,
+  coalesce(count_if(_a IS NULL), 0) AS missing_in_actual, coalesce(count_if(_e IS NULL), 0) AS missing_in_expected,
+  coalesce(count_if(_a IS NOT NULL AND _e IS NOT NULL AND ({differs})), 0) AS value_different
+  FROM (SELECT *, TRUE AS _e FROM {exp}) FULL OUTER JOIN (SELECT *, TRUE AS _a FROM {act}) USING ({keys})"""
+
+
+AUDIT_SQL = O.with_ctes(*O.full_chain(300)) + """,
+au_n AS (SELECT (SELECT count(DISTINCT Observation_Batch) FROM cb) AS n,
+                (SELECT count(DISTINCT Observation_Batch) FROM bb) AS m),
+au_ed AS (
+  SELECT d.Destination, d.checkin_date, d.Destination_Searches AS e1,
+         d.Destination_Searches / d.Destination_Intervals
+           * CASE WHEN p.Destination_Intervals IS NOT NULL THEN least(d.Destination_Intervals, p.Destination_Intervals) END AS e2,
+         p.Destination_Searches / p.Destination_Intervals
+           * CASE WHEN p.Destination_Intervals IS NOT NULL THEN least(d.Destination_Intervals, p.Destination_Intervals) END AS e3
+  FROM cd d LEFT JOIN pd p USING (Destination, checkin_date)
+),
+au_ad AS (
+  SELECT Destination, checkin_date, max(Destination_Searches) AS a1, max(Comparable_Destination_Searches) AS a2,
+         max(Previous_Comparable_Destination_Searches) AS a3
+  FROM funnel WHERE Destination IS NOT NULL GROUP BY ALL
+),
+au_eh AS (
+  SELECT h.ProductID, h.checkin_date, h.view_volume AS e1,
+         h.view_volume / h.Interval_Count
+           * CASE WHEN p.Interval_Count IS NOT NULL THEN least(h.Interval_Count, p.Interval_Count) END AS e2,
+         p.view_volume / p.Interval_Count
+           * CASE WHEN p.Interval_Count IS NOT NULL THEN least(h.Interval_Count, p.Interval_Count) END AS e3
+  FROM ch h LEFT JOIN ph p USING (ProductID, checkin_date)
+),
+au_ah AS (SELECT ProductID, checkin_date, view_volume AS a1, Comparable_Views AS a2, Previous_Comparable_Views AS a3
+          FROM funnel),
+au_rows AS (
+  SELECT 'window_batches' AS "check", n AS compared_keys, CAST(0 AS BIGINT) AS missing_in_actual,
+         CAST(0 AS BIGINT) AS missing_in_expected, CAST(abs(n - m) AS BIGINT) AS value_different FROM au_n
+  UNION ALL """ + _reconcile_sql("destination_searches", "au_ed", "au_ad", "Destination, checkin_date",
+                                 [("e1", "a1"), ("e2", "a2"), ("e3", "a3")]) + """
+  UNION ALL """ + _reconcile_sql("hotel_views", "au_eh", "au_ah", "ProductID, checkin_date",
+                                 [("e1", "a1"), ("e2", "a2"), ("e3", "a3")]) + """
+  UNION ALL """ + _reconcile_sql("history_destinations", "(SELECT Destination, checkin_date, Total_Observed_Searches AS e1 FROM hist_d)",
+                                 "(SELECT Destination, checkin_date, Total_Observed_Searches AS a1 FROM hist_d)",
+                                 "Destination, checkin_date", [("e1", "a1")]) + """
+  UNION ALL """ + _reconcile_sql("history_hotels", "(SELECT ProductID, checkin_date, Total_Observed_Views AS e1 FROM hist_h)",
+                                 "(SELECT ProductID, checkin_date, Total_Observed_Views AS a1 FROM hist_h)",
+                                 "ProductID, checkin_date", [("e1", "a1")]) + """
+)"""
+
+
+@register("audit", AUDIT_SQL + """ SELECT *, missing_in_actual + missing_in_expected + value_different = 0 AS passed
+  FROM au_rows""")
+def q_audit(spark, sf_dir):
+    """Reconcile the published funnel and history with a recomputation."""
+    r = _rebuild(spark, sf_dir)
+    expected = facts.stored_history(r.latest, r.previous, r.gap)
+    published = tuple(cut_lineage(t, "published_history") for t in r.history)
+    return AU.audit(r.windows.current, r.windows.baseline, r.funnel, expected, published)
