@@ -41,9 +41,15 @@ def home_detail(funnel: DataFrame, engine: DataFrame) -> DataFrame:
     return d.where(F.col("checkin_date").isNotNull())
 
 
+def with_metric_columns(detail: DataFrame) -> DataFrame:
+    """Missing comparison metrics as NULL doubles (a detail without a baseline)."""
+    missing = {c: F.lit(None).cast("double") for c in METRIC_COLUMNS if c not in detail.columns}
+    return detail.withColumns(missing) if missing else detail
+
+
 def _destination_days(detail: DataFrame) -> DataFrame:
     """One row per (check-in date, destination) of the detail (NULL destination included)."""
-    return detail.groupBy("checkin_date", "Destination").agg(
+    return with_metric_columns(detail).groupBy("checkin_date", "Destination").agg(
         *[F.max(c).alias(c) for c in [
             "Destination_Searches", "Previous_Destination_Searches",
             "Previous_Comparable_Destination_Searches", "Destination_Search_Change",
