@@ -1152,3 +1152,43 @@ def q_audit(spark, sf_dir):
     expected = facts.stored_history(r.latest, r.previous, r.gap)
     published = tuple(cut_lineage(t, "published_history") for t in r.history)
     return AU.audit(r.windows.current, r.windows.baseline, r.funnel, expected, published)
+
+
+# ---------------------------------------------------------------- cleaning and dimension steps
+
+DEMAND_DOUBLES = ["trend_momentum", "hotness_score", "search_volume", "view_volume"]
+
+
+@register("prepare_demand", O.with_ctes(*RAW) + _sel(DEMAND_COLUMNS, DEMAND_DOUBLES, "latest"))
+def q_prepare_demand(spark, sf_dir):
+    """PRJ2: typed latest demand without rows lacking ProductID or name."""
+    return latest(spark, sf_dir).select(*DEMAND_COLUMNS)
+
+
+@register("split_invalid", O.with_ctes(*RAW) + _sel(DEMAND_COLUMNS, DEMAND_DOUBLES,
+          "(SELECT * FROM latest_raw WHERE snapshot_at IS NULL OR checkin_date IS NULL OR ProductID IS NULL)"))
+def q_split_invalid(spark, sf_dir):
+    """PRJ6: the quarantine of latest rows without a full event key."""
+    return clean.split_invalid(T.demand_latest(spark, sf_dir))[1].select(*DEMAND_COLUMNS)
+
+
+@register("dedupe_performance", O.with_ctes(O.ENGINE.split("roll AS (")[0].rstrip().rstrip(","))
+          + _sel(["ProductID", "Agoda Status", "Ctrip Status", "Revenue", "B2B2C RN"], ["Revenue", "B2B2C RN"], "p1"))
+def q_dedupe_performance(spark, sf_dir):
+    """One performance row per hotel (highest revenue, then room nights)."""
+    return E.dedupe_performance(T.hotel_performance(spark, sf_dir)).select(
+        "ProductID", "`Agoda Status`", "`Ctrip Status`", "Revenue", "`B2B2C RN`")
+
+
+ROLL_COLS = ["ProductID", "Destination_Search_Context", "Funnel_Views", "Funnel_Bookings", "Internal_Worst_Gap",
+             "Internal_Median_Gap", "Internal_Comparable_Rates", "Internal_Total_Rates", "Agoda_Price_Disadvantage",
+             "Agoda_Comparable_Dates", "Views_per_Search", "Search_to_Booking"]
+
+
+@register("funnel_rollup", O.with_ctes(*O.funnel_sql(300), O.ENGINE.split("e0 AS (")[0].rstrip().rstrip(","))
+          + _sel(ROLL_COLS, ["Destination_Search_Context", "Funnel_Views", "Funnel_Bookings", "Internal_Worst_Gap",
+                             "Internal_Median_Gap", "Agoda_Price_Disadvantage", "Views_per_Search",
+                             "Search_to_Booking"], "roll2"))
+def q_funnel_rollup(spark, sf_dir):
+    """Per-hotel roll-up of the current funnel."""
+    return E.funnel_rollup(_rebuild(spark, sf_dir).funnel).select(*ROLL_COLS)
