@@ -7,16 +7,19 @@
   earlier rows of latest (batched with latest);
 * baseline = the newest n batches of the source, n = batches in current.
 
-All decisions are taken on the batch maps (one row per distinct crawl
-stamp), which are cached once; the resulting bounds are plain
-literals, so the row filters on the demand tables are pushed down to the
-Parquet scan.  Batch ids are consecutive in time order, so "newest n
-batches" is ``id > max_id - n`` and "batches in current" is
-``max_id - min_id + 1`` over a time suffix: no global sort.
+Latest and previous are batched in one scoped batch map (each file on its
+own, as required: latest may extend previous's last batch).  All
+decisions are taken on that map (one row per distinct crawl stamp) and
+become plain literals, so the row filters on the demand tables are pushed
+down to the Parquet scan.  Batch ids are consecutive in time order, so
+"newest n batches" is ``id > max_id - n`` and "batches in current" is
+``max_id - min_id + 1`` over a time suffix: no global sort.  Both windows
+are written in one job (partitioned by window) and read back.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -26,6 +29,7 @@ from staylens.operators.joins import join_small
 from staylens.session import cut_lineage, keep
 
 
+
 @dataclass
 class Periods:
     current: DataFrame  # rows with Observation_Batch / Observation_At
@@ -36,77 +40,77 @@ class Periods:
     cached: tuple = ()
 
     def release(self) -> None:
-        """Drop the cached batch maps once the windows are materialised."""
+        """Drop the cached batch map once the windows are materialised."""
         for df in self.cached:
             df.unpersist()
 
 
-def _bounds(cur_map: DataFrame, prev_map: DataFrame | None):
-    """One aggregate job: newest latest stamp, first stamp absent from previous."""
-    if prev_map is None:
-        row = cur_map.agg(F.max("snapshot_at").alias("hi")).first()
-        return None, row["hi"], False
-    joined = cur_map.select("snapshot_at", F.lit(True).alias("_new")).join(
-        prev_map.select("snapshot_at", F.lit(True).alias("_old")), on="snapshot_at", how="full_outer"
-    )
-    row = joined.agg(
-        F.max(F.when(F.col("_new"), F.col("snapshot_at"))).alias("hi"),
-        F.min(F.when(F.col("_new") & F.col("_old").isNull(), F.col("snapshot_at"))).alias("first_new"),
-        F.count_if(F.col("_old")).alias("n_old"),
-    ).first()
-    has_prev = row["n_old"] > 0
-    return (row["first_new"] if has_prev else None), row["hi"], has_prev
+def _maps(latest: DataFrame, previous: DataFrame | None, gap_seconds: int) -> DataFrame:
+    stamps = latest.select("snapshot_at", F.lit(1).alias("_src"))
+    if previous is not None:
+        stamps = stamps.unionByName(previous.select("snapshot_at", F.lit(0).alias("_src")))
+    return keep(batch_map(stamps, gap_seconds, scope=["_src"]))
 
 
 def select_periods(latest: DataFrame, previous: DataFrame | None, gap_seconds: int = 300) -> Periods:
-    # one row per distinct stamp; reused by every bound below and by the joins
-    cur_map = keep(batch_map(latest, gap_seconds))
-    prev_map = keep(batch_map(previous, gap_seconds)) if previous is not None else None
-    first_new, latest_hi, _ = _bounds(cur_map, prev_map)
-    if latest_hi is None:  # nothing with a time stamp
-        empty = with_batches(latest, mapping=cur_map)
-        return Periods(empty, None, None, 0, False, (cur_map,))
-
-    import datetime as _dt
-
-    day_start = _dt.datetime.combine(latest_hi.date(), _dt.time())
-    has_new = first_new is not None
-    current_start = first_new if has_new else day_start
-
-    ts = F.col("snapshot_at")
-    # the windows are small time slices of the demand: write each once, so
-    # the summary, funnel and audit read them without re-joining the maps
-    current = cut_lineage(
-        with_batches(latest.where(ts >= F.lit(current_start)), mapping=cur_map.where(ts >= F.lit(current_start))),
-        "current_window",
+    TS, BATCH = F.col("snapshot_at"), F.col("Observation_Batch")
+    maps = _maps(latest, previous, gap_seconds)
+    cur_map = maps.where(F.col("_src") == 1).drop("_src")
+    prev_map = maps.where(F.col("_src") == 0).drop("_src") if previous is not None else None
+
+    # one job: per stamp, its batch in latest (lb) and in previous (pb)
+    per_stamp = maps.groupBy("snapshot_at").agg(
+        F.max(F.when(F.col("_src") == 1, BATCH)).alias("lb"),
+        F.max(F.when(F.col("_src") == 0, BATCH)).alias("pb"),
     )
+    is_new = F.col("lb").isNotNull() & F.col("pb").isNull()
+    b = per_stamp.agg(
+        F.max(F.when(F.col("lb").isNotNull(), TS)).alias("latest_hi"),
+        F.min(F.when(is_new, TS)).alias("first_new"),
+        F.min_by("lb", F.when(is_new, TS)).alias("first_new_batch"),
+        F.max("lb").alias("latest_batch"),
+        F.max("pb").alias("previous_batch"),
+        F.count("pb").alias("previous_stamps"),
+    ).first()
+    if b["latest_hi"] is None:  # nothing with a time stamp
+        return Periods(with_batches(latest, mapping=cur_map), None, None, 0, False, (maps,))
 
+    day_start = _dt.datetime.combine(b["latest_hi"].date(), _dt.time())
+    has_new = b["previous_stamps"] > 0 and b["first_new"] is not None
     if has_new:
+        current_start = b["first_new"]
+        n = b["latest_batch"] - b["first_new_batch"] + 1
+        newest = b["previous_batch"]
         source_rows, source_map = previous, prev_map
     else:
-        source_rows = latest.where(ts < F.lit(day_start))
-        source_map = cur_map.where(ts < F.lit(day_start))
-    # one job: batch range of the current window and newest batch of the source
-    ids = (
-        cur_map.where(ts >= F.lit(current_start))
-        .select(F.lit(True).alias("_cur"), "Observation_Batch")
-        .unionByName(source_map.select(F.lit(False).alias("_cur"), "Observation_Batch"))
-        .agg(
-            F.min(F.when(F.col("_cur"), F.col("Observation_Batch"))).alias("lo"),
-            F.max(F.when(F.col("_cur"), F.col("Observation_Batch"))).alias("hi"),
-            F.max(F.when(~F.col("_cur"), F.col("Observation_Batch"))).alias("newest"),
-        )
-        .first()
-    )
-    n = 0 if ids["lo"] is None else ids["hi"] - ids["lo"] + 1
-    if n == 0 or ids["newest"] is None:
-        return Periods(current, None, current_start, n, has_new, tuple(m for m in (cur_map, prev_map) if m is not None))
-
-    picked = source_map.where(F.col("Observation_Batch") > F.lit(ids["newest"] - n))
+        current_start = day_start
+        source_rows = latest.where(TS < F.lit(day_start))
+        source_map = cur_map.where(TS < F.lit(day_start))
+        r = cur_map.agg(
+            F.min(F.when(TS >= F.lit(day_start), BATCH)).alias("lo"),
+            F.max(F.when(TS < F.lit(day_start), BATCH)).alias("newest"),
+        ).first()
+        n = b["latest_batch"] - r["lo"] + 1
+        newest = r["newest"]
+
+    current = with_batches(latest.where(TS >= F.lit(current_start)), mapping=cur_map.where(TS >= F.lit(current_start)))
+    if newest is None:
+        cut = cut_lineage(current, "current_window")
+        return Periods(cut, None, current_start, n, has_new, (maps,))
+
+    picked = source_map.where(BATCH > F.lit(newest - n))
     span = picked.agg(F.min("snapshot_at").alias("lo"), F.max("snapshot_at").alias("hi")).first()
     # batch ends among the kept stamps (matters when a batch straddles the cut day)
     ends = picked.groupBy("Observation_Batch").agg(F.max("snapshot_at").alias("Observation_At"))
     mapping = join_small(picked.drop("Observation_At"), ends, on="Observation_Batch", how="inner")
-    rows = source_rows.where((ts >= F.lit(span["lo"])) & (ts <= F.lit(span["hi"])))
-    baseline = cut_lineage(with_batches(rows, mapping=mapping), "baseline_window")
-    return Periods(current, baseline, current_start, n, has_new, tuple(m for m in (cur_map, prev_map) if m is not None))
+    rows = source_rows.where((TS >= F.lit(span["lo"])) & (TS <= F.lit(span["hi"])))
+    baseline = with_batches(rows, mapping=mapping)
+
+    # both windows in one write, partitioned by window; each read back with pruning
+    both = current.withColumn("_window", F.lit("current")).unionByName(
+        baseline.withColumn("_window", F.lit("baseline"))
+    )
+    written = cut_lineage(both, "windows", partition_by="_window")
+    cur = written.where(F.col("_window") == "current").drop("_window")
+    base = written.where(F.col("_window") == "baseline").drop("_window")
+    return Periods(cur, base, current_start, n, has_new, (maps,))

@@ -74,7 +74,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "cut", partition_by: str | None = None) -> DataFrame:
     """Materialise ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     One job (a reliable RDD checkpoint of an uncached plan computes it
@@ -84,7 +84,10 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/staylens-tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.parquet(path)
 
 
