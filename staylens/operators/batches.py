@@ -43,6 +43,9 @@ def _gap_exceeded(later: Column, earlier: Column, gap_seconds: int) -> Column:
 # scope) numbers them faster than the three-level form; the count is taken
 # on the cached distinct stamps before the plan is chosen.
 SINGLE_TASK_MAX_STAMPS = 2_000_000
+# Up to this many stamps (about 40 MB of map) the map is broadcast to the
+# demand rows, so the event side is never shuffled for the join.
+BROADCAST_MAX_STAMPS = 1_000_000
 
 
 def batch_map(
@@ -53,12 +56,24 @@ def batch_map(
     single_task_max: int | None = None,
 ) -> DataFrame:
     """One row per (scope, distinct time stamp) with Observation_Batch / Observation_At."""
+    return sized_batch_map(df, gap_seconds, scope, ts, single_task_max)[0]
+
+
+def sized_batch_map(
+    df: DataFrame,
+    gap_seconds: int = 300,
+    scope: Sequence[str] = (),
+    ts: str = TS,
+    single_task_max: int | None = None,
+) -> tuple[DataFrame, int]:
+    """The batch map and its row count (the proven size bound used for broadcasting)."""
     scope = list(scope)
     limit = SINGLE_TASK_MAX_STAMPS if single_task_max is None else single_task_max
     distinct = keep(df.where(F.col(ts).isNotNull()).select(*scope, ts).distinct())
-    if distinct.count() <= limit:
-        return _single_window_map(distinct, gap_seconds, scope, ts)
-    return _bucketed_map(distinct, gap_seconds, scope, ts)
+    n = distinct.count()
+    if n <= limit:
+        return _single_window_map(distinct, gap_seconds, scope, ts), n
+    return _bucketed_map(distinct, gap_seconds, scope, ts), n
 
 
 def _single_window_map(stamps: DataFrame, gap_seconds: int, scope: list[str], ts: str) -> DataFrame:
@@ -141,13 +156,17 @@ def with_batches(
     scope: Sequence[str] = (),
     ts: str = TS,
     mapping: DataFrame | None = None,
+    mapping_rows: int | None = None,
 ) -> DataFrame:
     """Attach Observation_Batch / Observation_At to every row with a time stamp.
 
     Rows without a time stamp are dropped, as the batching step does in the
-    original tool.  ``mapping`` lets callers reuse one computed batch map.
+    original tool.  ``mapping`` lets callers reuse one computed batch map;
+    ``mapping_rows`` is its known row count (an upper bound is enough).
     """
     scope = list(scope)
-    m = mapping if mapping is not None else batch_map(df, gap_seconds, scope, ts)
+    if mapping is None:
+        mapping, mapping_rows = sized_batch_map(df, gap_seconds, scope, ts)
     rows = df.drop("Observation_Batch", "Observation_At").where(F.col(ts).isNotNull())
-    return join_small(rows, m, on=[*scope, ts], how="inner")
+    bounded = mapping_rows is not None and mapping_rows <= BROADCAST_MAX_STAMPS
+    return join_small(rows, mapping, on=[*scope, ts], how="inner", bounded=bounded)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from staylens.functions.columns import sum0
-from staylens.operators.batches import batch_map, with_batches
+from staylens.operators.batches import sized_batch_map, with_batches
 from staylens.operators.joins import join_small
 
 HOTEL_KEYS = ["ProductID", "checkin_date"]
@@ -181,8 +181,8 @@ def hotel_trend(demand: DataFrame, gap_seconds: int = 300) -> DataFrame:
             "search_volume": F.coalesce("search_volume", F.lit(0.0)),
         }
     )
-    mapping = batch_map(demand)
-    b = with_batches(rows, mapping=mapping)
+    mapping, n = sized_batch_map(demand, gap_seconds)
+    b = with_batches(rows, mapping=mapping, mapping_rows=n)
     hotel_rows = b.where(F.col("ProductID").isNotNull())
     views = (
         latest_per_key(hotel_rows, ["Observation_Batch", "ProductID", "checkin_date"])

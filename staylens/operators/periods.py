@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.operators.batches import batch_map, with_batches
+from staylens.operators.batches import sized_batch_map, with_batches
 from staylens.operators.joins import join_small
 from staylens.session import cut_lineage, keep
 
@@ -45,16 +45,17 @@ class Periods:
             df.unpersist()
 
 
-def _maps(latest: DataFrame, previous: DataFrame | None, gap_seconds: int) -> DataFrame:
+def _maps(latest: DataFrame, previous: DataFrame | None, gap_seconds: int) -> tuple[DataFrame, int]:
     stamps = latest.select("snapshot_at", F.lit(1).alias("_src"))
     if previous is not None:
         stamps = stamps.unionByName(previous.select("snapshot_at", F.lit(0).alias("_src")))
-    return keep(batch_map(stamps, gap_seconds, scope=["_src"]))
+    m, n = sized_batch_map(stamps, gap_seconds, scope=["_src"])
+    return keep(m), n
 
 
 def select_periods(latest: DataFrame, previous: DataFrame | None, gap_seconds: int = 300) -> Periods:
     TS, BATCH = F.col("snapshot_at"), F.col("Observation_Batch")
-    maps = _maps(latest, previous, gap_seconds)
+    maps, n_stamps = _maps(latest, previous, gap_seconds)
     cur_map = maps.where(F.col("_src") == 1).drop("_src")
     prev_map = maps.where(F.col("_src") == 0).drop("_src") if previous is not None else None
 
@@ -93,7 +94,11 @@ def select_periods(latest: DataFrame, previous: DataFrame | None, gap_seconds: i
         n = b["latest_batch"] - r["lo"] + 1
         newest = r["newest"]
 
-    current = with_batches(latest.where(TS >= F.lit(current_start)), mapping=cur_map.where(TS >= F.lit(current_start)))
+    current = with_batches(
+        latest.where(TS >= F.lit(current_start)),
+        mapping=cur_map.where(TS >= F.lit(current_start)),
+        mapping_rows=n_stamps,
+    )
     if newest is None:
         cut = cut_lineage(current, "current_window")
         return Periods(cut, None, current_start, n, has_new, (maps,))
@@ -104,7 +109,7 @@ def select_periods(latest: DataFrame, previous: DataFrame | None, gap_seconds: i
     ends = picked.groupBy("Observation_Batch").agg(F.max("snapshot_at").alias("Observation_At"))
     mapping = join_small(picked.drop("Observation_At"), ends, on="Observation_Batch", how="inner")
     rows = source_rows.where((TS >= F.lit(span["lo"])) & (TS <= F.lit(span["hi"])))
-    baseline = with_batches(rows, mapping=mapping)
+    baseline = with_batches(rows, mapping=mapping, mapping_rows=n_stamps)
 
     # both windows in one write, partitioned by window; each read back with pruning
     both = current.withColumn("_window", F.lit("current")).unionByName(

@@ -17,9 +17,6 @@ SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # coalesce small shuffles to the advisory size instead of keeping one
-    # partition per core (the recommended setting for shared clusters)
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
@@ -44,6 +41,11 @@ def get_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
+    if not (master or "").startswith("local"):
+        # on a shared cluster, coalesce small shuffles to the advisory size
+        # instead of keeping one partition per core; a single node keeps
+        # Spark's default so CPU-heavy stages stay parallel
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
