@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from staylens.functions.columns import sum0
 from staylens.operators.batches import sized_batch_map, with_batches
 from staylens.operators.joins import join_small
+from staylens.session import keep
 
 HOTEL_KEYS = ["ProductID", "checkin_date"]
 DEST_KEYS = ["Destination", "checkin_date"]
@@ -108,7 +109,8 @@ def stored_history(
 ) -> tuple[DataFrame, DataFrame]:
     """A4: all-history hotel and destination facts (re-batched on the union)."""
     rows = stored_history_rows(latest, previous)
-    batched = with_batches(rows, gap_seconds)
+    # read by both the hotel and the destination facts: cached (spills to disk)
+    batched = keep(with_batches(rows, gap_seconds))
     hotels = hotel_checkin(rows, batched=batched).select(
         *HOTEL_KEYS,
         F.col("snapshot_at").alias("Last_Observed_At"),

@@ -45,6 +45,11 @@ class Periods:
             df.unpersist()
 
 
+def _ntz(value) -> F.Column:
+    """A timestamp_ntz literal (a Python datetime would become a session-time-zone timestamp)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _maps(latest: DataFrame, previous: DataFrame | None, gap_seconds: int) -> tuple[DataFrame, int]:
     stamps = latest.select("snapshot_at", F.lit(1).alias("_src"))
     if previous is not None:
@@ -85,18 +90,18 @@ def select_periods(latest: DataFrame, previous: DataFrame | None, gap_seconds: i
         source_rows, source_map = previous, prev_map
     else:
         current_start = day_start
-        source_rows = latest.where(TS < F.lit(day_start))
-        source_map = cur_map.where(TS < F.lit(day_start))
+        source_rows = latest.where(TS < _ntz(day_start))
+        source_map = cur_map.where(TS < _ntz(day_start))
         r = cur_map.agg(
-            F.min(F.when(TS >= F.lit(day_start), BATCH)).alias("lo"),
-            F.max(F.when(TS < F.lit(day_start), BATCH)).alias("newest"),
+            F.min(F.when(TS >= _ntz(day_start), BATCH)).alias("lo"),
+            F.max(F.when(TS < _ntz(day_start), BATCH)).alias("newest"),
         ).first()
         n = b["latest_batch"] - r["lo"] + 1
         newest = r["newest"]
 
     current = with_batches(
-        latest.where(TS >= F.lit(current_start)),
-        mapping=cur_map.where(TS >= F.lit(current_start)),
+        latest.where(TS >= _ntz(current_start)),
+        mapping=cur_map.where(TS >= _ntz(current_start)),
         mapping_rows=n_stamps,
     )
     if newest is None:
@@ -108,7 +113,7 @@ def select_periods(latest: DataFrame, previous: DataFrame | None, gap_seconds: i
     # batch ends among the kept stamps (matters when a batch straddles the cut day)
     ends = picked.groupBy("Observation_Batch").agg(F.max("snapshot_at").alias("Observation_At"))
     mapping = join_small(picked.drop("Observation_At"), ends, on="Observation_Batch", how="inner")
-    rows = source_rows.where((TS >= F.lit(span["lo"])) & (TS <= F.lit(span["hi"])))
+    rows = source_rows.where((TS >= _ntz(span["lo"])) & (TS <= _ntz(span["hi"])))
     baseline = with_batches(rows, mapping=mapping, mapping_rows=n_stamps)
 
     # both windows in one write, partitioned by window; each read back with pruning

@@ -67,14 +67,15 @@ def extracts(engine: DataFrame) -> dict[str, DataFrame]:
 def publish_outputs(
     spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, mark: bool = True
 ) -> str:
-    """SNK1 + SNK2: write every table (and the engine extracts) into a new version."""
+    """SNK1 + SNK2: write every table into a new version; extracts come from the written engine."""
     version = new_version(spark, out_dir)
     base = f"{out_dir.rstrip('/')}/{version}"
-    all_tables = dict(tables)
-    if "engine" in tables:
-        all_tables.update(extracts(tables["engine"]))
-    for name, df in all_tables.items():
+    for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}")
+    if "engine" in tables:
+        # filters over the written engine, not four recomputations of it
+        for name, df in extracts(spark.read.parquet(f"{base}/engine")).items():
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
     if mark:
         mark_published(spark, base)
     return base
