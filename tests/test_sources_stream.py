@@ -90,3 +90,26 @@ def test_stream_merges_each_export(spark, tmpdir_path):
     latest, previous = read_store(spark, store)
     assert rows(latest, "view_volume") == [(1.0,), (5.0,), (9.0,)]
     assert previous.count() == 2
+
+
+def test_merge_publish_versions(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from conftest import SMOKE
+    from staylens.plans.increment import merge_publish
+    from staylens.plans.rebuild import driver_sources
+    from staylens.sources import driver_tables as T
+
+    dims = driver_sources(spark, SMOKE)
+    store, out = os.path.join(tmpdir_path, "store"), os.path.join(tmpdir_path, "out")
+    first = merge_publish(spark, store, T.demand_previous(spark, SMOKE), dims, out, 300)
+    assert first["published"].endswith("v=1") and first["new_events"] > 0
+    upload = T.demand_latest(spark, SMOKE).where(
+        (F.col("snapshot_at") >= F.lit(T.PREVIOUS_CUTOFF).cast("timestamp_ntz")) | (F.col("load_seq") == 1)
+    )
+    second = merge_publish(spark, store, upload, dims, out, 300)
+    assert second["published"].endswith("v=2") and second["data_changed"]
+    again = merge_publish(spark, store, upload, dims, out, 300)
+    assert again["published"] is None and not again["data_changed"]
+    assert files.read_published(spark, out, "engine").count() > 0
+    assert publish.current_version(spark, store) == "v=2"
