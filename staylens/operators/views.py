@@ -211,7 +211,14 @@ def date_worklist(history_hotels: DataFrame, detail: DataFrame, n: int = 12) ->
         F.col("ProductName").asc_nulls_last(),
         F.col("ProductID").asc(),
     )
-    top = t.withColumn("Priority", F.row_number().over(w)).where(F.col("Priority") <= n)
+    # filter on the raw row number so Spark limits each date per partition
+    # before the shuffle (WindowGroupLimit): a busy date never lands whole in a task
+    top = (
+        t.withColumn("_rn", F.row_number().over(w))
+        .where(F.col("_rn") <= n)
+        .withColumn("Priority", F.col("_rn").cast("bigint"))
+        .drop("_rn")
+    )
     top = join_small(top, qs, on="checkin_date", how="left")
     views = F.col("Total_Observed_Views")
     lvl = level(views, [(F.col("_q")[1], "Very High"), (F.col("_q")[0], "High")], "Medium")

@@ -16,6 +16,8 @@ from staylens.functions import columns as C
 from staylens.operators import facts
 from staylens.operators.batches import with_batches
 from staylens.operators.joins import join_small
+from staylens.operators.ranking import global_row_number
+from staylens.session import cut_lineage
 from staylens.operators.views import WORK_PRIORITY, level, work_priority
 
 # Signal sort orders of the weekly worklist.
@@ -216,15 +218,33 @@ def checkin_week_hotels(detail: DataFrame) -> DataFrame:
     h = h.withColumn("Work Priority", work_priority(F.col("Current_Views"), F.col("View_Change"), F.col("_q")[1]))
     h_order = _map_order("`Hotel Signal`", HOTEL_SIGNAL_ORDER)
     d_order = _map_order("`Destination Signal`", DEST_SIGNAL_ORDER)
-    w = Window.partitionBy("week_start").orderBy(
-        (F.col("Current_Views") > 0).desc(),
-        F.col("Current_Views").desc_nulls_last(),
-        h_order.desc(),
-        d_order.desc(),
-        F.col("View_Change").desc_nulls_last(),
-        F.col("ProductID").asc(),
+    # one row per hotel and week, scanned twice by the rank below: written once
+    h = cut_lineage(h.withColumns({"_ho": h_order, "_do": d_order}), "week_hotels")
+    # W13 rank within the week: a global row number over (week, sort keys)
+    # minus the rows of earlier weeks, so no week is ranked inside one task
+    ranked = global_row_number(
+        h,
+        [
+            F.col("week_start").asc(),
+            (F.col("Current_Views") > 0).desc(),
+            F.col("Current_Views").desc_nulls_last(),
+            F.col("_ho").desc(),
+            F.col("_do").desc(),
+            F.col("View_Change").desc_nulls_last(),
+            F.col("ProductID").asc(),
+        ],
+        "_rank",
+    )
+    per_week = h.groupBy("week_start").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = per_week.withColumn(
+        "_before",
+        F.coalesce(F.sum("_n").over(Window.orderBy("week_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    ).select("week_start", "_before")
+    # one row per calendar week: bounded by the calendar
+    ranked = join_small(ranked, offsets, on="week_start", how="inner", bounded=True)
+    return ranked.withColumn("Priority", (F.col("_rank") - F.col("_before")).cast("bigint")).drop(
+        "_q", "_ho", "_do", "_rank", "_before"
     )
-    return h.withColumn("Priority", F.row_number().over(w)).drop("_q")
 
 
 def week_worklist(hotels: DataFrame, n: int = 200) -> DataFrame:

@@ -46,3 +46,16 @@ def test_time_filters_reach_the_scan(spark):
     plan = lat.where(F.col("snapshot_at") >= F.lit("2024-01-20").cast("timestamp_ntz"))._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+def test_top_k_per_date_is_limited_before_the_shuffle(spark):
+    plan = E.queries()["date_worklist"](spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_week_priorities_are_a_ranking_per_week(spark):
+    df = E.queries()["checkin_week_hotels"](spark, SMOKE)
+    per_week = df.groupBy("week_start").agg(F.count(F.lit(1)).alias("n"), F.min("Priority").alias("lo"),
+                                            F.max("Priority").alias("hi"), F.count_distinct("Priority").alias("d"))
+    for r in per_week.collect():
+        assert (r.lo, r.hi, r.d) == (1, r.n, r.n)
