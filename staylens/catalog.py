@@ -20,6 +20,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def bigint_counts(sql: str) -> str:
+    """``count_if(x)`` -> ``count(*) FILTER (WHERE x)``: BIGINT (not HUGEINT) and 0 on no rows."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k, depth = j + len(token), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "count(*) FILTER (WHERE " + bigint_counts(sql[j + len(token):k - 1]) + ")")
+        i = k
+
+
 def register(name: str, sql: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +45,7 @@ def register(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = bigint_counts(sql)
         return fn
 
     return wrap

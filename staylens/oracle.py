@@ -174,7 +174,7 @@ def select_rounded(cols: list[str], doubles: set[str], src: str) -> str:
     parts = []
     for c in cols:
         ident = q(c)
-        parts.append(f"round({ident}, 9) + 0.0 AS {ident}" if c in doubles else ident)
+        parts.append(f"round(CAST({ident} AS DOUBLE), 9) + 0.0 AS {ident}" if c in doubles else ident)
     return f" SELECT {', '.join(parts)} FROM {src}"
 
 
