@@ -36,14 +36,14 @@ AGODA_BY_MOD5 = ["Mapped", "no room", "Not Live", " not mapped", None]
 CTRIP_BY_MOD4 = ["Mapped", "Not Live", "Not Mapped", None]
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
+_SCANS: dict[tuple[int, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One scan per table and session: reading a Parquet path infers its
     schema with a small job, and the adapter uses some tables many times."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (id(spark), spark.sparkContext.applicationId, path)
     if key not in _SCANS:
         _SCANS[key] = spark.read.parquet(path)
     return _SCANS[key]
