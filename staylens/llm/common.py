@@ -10,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MAX_BITS = 1 << 27  # a bit table has 16 MB at most, the bound of what is broadcast
+_BLOCK = 1 << 16
 CACHE_WORDS = 300_000  # distinct words whose hash a Python worker remembers
 _MASK = (1 << 64) - 1
 
@@ -98,8 +101,29 @@ def crc_bucket(divisor: int):
     return F.coalesce(F.expr(f"crc32(cast(cast(doc_id AS string) AS binary)) % {divisor}").cast("int"), F.lit(-1))
 
 
-def array_table(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in zip(schema, columns.values(), strict=True)],
-        schema=schema,
-    )
+def _bit_block(frame: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(_BLOCK, np.uint8)
+    bits[frame["low"].to_numpy()] = 1
+    return pd.DataFrame({"block": [frame["block"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def bit_table(hashes: DataFrame, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
+    """Bit table (and its mask) of the 64-bit hashes in the one column of a written table.
+
+    About 16 bits a hash up to ``max_bits``; past that the table has more false
+    positives, so it only ever serves to spare work before an exact join.
+    """
+    size, n, name = _BLOCK, hashes.count(), hashes.columns[0]
+    while size < min(max_bits, 16 * n):
+        size *= 2
+    slot = F.col(name).bitwiseAND(size - 1)
+    blocks = hashes.select(F.shiftright(slot, 16).cast("int").alias("block"), slot.bitwiseAND(_BLOCK - 1).cast("int").alias("low")).distinct()
+    bits = np.zeros(size // 8, np.uint8)
+    for row in blocks.groupBy("block").applyInPandas(_bit_block, "block int, bits binary").toLocalIterator():
+        bits[row.block * _BLOCK // 8 : (row.block + 1) * _BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
+    return bits, size - 1
+
+
+def in_table(hashes: np.ndarray, bits: np.ndarray, mask: int) -> np.ndarray:
+    slot = (hashes & np.uint64(mask)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.llm.common import doc_batches, id_and_text
+from staylens.llm.common import bit_table, doc_batches, id_and_text, in_table
 from staylens.session import cut_lineage
 
 CHUNK_BYTES = 1 << 16
@@ -96,18 +96,23 @@ def _fingerprints(moduli: tuple[int, int]):
     return run
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk of each normalised text, in streams of bounded size."""
-    for ids, texts, batch in doc_batches(batches):
-        keep = [n for n in batch.schema.names if n != "text"]
-        for row, text in enumerate(texts):
-            data = normalise(text)
-            parts = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
-            if parts:
-                same = {n: pa.array([batch.column(n)[row].as_py()] * len(parts), batch.schema.field(n).type) for n in keep}
-                yield pa.RecordBatch.from_arrays(
-                    [*same.values(), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=[*same, "chunk_no", "chunk"]
-                )
+def _chunks(bits: np.ndarray, mask: int):
+    """One row per chunk of each normalised text whose hash is in the table, a text at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = np.flatnonzero(in_table(batch.column("xx").to_numpy().view(np.uint64), bits, mask))
+            for ids, texts, part in doc_batches([batch.take(pa.array(wanted))]):
+                for row, text in enumerate(texts):
+                    data = normalise(text)
+                    cuts = range(0, len(data), CHUNK_BYTES)
+                    at = pa.array([row] * len(cuts), pa.int64())
+                    parts = pa.array([data[i : i + CHUNK_BYTES] for i in cuts], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(at), part.column("xx").take(at), pa.array(range(len(cuts)), pa.int32()), parts], names=["doc_id", "xx", "chunk_no", "chunk"]
+                    )
+
+    return run
 
 
 def _with_xx(docs: DataFrame) -> DataFrame:
@@ -134,11 +139,15 @@ def exact_groups(docs: DataFrame, moduli: tuple[int, int] = MODULI) -> DataFrame
         F.col("ref.doc_id").alias("doc_id"), F.col("ref.xx").alias("xx"), F.col("ref.rid").alias("ref_rid"), "salts", F.lit(None).cast("int").alias("salt")
     )
     wanted = cut_lineage(members.unionByName(references), "op1-wanted")
-    rows = cut_lineage(  # one pass over the texts serves both kinds
-        docs.alias("d").join(wanted.alias("w"), F.expr("d.xx = w.xx AND d.doc_id <=> w.doc_id"))
-        .select("w.*", "text").mapInArrow(_chunks, "doc_id long, xx long, ref_rid long, salts int, salt int, chunk_no int, chunk binary"),
-        "op1-chunks",
-    )
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select("xx")))
+
+    def chunks(batches):
+        return _chunks(*table.value)(batches)
+
+    # one pass over the texts serves both kinds; texts outside all groups stay where they are
+    found = docs.mapInArrow(chunks, "doc_id long, xx long, chunk_no int, chunk binary")
+    found = found.alias("d").join(wanted.alias("w"), F.expr("d.xx = w.xx AND d.doc_id <=> w.doc_id"))
+    rows = cut_lineage(found.select("w.*", "chunk_no", "chunk"), "op1-chunks")
     mine = rows.where("salt IS NOT NULL").select("doc_id", "xx", "ref_rid", "salt", "chunk_no", "chunk")
     theirs = rows.where("salt IS NULL").select(
         "ref_rid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "chunk_no", F.col("chunk").alias("ref_chunk")

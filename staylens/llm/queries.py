@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import exact_dedup, ngram_join, substring_dedup
+from staylens.llm import exact_dedup, merkle, ngram_join, substring_dedup
 from staylens.llm.common import documents
 
 
@@ -22,10 +22,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_trial(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_merkle_fingerprint": op4_merkle_fingerprint,
 }
 
 SQL: dict[str, str] = {

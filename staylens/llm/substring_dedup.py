@@ -16,8 +16,8 @@ A prefix-partitioned suffix tree over words, cut at the depth that matters
 
 Prefixes are compared by rolling hashes, 96 bits of them at full depth.
 
-The set of shared anchors reaches the second pass as a bit table of at most
-MAX_BITS bits; a false positive there costs work and changes no result.
+The set of shared anchors reaches the second pass as a bit table of bounded
+size; a false positive there costs work and changes no result.
 
 Defined cases: null text has no words; texts under ``window`` words stay
 whole; rows with a null ``doc_id`` count as larger than all others and stay
@@ -31,20 +31,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.llm.common import Rolling, WordHash, doc_batches, id_and_text, mix, sliding_min
+from staylens.llm.common import Rolling, WordHash, bit_table, doc_batches, id_and_text, in_table, mix, sliding_min
 from staylens.session import cut_lineage
 
 WINDOW = 50
 ANCHOR = 8
-MAX_BITS = 1 << 27  # 16 MB, the bound of what is broadcast
-_BLOCK = 1 << 16
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_LAST = (1 << 63) - 1
 
 
 def _sequence_hash(words: list[bytes]) -> tuple[int, int]:
@@ -91,8 +87,7 @@ def _suffixes(window: int, bits: np.ndarray, mask: int):
                 if len(words) < window:
                     continue
                 hashes = word.of(words)
-                slot = (_anchors(hashes, first, window) & np.uint64(mask)).astype(np.int64)
-                where = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                where = np.flatnonzero(in_table(_anchors(hashes, first, window), bits, mask))
                 if len(where):
                     rows.append(row)
                     h1.append(first.windows(hashes, window)[where].view(np.int64))
@@ -131,28 +126,10 @@ def _removal(window: int):
     return run
 
 
-def _bit_block(frame: pd.DataFrame) -> pd.DataFrame:
-    bits = np.zeros(_BLOCK, np.uint8)
-    bits[frame["low"].to_numpy()] = 1
-    return pd.DataFrame({"block": [frame["block"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-
-def shared_anchor_bits(survey: DataFrame, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
-    """Bit table (and its mask) of the anchors that occur in two different texts."""
-    shared = (
-        survey.select("s1", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("s1").alias("a"), F.max("s1").alias("z"))
-        .where("a != z").select("anchor")
-    )
-    shared = cut_lineage(shared, "op2-anchors")
-    size = _BLOCK
-    while size < max_bits and size < 16 * shared.count():
-        size *= 2
-    slot = F.col("anchor").bitwiseAND(size - 1)
-    blocks = shared.select(F.shiftright(slot, 16).cast("int").alias("block"), slot.bitwiseAND(_BLOCK - 1).cast("int").alias("low")).distinct()
-    bits = np.zeros(size // 8, np.uint8)
-    for row in blocks.groupBy("block").applyInPandas(_bit_block, "block int, bits binary").toLocalIterator():
-        bits[row.block * _BLOCK // 8 : (row.block + 1) * _BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
-    return bits, size - 1
+def shared_anchors(survey: DataFrame) -> DataFrame:
+    """The anchors that occur in two different texts."""
+    rows = survey.select("s1", F.explode("anchors").alias("anchor"))
+    return rows.groupBy("anchor").agg(F.min("s1").alias("a"), F.max("s1").alias("z")).where("a != z").select("anchor")
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -161,9 +138,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     survey = cut_lineage(
         docs.mapInArrow(_survey(window), "doc_id long, n_words long, s1 long, s2 long, all_sha256 string, anchors array<long>"), "op2-survey"
     )
-    bits, mask = shared_anchor_bits(survey)
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast((bits, mask))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(cut_lineage(shared_anchors(survey), "op2-anchors")))
 
     def suffixes(batches):
         return _suffixes(window, *table.value)(batches)
