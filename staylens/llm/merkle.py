@@ -26,7 +26,8 @@ from staylens.llm.common import id_and_text
 
 SECTION = 16
 LEAF_CHARS = 48
-ROWS_PER_RANGE = 512  # documents of one window partition, on average
+ROWS_PER_RANGE = 512  # documents of one window partition, on average, in tables of up to 33 million
+MAX_RANGES = 1 << 16  # the bound of what is broadcast
 _LEAF = f"[^.!?\\n]{{1,{LEAF_CHARS}}}[.!?]*|[.!?]+"
 
 
@@ -93,32 +94,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with ``columns`` of the row after it in ``doc_id`` order (after the last: the first) as next_<column>.
 
-    Rows are dealt to ranges of ids of equal width, so a window meets about
-    ROWS_PER_RANGE of them.  The last row of a range takes the first row of the
-    next range that has any, through a table with one row per range; its
-    successor is found in the same way, in wider ranges.
+    Rows are dealt to at most MAX_RANGES ranges of ids of equal width, and the
+    first row of each range also visits the range before it, so one window per
+    range sees every successor and each text is shuffled once.  Only the first
+    id of each range is broadcast.
     """
     bounds = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo = bounds.lo or 0
-    width = max(1, -(-((bounds.hi or 0) - lo + 1) * ROWS_PER_RANGE // max(1, bounds.n)))
+    lo, ranges = bounds.lo or 0, max(1, min(MAX_RANGES, bounds.n // ROWS_PER_RANGE))
+    width = -(-((bounds.hi or 0) - lo + 1) // ranges)
     part = F.coalesce(F.floor((F.col("doc_id") - lo) / width).cast("long"), F.lit(-1))
     rows = rows.withColumn("range_no", part)
-    order = Window.partitionBy("range_no").orderBy("doc_id", "text")
-    payload = F.struct(*columns)
-    linked = rows.withColumn("after", F.lead(payload).over(order)).withColumn("place", F.row_number().over(order))
-    firsts = linked.where("place = 1").select("range_no", payload.alias("head"))
-    ranges = linked.where("after IS NULL").select("range_no")
-    # the next range with rows: within wide ranges of 4096, then across those
-    wide = Window.partitionBy(F.expr("range_no div 4096")).orderBy("range_no")
-    near = ranges.withColumn("following", F.lead("range_no").over(wide))
-    tops = near.groupBy(F.expr("range_no div 4096").alias("wide_no")).agg(F.min("range_no").alias("low"), F.max("range_no").alias("range_no"))
-    across = tops.select("range_no", F.lead("low").over(Window.orderBy("wide_no")).alias("beyond"), F.min("low").over(Window.partitionBy(F.lit(0))).alias("start"))
-    hops = near.join(across, "range_no", "left").select("range_no", F.coalesce("following", "beyond", "start").alias("target"))
-    heads = hops.join(firsts.withColumnRenamed("range_no", "target"), "target").select(F.col("range_no").alias("of_range"), "head")
-    inner = linked.where("after IS NOT NULL").select(*rows.columns, F.col("after").alias("next"))
-    outer = linked.where("after IS NULL").join(heads, F.col("range_no") == F.col("of_range")).select(*rows.columns, F.col("head").alias("next"))
-    both = inner.unionByName(outer)
-    return both.select(*[c for c in rows.columns if c != "range_no"], *[F.col(f"next.{c}").alias(f"next_{c}") for c in columns])
+    order = Window.orderBy("range_no")
+    firsts = rows.groupBy("range_no").agg(F.min("doc_id").alias("first_id"))  # at most MAX_RANGES + 1 rows
+    last = F.max("range_no").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    visits = firsts.select("first_id", F.coalesce(F.lag("range_no").over(order), last).alias("visited"))
+    home = F.struct(F.col("range_no"), F.lit(False).alias("guest"))
+    away = F.struct(F.col("visited").alias("range_no"), F.lit(True).alias("guest"))
+    names = [c for c in rows.columns if c != "range_no"]
+    placed = rows.join(F.broadcast(visits), F.col("doc_id").eqNullSafe(F.col("first_id")), "left").select(
+        *names, F.explode(F.filter(F.array(home, away), lambda x: x["range_no"].isNotNull())).alias("at")
+    )
+    near = Window.partitionBy("at.range_no").orderBy("at.guest", "doc_id", "text")
+    after = [F.lead(c).over(near).alias(f"next_{c}") for c in columns]
+    return placed.select(*names, "at", *after).where("NOT at.guest").drop("at")
 
 
 def edit_trial(docs: DataFrame) -> DataFrame:
