@@ -143,7 +143,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     def suffixes(batches):
         return _suffixes(window, *table.value)(batches)
 
-    first = survey.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("first_id"))
+    first = cut_lineage(survey.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("first_id")), "op2-first")
     paths = docs.where("doc_id IS NOT NULL").mapInArrow(suffixes, "doc_id long, h1 array<long>, h2 array<int>, at array<int>")
     paths = cut_lineage(paths.join(first.select(F.col("first_id").alias("doc_id")), "doc_id"), "op2-paths")
     leaves = paths.select("doc_id", F.inline(F.arrays_zip("h1", "h2", "at")))
