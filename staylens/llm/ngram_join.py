@@ -36,12 +36,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.llm.common import Rolling, WordHash, doc_batches, id_and_text, mix
+from staylens.llm.common import Rolling, WordHash, bit_table, doc_batches, id_and_text, in_table, mix
 from staylens.session import cut_lineage
 
 K = 5
 PERCENT = 75
-GROUPS = 32
+GROUPS = 128
 BANDS, ROWS = 6, 3
 SKETCH = 1 << 20  # slots of the count sketch: 8 MB, the bound of what is broadcast
 _SKETCH_BLOCK = 1 << 14
@@ -73,18 +73,19 @@ def _survey(k: int):
         shingles, sketch = Shingles(k), np.zeros(SKETCH, np.uint32)
         names = ["kind", "doc_id", "n", "s1", "s2", "bands", "block", "counts"]
         for ids, texts, _ in doc_batches(batches):
-            n, s1, s2, bands = [], [], [], []
+            n, s1, s2, bands, slots = [], [], [], [], [np.empty(0, np.int64)]
             for text in texts:
                 found = shingles.of(text)
                 n.append(len(found))
                 s1.append(int(found.sum().view(np.int64)) if len(found) else 0)
                 s2.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(7))).view(np.int64)) if len(found) else 0)
                 if len(found):
-                    np.add.at(sketch, (found & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                    low = np.array([mix(found * s).min() for s in _SEEDS], np.uint64).reshape(BANDS, ROWS)
+                    slots.append((found & np.uint64(SKETCH - 1)).astype(np.int64))
+                    low = np.array([(found * s).min() for s in _SEEDS], np.uint64).reshape(BANDS, ROWS)
                     bands.append(mix(low[:, 0] + mix(low[:, 1] + mix(low[:, 2]))).view(np.int64))
                 else:
                     bands.append(np.empty(0, np.int64))
+            sketch += np.bincount(np.concatenate(slots), minlength=SKETCH).astype(np.uint32)
             m = len(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * m, pa.int32()), ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
@@ -122,8 +123,8 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
                     take = n - -(-percent * n // 100) + 1
                     count = sketch[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
                     rows.append(row)
-                    rare.append(found[np.lexsort((found, count))[:take]].view(np.int64))
-                    points.append(np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                    rare.append(found[np.argsort(count, kind="stable")[:take]].view(np.int64))  # found is sorted: ties go by hash
+                    points.append(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows, pa.int64())), pa.array(rare, pa.list_(pa.int64())), pa.array(points, pa.binary())],
                 names=["doc_id", "rare", "point"],
@@ -132,45 +133,101 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
     return run
 
 
-def _tree_pairs(percent: int):
-    """Pairs of a bucket (or of two of its blocks) whose points allow the needed overlap."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["doc_id", "blk"]).sort_values(["n", "doc_id"], kind="stable")
-        ids, comp, n, block = (frame[c].to_numpy() for c in ("doc_id", "comp", "n", "blk"))
-        points = np.stack([np.frombuffer(p, np.int32) for p in frame["point"]])
-        one_block = frame["lo"].iloc[0] == frame["hi"].iloc[0]
-        cuts = range(0, len(ids), LEAF)
-        most = np.stack([points[i : i + LEAF].max(0) for i in cuts])
-        least, largest = np.array([n[i] for i in cuts]), np.array([n[min(i + LEAF, len(n)) - 1] for i in cuts])
-        out: list[np.ndarray] = []
-        for a, i in enumerate(cuts):
-            bound = np.minimum(most[a], most[a:]).sum(1)
-            may = (100 + percent) * bound >= percent * (least[a] + least[a:])
-            may &= 100 * largest[a] >= percent * least[a:]
-            for b in np.flatnonzero(may) + a:
-                j = b * LEAF
-                p, q = slice(i, i + LEAF), slice(j, j + LEAF)
-                overlap = np.minimum(points[p][:, None], points[q][None]).sum(2)
-                good = (100 + percent) * overlap >= percent * (n[p][:, None] + n[q][None])
-                good &= comp[p][:, None] != comp[q][None]
-                if not one_block:
-                    good &= block[p][:, None] != block[q][None]
-                x, y = np.nonzero(good)
-                u, v = ids[p][x], ids[q][y]
-                pair = np.stack([np.minimum(u, v), np.maximum(u, v)], 1)
-                out.append(pair[u < v] if a == b else pair)
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype="int64")
+class Bucket:
+    """Documents as points, sorted by bucket and set size."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.percent = percent
+        self.ids, self.comp, self.n, self.block, lo, hi, token = (
+            table[c].to_numpy() for c in ("doc_id", "comp", "n", "blk", "lo", "hi", "token")
+        )
+        self.split = lo != hi
+        edge = np.flatnonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        self.starts = np.concatenate(([0], edge, [len(token)]))
+        self.points = np.frombuffer(b"".join(table["point"].to_pylist()), np.int32).reshape(-1, GROUPS)
+
+    def fit(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of rows whose sizes and coordinate minima allow a link between components."""
+        good = (self.comp[i] != self.comp[j]) & (100 * self.n[i] >= self.percent * self.n[j])
+        good &= ~self.split[i] | (self.block[i] != self.block[j])
+        i, j = i[good], j[good]
+        overlap = np.concatenate([np.minimum(self.points[i[c : c + 8192]], self.points[j[c : c + 8192]]).sum(1) for c in range(0, len(i) + 1, 8192)])
+        good = (100 + self.percent) * overlap >= self.percent * (self.n[i] + self.n[j])
+        return i[good], j[good]
+
+    def leaves(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs in buckets of one leaf, all such buckets together, by distance in the order."""
+        length = np.diff(self.starts)
+        small = length <= LEAF
+        rows = np.flatnonzero(np.repeat(small, length))
+        end = np.repeat(self.starts[1:], length)[rows]
+        for step in range(1, LEAF):
+            near = rows + step < end
+            if not near.any():
+                return
+            rows, end = rows[near], end[near]
+            yield self.fit(rows, rows + step)
+
+    def tree(self, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a larger bucket: boxes of LEAF points are joined before their points."""
+        cuts = np.arange(start, end, LEAF)
+        most = np.stack([self.points[c : min(c + LEAF, end)].max(0) for c in cuts])
+        least, largest = self.n[cuts], self.n[np.minimum(cuts + LEAF, end) - 1]
+        alone = np.array([(self.comp[c : min(c + LEAF, end)] == self.comp[c]).all() for c in cuts])
+        first = self.comp[cuts]
+        for a, c in enumerate(cuts):
+            may = (100 + self.percent) * np.minimum(most[a], most[a:]).sum(1) >= self.percent * (least[a] + least[a:])
+            may &= 100 * largest[a] >= self.percent * least[a:]
+            may &= ~(alone[a] & alone[a:] & (first[a] == first[a:]))  # boxes of one and the same component
+            for d in cuts[a:][may]:
+                i, j = np.meshgrid(np.arange(c, min(c + LEAF, end)), np.arange(d, min(d + LEAF, end)), indexing="ij")
+                yield self.fit(*(x[i < j] for x in (i, j)))
+
+    def pairs(self) -> np.ndarray:
+        found = [*self.leaves()]
+        for start, end in zip(self.starts[:-1], self.starts[1:], strict=True):
+            if end - start > LEAF:
+                found += self.tree(start, end)
+        if not found:
+            return np.empty((0, 2), np.int64)
+        u, v = (self.ids[np.concatenate(x)] for x in zip(*found, strict=True))
+        return np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+
+
+def _bucket_pairs(percent: int):
+    """Pairs of each bucket (or of two of its blocks); whole buckets only, the last one waits for the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(table: pa.Table) -> pa.RecordBatch:
+            pairs = Bucket(table, percent).pairs()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                rest = table if rest is None else pa.concat_tables([rest, table])
+                keys = [rest[c].to_numpy() for c in ("token", "lo", "hi")]
+                last = np.logical_and.reduce([k == k[-1] for k in keys])
+                cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+                if cut:
+                    yield out(rest.slice(0, cut))
+                    rest = rest.slice(cut)
+        if rest is not None:
+            yield out(rest)
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, bits: np.ndarray, mask: int):
+    """Shingle sets of the documents whose id hash is in the table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
-        for ids, texts, _ in doc_batches(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([shingles.of(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "members"])
+        for batch in batches:
+            wanted = np.flatnonzero(in_table(batch.column("hash").to_numpy().view(np.uint64), bits, mask))
+            for ids, texts, _ in doc_batches([batch.take(pa.array(wanted))]):
+                yield pa.RecordBatch.from_arrays([ids, pa.array([shingles.of(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "members"])
 
     return run
 
@@ -192,8 +249,14 @@ def _alike(percent: int):
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) that link.  A document in many pairs is met by salted parts of them."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id").dropDuplicates(["doc_id"])
-    sets = cut_lineage(texts.mapInArrow(_sets(k), "doc_id long, members binary"), f"{name}-sets")
+    ids = cut_lineage(ids.select("doc_id", F.xxhash64("doc_id").alias("hash")), f"{name}-ids")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select("hash")))
+
+    def sets_of(batches):
+        return _sets(k, *table.value)(batches)
+
+    found = docs.where("doc_id IS NOT NULL").withColumn("hash", F.xxhash64("doc_id")).mapInArrow(sets_of, "doc_id long, members binary")
+    sets = cut_lineage(found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-sets")
     uses = cut_lineage(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), f"{name}-uses")
     hubs = sets.join(uses, sets.doc_id == uses.a).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("members").alias("x")
@@ -267,7 +330,8 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     met = met.select("token", "doc_id", "comp", "n", "point", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
-    pairs = met.groupBy("token", "lo", "hi").applyInPandas(_tree_pairs(percent), "a long, b long").distinct()
+    met = met.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "doc_id")
+    pairs = met.mapInArrow(_bucket_pairs(percent), "a long, b long").distinct()
     late = verified(docs, cut_lineage(pairs, "op3-pairs"), k, percent, "op3-late")
 
     head = heads.select(F.col("doc_id").alias("h"), "comp")
