@@ -96,6 +96,37 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have : width - have + n])
 
 
+def _texts(bits: np.ndarray, mask: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = np.flatnonzero(in_table(batch.column("hash").to_numpy().view(np.uint64), bits, mask))
+            yield batch.select(["doc_id", "hash", "text"]).take(pa.array(wanted))
+
+    return run
+
+
+def texts_of(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """doc_id, hash, text of the rows whose ``hash`` is in the one column of a written table, and of a few others."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(hashes))
+
+    def run(batches):
+        return _texts(*table.value)(batches)
+
+    return docs.mapInArrow(run, "doc_id long, hash long, text string")
+
+
+def sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each value of ``label``, chosen by a hash of ``doc_id``; all rows of smaller classes.
+
+    Only for fitting models; the values of ``label`` are few.
+    """
+    counts = {r[label]: r["n"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share[F.col(label)] * 1_000_000)
+
+
 def crc_bucket(divisor: int):
     """crc32 of the id written as text, modulo ``divisor`` (null id: -1)."""
     return F.coalesce(F.expr(f"crc32(cast(cast(doc_id AS string) AS binary)) % {divisor}").cast("int"), F.lit(-1))

@@ -124,7 +124,7 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
                     count = sketch[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
                     rows.append(row)
                     rare.append(found[np.argsort(count, kind="stable")[:take]].view(np.int64))  # found is sorted: ties go by hash
-                    points.append(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                    points.append(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows, pa.int64())), pa.array(rare, pa.list_(pa.int64())), pa.array(points, pa.binary())],
                 names=["doc_id", "rare", "point"],
@@ -133,25 +133,48 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
     return run
 
 
+def _mixed_tokens(bits: np.ndarray, mask: int):
+    """A row per rare shingle that is in the table, with its place in the common order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            lists = batch.column("rare")
+            start = lists.offsets.to_numpy()
+            token, start = lists.flatten().to_numpy(), start - start[0]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(start))
+            pos = np.arange(len(token)) - start[:-1][row]
+            hit = np.flatnonzero(in_table(token.view(np.uint64), bits, mask))
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in ("doc_id", "comp")), pa.array(token[hit]), pa.array(pos[hit].astype(np.int32))],
+                names=["doc_id", "comp", "token", "pos"],
+            )
+
+    return run
+
+
 class Bucket:
     """Documents as points, sorted by bucket and set size."""
 
     def __init__(self, table: pa.Table, percent: int):
         self.percent = percent
-        self.ids, self.comp, self.n, self.block, lo, hi, token = (
-            table[c].to_numpy() for c in ("doc_id", "comp", "n", "blk", "lo", "hi", "token")
+        self.ids, self.comp, self.n, pos, self.block, lo, hi, token = (
+            table[c].to_numpy() for c in ("doc_id", "comp", "n", "pos", "blk", "lo", "hi", "token")
         )
+        self.rest = self.n - pos  # shingles from this one on, in the common order
         self.split = lo != hi
         edge = np.flatnonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
         self.starts = np.concatenate(([0], edge, [len(token)]))
-        self.points = np.frombuffer(b"".join(table["point"].to_pylist()), np.int32).reshape(-1, GROUPS)
+        self.points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint32).reshape(-1, GROUPS)
 
     def fit(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the pairs of rows whose sizes and coordinate minima allow a link between components."""
         good = (self.comp[i] != self.comp[j]) & (100 * self.n[i] >= self.percent * self.n[j])
         good &= ~self.split[i] | (self.block[i] != self.block[j])
+        # a linked pair's first common shingle leaves enough room behind it in both sets
+        good &= (100 + self.percent) * np.minimum(self.rest[i], self.rest[j]) >= self.percent * (self.n[i] + self.n[j])
         i, j = i[good], j[good]
-        overlap = np.concatenate([np.minimum(self.points[i[c : c + 8192]], self.points[j[c : c + 8192]]).sum(1) for c in range(0, len(i) + 1, 8192)])
+        overlap = np.concatenate([np.minimum(self.points[i[c : c + 8192]], self.points[j[c : c + 8192]]).sum(1, dtype=np.int64) for c in range(0, len(i) + 1, 8192)])
         good = (100 + self.percent) * overlap >= self.percent * (self.n[i] + self.n[j])
         return i[good], j[good]
 
@@ -176,7 +199,7 @@ class Bucket:
         alone = np.array([(self.comp[c : min(c + LEAF, end)] == self.comp[c]).all() for c in cuts])
         first = self.comp[cuts]
         for a, c in enumerate(cuts):
-            may = (100 + self.percent) * np.minimum(most[a], most[a:]).sum(1) >= self.percent * (least[a] + least[a:])
+            may = (100 + self.percent) * np.minimum(most[a], most[a:]).sum(1, dtype=np.int64) >= self.percent * (least[a] + least[a:])
             may &= 100 * largest[a] >= self.percent * least[a:]
             may &= ~(alone[a] & alone[a:] & (first[a] == first[a:]))  # boxes of one and the same component
             for d in cuts[a:][may]:
@@ -322,14 +345,20 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
 
     rare = docs.where("doc_id IS NOT NULL").mapInArrow(prefixes, "doc_id long, rare array<long>, point binary").join(heads, "doc_id")
     rare = cut_lineage(rare.dropDuplicates(["doc_id"]), "op3-rare")
-    tokens = rare.select("doc_id", "comp", F.explode("rare").alias("token"))
+    tokens = rare.select("comp", F.explode("rare").alias("token"))
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     mixed = cut_lineage(mixed.select("token", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")), "op3-mixed")
-    met = tokens.join(mixed, "token").join(rare.select("doc_id", "n", "point"), "doc_id")
+    spread = spark.sparkContext.broadcast(bit_table(mixed.select("token")))
+
+    def mixed_tokens(batches):
+        return _mixed_tokens(*spread.value)(batches)
+
+    found = rare.select("doc_id", "comp", "rare").mapInArrow(mixed_tokens, "doc_id long, comp long, token long, pos int")
+    met = found.join(mixed, "token").join(rare.select("doc_id", "n", "point"), "doc_id")
     met = met.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
-    met = met.select("token", "doc_id", "comp", "n", "point", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    met = met.select("token", "doc_id", "comp", "n", "pos", "point", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
     met = met.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "doc_id")
     pairs = met.mapInArrow(_bucket_pairs(percent), "a long, b long").distinct()
     late = verified(docs, cut_lineage(pairs, "op3-pairs"), k, percent, "op3-late")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import exact_dedup, merkle, ngram_join, substring_dedup
+from staylens.llm import exact_dedup, language, merkle, mixing, ngram_join, packing, quality, substring_dedup
 from staylens.llm.common import documents
 
 
@@ -26,11 +26,31 @@ def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_trial(documents(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir)).drop("piece_id")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_words(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_merkle_fingerprint": op4_merkle_fingerprint,
+    "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
+    "op8_quality": op8_quality,
+    "op9_source_mix": op9_source_mix,
 }
 
 SQL: dict[str, str] = {
