@@ -110,7 +110,11 @@ def plan(sizes: pd.DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = RE
 
 
 def mix_words(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (and source, xx: a hash of the text)."""
+    """One row per document: doc_id, size, source_size, target, taken (and source, turns, xx: a hash of the text).
+
+    ``turns`` is for mixes of whole documents: the passes, and once more where
+    the block with the document's first word is taken.
+    """
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))).cast("long")
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("xx"))
     rows = cut_lineage(rows.withColumn("mark", F.xxhash64("doc_id", "xx", F.lit(seed))), "op9-sizes")
@@ -136,14 +140,14 @@ def mix_words(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = R
         ).otherwise(F.lit(0)),
     )
     taken = F.col("passes") * F.col("size") + part
-    return rows.select("doc_id", "r.source", "size", "source_size", "target", taken.cast("long").alias("taken"), "xx")
+    first_taken = ((first * F.col("step") + F.col("offset")) % F.col("blocks") < F.col("rest")) & (F.col("size") > 0)
+    turns = F.when(F.col("size") > 0, F.col("passes") + first_taken.cast("long")).otherwise(F.lit(0))
+    return rows.select("doc_id", "r.source", "size", "source_size", "target", taken.cast("long").alias("taken"), turns.alias("turns"), "xx")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> DataFrame:
-    """The input rows the mix takes, each as often as it is read whole: round(taken / size) times, with all columns."""
-    names = docs.columns
+    """The input rows, each as many times as the mix of whole documents reads it, with all columns."""
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
-    times = mix_words(docs, weights, repeat, seed).where("size > 0")
-    times = times.groupBy(F.col("doc_id").alias("d"), F.col("xx").alias("x")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    rows = rows.join(times.where("times > 0"), F.expr("mark = x AND id <=> d"))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("turn")).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    turns = mix_words(docs, weights, repeat, seed).groupBy(F.col("doc_id").alias("d"), F.col("xx").alias("x")).agg(F.max("turns").alias("turns"))
+    rows = rows.join(turns.where("turns > 0"), F.expr("mark = x AND id <=> d"))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("turns").cast("int")))).select("row.*")

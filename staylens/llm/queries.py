@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import exact_dedup, language, merkle, mixing, ngram_join, packing, quality, substring_dedup
+from staylens.llm import exact_dedup, language, merkle, mixing, ngram_join, packing, pii, quality, substring_dedup, toxicity
 from staylens.llm.common import documents
 
 
@@ -42,6 +42,14 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -49,8 +57,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_merkle_fingerprint": op4_merkle_fingerprint,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_source_mix": op9_source_mix,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
