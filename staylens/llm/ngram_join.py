@@ -95,7 +95,7 @@ def _survey(k: int):
         m = len(blocks)
         yield pa.RecordBatch.from_arrays(
             [pa.array([1] * m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.list_(pa.int64())),
-             pa.array([i for i, _ in blocks], pa.int32()), pa.array([b.tobytes() for _, b in blocks], pa.binary())], names=names
+             pa.array([i for i, _ in blocks], pa.int32()), pa.array([np.minimum(b, 65535).astype(np.uint16).tobytes() for _, b in blocks], pa.binary())], names=names
         )
 
     return run
@@ -104,7 +104,7 @@ def _survey(k: int):
 def _sum_block(frame: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(_SKETCH_BLOCK, np.uint64)
     for counts in frame["counts"]:
-        total += np.frombuffer(counts, np.uint32)
+        total += np.frombuffer(counts, np.uint16)
     total = np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
     return pd.DataFrame({"block": [frame["block"].iloc[0]], "counts": [total.tobytes()]})
 
@@ -279,13 +279,13 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str)
         return _sets(k, *table.value)(batches)
 
     found = docs.where("doc_id IS NOT NULL").withColumn("hash", F.xxhash64("doc_id")).mapInArrow(sets_of, "doc_id long, members binary")
-    sets = cut_lineage(found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-sets")
+    sets = cut_lineage(found, f"{name}-sets")  # where the texts are; a few may be in no pair
     uses = cut_lineage(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), f"{name}-uses")
-    hubs = sets.join(uses, sets.doc_id == uses.a).select(
+    hubs = sets.join(uses, sets.doc_id == uses.a).dropDuplicates(["a"]).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("members").alias("x")
     )
     ends = pairs.join(uses, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    ends = ends.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
+    ends = ends.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")).dropDuplicates(["b"]), "b")
     both = ends.join(hubs, ["a", "salt"]).select("a", "b", "x", "y")
     return cut_lineage(both.mapInArrow(_alike(percent), "a long, b long"), f"{name}-links")
 

@@ -24,7 +24,11 @@ other columns are not looked at.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +43,8 @@ WINDOW = 4096
 END = 2
 SALTS = 64
 FREQUENT = 96  # lengths that combinations of three and four are made of
-CACHE_WORDS = 400_000
+CACHE_WORDS = 450_000
+_STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
 
 
 def tokenizer_path() -> str:
@@ -48,27 +53,49 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Ids(dict):
-    """word -> its token ids as little-endian unsigned 32-bit integers."""
+    """word -> its token ids as little-endian unsigned 32-bit integers, for the words met first.
+
+    Case doesn't matter to the tokenizer, and a comma or full stop after a
+    letter is a token of its own, so neither makes another word to remember;
+    texts with a marker of special tokens are left as they are.  A word of
+    nothing but lower-case letters is one piece for the model, which takes it
+    directly; other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isalpha() and text.lower() == text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        data = array("I", ids).tobytes()
+        if len(self) < CACHE_WORDS:
+            self[word] = data
+        return data
+
+    def of(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        """Token ids of each text, and the end id."""
+        docs = ((t if b"<|" in t else _STOP.sub(rb" \1", t.lower())).split() for t in texts)
+        return [b"".join(map(self.__getitem__, d)) + end for d in docs]
+
 
-    def of(self, text: bytes, end: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        extra = {}
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            extra = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
-            if len(self) + len(extra) <= CACHE_WORDS:
-                self.update(extra)
-                extra = {}
-        if extra:
-            return b"".join([extra[w] if w in extra else self[w] for w in words]) + end
-        return b"".join(map(self.__getitem__, words)) + end
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
 
 def _pieces(path: str, window: int, end_id: int):
@@ -76,10 +103,9 @@ def _pieces(path: str, window: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = Ids(path), np.array([end_id], "<u4").tobytes()
-        for ids, texts, batch in doc_batches(batches):
+        for ids, texts, batch in doc_batches(_slices(batches)):
             at, start, length, crc, total = [], [], [], [], []
-            for row, text in enumerate(texts):
-                data = ids_of.of(text, end)
+            for row, data in enumerate(ids_of.of(texts, end)):
                 n = len(data) // 4
                 for s in range(0, n, window):
                     at.append(row)
@@ -101,10 +127,9 @@ def _recut(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = Ids(path), np.array([end_id], "<u4").tobytes()
-        for _, texts, batch in doc_batches(batches):
+        for _, texts, batch in doc_batches(_slices(batches)):
             piece, start, crc = [], [], []
-            for text, cuts in zip(texts, batch.column("cuts").to_pylist(), strict=True):
-                data = ids_of.of(text, end)
+            for data, cuts in zip(ids_of.of(texts, end), batch.column("cuts").to_pylist(), strict=True):
                 for c in cuts:
                     piece.append(c["piece_id"])
                     start.append(c["start"])
