@@ -689,7 +689,7 @@ def q_snapshot_week(spark, sf_dir):
 
 FULL_HIST = [f"""
 fh_rows AS (
-  SELECT * REPLACE (coalesce(view_volume, 0.0) AS view_volume) FROM latest_raw
+  SELECT * REPLACE (coalesce(view_volume, 0.0) AS view_volume, coalesce(lower(trim(check_status)), 'unknown') AS check_status) FROM latest_raw
   WHERE snapshot_at IS NOT NULL AND checkin_date IS NOT NULL AND ProductID IS NOT NULL AND Destination IS NOT NULL
 )""", O.batched("fh_rows", "fhb", 300), O.hotel_checkin("fhb", "fhh"), """
 fhd_pb AS (

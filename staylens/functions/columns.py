@@ -18,23 +18,6 @@ NULL_TOKENS = [
     "nan", "null",
 ]
 
-# Timestamp layouts accepted for crawler time stamps, tried in
-# order (our declared stand-in for pandas' mixed-format parsing).
-TIMESTAMP_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss.SSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "M/d/yyyy h:mm:ss a",
-    "M/d/yyyy h:mm a",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "d/M/yyyy H:mm",
-    "yyyy-MM-dd",
-    "M/d/yyyy",
-]
-
 DATE_FORMATS = ["yyyy-MM-dd", "M/d/yyyy", "yyyy/MM/dd", "d-MMM-yyyy", "yyyy-MM-dd HH:mm:ss"]
 
 
@@ -55,16 +38,38 @@ def to_double(c: str | Column) -> Column:
 
 
 def to_long(c: str | Column) -> Column:
-    """Integral identifier or NULL.  '12.0' -> 12; '12.5' and text -> NULL."""
+    """Integral identifier or NULL.  '12.0' -> 12; '12.5' and text -> NULL.
+
+    Integer text is cast as it is, so ids above 2^53 stay apart; only other
+    forms go through a double.
+    """
+    s = clean_text(c)
     v = to_double(c)
-    return F.when(v == F.floor(v), v.cast("bigint"))
+    return F.coalesce(F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("bigint")), F.when(v == F.floor(v), v.try_cast("bigint")))
+
 
+_SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([AaPp])[Mm])?)?$"
 
-def parse_timestamp(c: str | Column, formats: Iterable[str] = TIMESTAMP_FORMATS) -> Column:
-    """Crawler time stamp -> timestamp_ntz; U+202F becomes a space; bad -> NULL."""
+
+def parse_timestamp(c: str | Column) -> Column:
+    """Crawler time stamp -> timestamp_ntz; U+202F becomes a space; bad -> NULL.
+
+    ISO forms are cast to timestamp_ntz directly; m/d/y and d/m/y forms are
+    rewritten as ISO text first.  No step passes through the session's time
+    zone, so a local time that a clock change skips keeps its value.
+    """
     s = F.replace(clean_text(c), F.lit("\u202f"), F.lit(" "))
-    tried = [F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
-    return F.coalesce(*tried, s.try_cast("timestamp_ntz"))
+    first, second, year, hour, minute, sec, half = (F.regexp_extract(s, _SLASHED, i) for i in range(1, 8))
+    clock = F.coalesce(hour.try_cast("int"), F.lit(0))
+    clock = F.when(half == "", clock).when(clock.between(1, 12), clock % 12 + F.when(F.lower(half) == "p", 12).otherwise(0))
+    rest = F.concat_ws(":", F.lpad(clock.cast("string"), 2, "0"), F.when(minute == "", "00").otherwise(minute), F.when(sec == "", "00").otherwise(sec))
+
+    def iso(month: Column, day: Column) -> Column:
+        text = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit(" "), rest)
+        return F.when(s.rlike(_SLASHED) & clock.isNotNull(), text.try_cast("timestamp_ntz"))
+
+    day_first = F.when((hour != "") & (sec == "") & (half == ""), iso(second, first))
+    return F.coalesce(s.try_cast("timestamp_ntz"), iso(first, second), day_first)
 
 
 def parse_date(c: str | Column, formats: Iterable[str] = DATE_FORMATS) -> Column:

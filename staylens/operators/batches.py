@@ -39,58 +39,15 @@ def _gap_exceeded(later: Column, earlier: Column, gap_seconds: int) -> Column:
     return (later - earlier) > F.expr(f"INTERVAL '{int(gap_seconds)}' SECOND")
 
 
-# Up to this many distinct stamps, one ordered window (a single task per
-# scope) numbers them faster than the three-level form; the count is taken
-# on the cached distinct stamps before the plan is chosen.
-SINGLE_TASK_MAX_STAMPS = 2_000_000
-# Up to this many stamps (about 40 MB of map) the map is broadcast to the
-# demand rows, so the event side is never shuffled for the join.
-BROADCAST_MAX_STAMPS = 1_000_000
-
-
-def batch_map(
-    df: DataFrame,
-    gap_seconds: int = 300,
-    scope: Sequence[str] = (),
-    ts: str = TS,
-    single_task_max: int | None = None,
-) -> DataFrame:
+def batch_map(df: DataFrame, gap_seconds: int = 300, scope: Sequence[str] = (), ts: str = TS) -> DataFrame:
     """One row per (scope, distinct time stamp) with Observation_Batch / Observation_At."""
-    return sized_batch_map(df, gap_seconds, scope, ts, single_task_max)[0]
-
-
-def sized_batch_map(
-    df: DataFrame,
-    gap_seconds: int = 300,
-    scope: Sequence[str] = (),
-    ts: str = TS,
-    single_task_max: int | None = None,
-) -> tuple[DataFrame, int]:
-    """The batch map and its row count (the proven size bound used for broadcasting)."""
     scope = list(scope)
-    limit = SINGLE_TASK_MAX_STAMPS if single_task_max is None else single_task_max
     distinct = keep(df.where(F.col(ts).isNotNull()).select(*scope, ts).distinct())
-    n = distinct.count()
-    if n <= limit:
-        return _single_window_map(distinct, gap_seconds, scope, ts), n
-    return _bucketed_map(distinct, gap_seconds, scope, ts), n
-
-
-def _single_window_map(stamps: DataFrame, gap_seconds: int, scope: list[str], ts: str) -> DataFrame:
-    """Size-checked small case: lag + running sum over the ordered stamps."""
-    w = Window.partitionBy(*scope).orderBy(ts)
-    prev = F.lag(ts).over(w)
-    starts = F.when(prev.isNull() | _gap_exceeded(F.col(ts), prev, gap_seconds), 1).otherwise(0)
-    numbered = stamps.withColumn("_start", starts).withColumn(
-        "Observation_Batch", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
-    )
-    # same partitioning (scope) satisfies (scope, batch): no further exchange
-    end = F.max(ts).over(Window.partitionBy(*scope, "Observation_Batch"))
-    return numbered.select(*scope, ts, "Observation_Batch", end.alias("Observation_At"))
+    return _bucketed_map(distinct, gap_seconds, scope, ts)
 
 
 def _bucketed_map(distinct: DataFrame, gap_seconds: int, scope: list[str], ts: str) -> DataFrame:
-    """Large case: the three bounded levels described in the module docstring."""
+    """The three bounded levels described in the module docstring."""
     stamps = distinct.withColumn("_day", F.to_date(ts)).withColumn(
         "_sec", F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     )
@@ -156,17 +113,15 @@ def with_batches(
     scope: Sequence[str] = (),
     ts: str = TS,
     mapping: DataFrame | None = None,
-    mapping_rows: int | None = None,
 ) -> DataFrame:
     """Attach Observation_Batch / Observation_At to every row with a time stamp.
 
     Rows without a time stamp are dropped, as the batching step does in the
-    original tool.  ``mapping`` lets callers reuse one computed batch map;
-    ``mapping_rows`` is its known row count (an upper bound is enough).
+    original tool.  ``mapping`` lets callers reuse one computed batch map.
+    Adaptive execution picks the join from the map's measured size.
     """
     scope = list(scope)
     if mapping is None:
-        mapping, mapping_rows = sized_batch_map(df, gap_seconds, scope, ts)
+        mapping = batch_map(df, gap_seconds, scope, ts)
     rows = df.drop("Observation_Batch", "Observation_At").where(F.col(ts).isNotNull())
-    bounded = mapping_rows is not None and mapping_rows <= BROADCAST_MAX_STAMPS
-    return join_small(rows, mapping, on=[*scope, ts], how="inner", bounded=bounded)
+    return join_small(rows, mapping, on=[*scope, ts], how="inner")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from staylens.functions.columns import sum0
-from staylens.operators.batches import sized_batch_map, with_batches
+from staylens.operators.batches import batch_map, with_batches
 from staylens.operators.joins import join_small
 from staylens.session import keep
 
@@ -154,6 +154,7 @@ def full_history_funnel(demand: DataFrame, gap_seconds: int = 300) -> DataFrame:
         & F.col("ProductID").isNotNull()
         & F.col("Destination").isNotNull()
     ).withColumn("view_volume", F.coalesce("view_volume", F.lit(0.0)))
+    rows = rows.withColumn("check_status", F.coalesce(F.lower(F.trim("check_status")), F.lit("unknown")))
     b = with_batches(rows, gap_seconds)
     hotels = hotel_checkin(rows, batched=b).drop("search_volume")
     # here the destination stamp is the newest row of the destination itself
@@ -183,8 +184,8 @@ def hotel_trend(demand: DataFrame, gap_seconds: int = 300) -> DataFrame:
             "search_volume": F.coalesce("search_volume", F.lit(0.0)),
         }
     )
-    mapping, n = sized_batch_map(demand, gap_seconds)
-    b = with_batches(rows, mapping=mapping, mapping_rows=n)
+    mapping = batch_map(demand, gap_seconds)
+    b = with_batches(rows, mapping=mapping)
     hotel_rows = b.where(F.col("ProductID").isNotNull())
     views = (
         latest_per_key(hotel_rows, ["Observation_Batch", "ProductID", "checkin_date"])

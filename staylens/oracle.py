@@ -235,7 +235,7 @@ bk_raw AS (
   SELECT d.ProductID, d.checkin_date AS CheckInDate,
          CAST(floor(d.search_volume) % 3 + 1 AS DOUBLE) AS booking_count
   FROM demand_rows d JOIN customer c ON d.ProductID = c.c_custkey
-  WHERE d.event_type = 'purchase' AND c.c_mktsegment <> 'HOUSEHOLD'
+  WHERE d.event_type = 'purchase'
 ),
 bk AS (
   SELECT ProductID, CheckInDate AS checkin_date, sum(coalesce(booking_count, 0.0)) AS Bookings

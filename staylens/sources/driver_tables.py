@@ -17,7 +17,7 @@ Mapping (all rows of every table are used):
 * the second load re-delivers every purchase event with one more view.
 * previous = first load before 2024-01-20; latest = both loads.
 * master = customer x nation x region; performance = orders; bookings =
-  purchase events of hotels outside the HOUSEHOLD segment; internal parity
+  purchase events; internal parity
   = lineitem; OTA parity = supplier pivoted over seven stay dates.
 """
 
@@ -153,12 +153,12 @@ def hotel_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def booking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw booking feed: one row per purchase of a non-household hotel."""
+    """Raw booking feed: one row per purchase."""
     rows = _demand_rows(spark, sf_dir).where(F.col("event_type") == "purchase")
     segments = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     joined = rows.join(
         segments, rows.ProductID == segments.c_custkey, "inner"
-    ).where(F.col("c_mktsegment") != "HOUSEHOLD")
+    )
     return joined.select(
         F.col("ProductID"),
         F.col("checkin_date").alias("CheckInDate"),

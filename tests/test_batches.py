@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from helpers import demand, rows, ts
 from staylens.operators import batches
@@ -26,13 +26,20 @@ def _stamps(spark):
     return demand(spark, [{"snapshot_at": s} for s in stamps] + [{"snapshot_at": None}])
 
 
+def _single_window(df, gap):
+    """The same batches from one ordered window over all stamps."""
+    w = Window.orderBy("snapshot_at")
+    start = F.coalesce((F.col("snapshot_at") - F.lag("snapshot_at").over(w) > F.expr(f"INTERVAL '{gap}' SECOND")).cast("int"), F.lit(1))
+    d = df.where("snapshot_at IS NOT NULL").select("snapshot_at").distinct().withColumn("s", start)
+    d = d.withColumn("Observation_Batch", F.sum("s").over(w).cast("bigint"))
+    return d.select("snapshot_at", "Observation_Batch", F.max("snapshot_at").over(Window.partitionBy("Observation_Batch")).alias("Observation_At"))
+
+
 def test_bucketed_equals_single_window(spark):
     df = _stamps(spark)
+    cols = ("snapshot_at", "Observation_Batch", "Observation_At")
     for gap in (1, 299, 300, 900, 3600):
-        small = rows(batches.batch_map(df, gap), "snapshot_at", "Observation_Batch", "Observation_At")
-        large = rows(batches.batch_map(df, gap, single_task_max=0), "snapshot_at", "Observation_Batch",
-                     "Observation_At")
-        assert small == large, gap
+        assert rows(_single_window(df, gap), *cols) == rows(batches.batch_map(df, gap), *cols), gap
 
 
 def test_bucketed_equals_single_window_on_events(spark):
@@ -40,8 +47,7 @@ def test_bucketed_equals_single_window_on_events(spark):
     from conftest import SMOKE
 
     df = T.demand_latest(spark, SMOKE)
-    a = batches.batch_map(df, 60)
-    b = batches.batch_map(df, 60, single_task_max=0)
+    a, b = _single_window(df, 60), batches.batch_map(df, 60)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
@@ -53,7 +59,7 @@ def test_scoped_batches_restart(spark):
 
 def test_bucketed_plan_has_no_single_partition_exchange(spark):
     df = _stamps(spark)
-    plan = batches.batch_map(df, 300, single_task_max=0)._jdf.queryExecution().executedPlan().toString()
+    plan = batches.batch_map(df, 300)._jdf.queryExecution().executedPlan().toString()
     # the stamp-level window is partitioned by (day, second); only the one-row-per-day level is global
     assert "hashpartitioning(_day" in plan
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan

@@ -54,3 +54,19 @@ def test_signal_thresholds(spark):
 def test_clip_keeps_null(spark):
     df = spark.createDataFrame([(-7.0,), (2.0,), (None,)], "g double")
     assert [r[0] for r in df.select(C.clip_floor0(-F.col("g"))).collect()] == [7.0, 0.0, None]
+
+
+def test_ids_and_stamps_keep_their_value(spark):
+    from pyspark.sql import functions as F
+    from staylens.functions import columns as C
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = ["2024-03-10 02:30:00", "3/10/2024 2:30:00 AM", "13/3/2024 2:30", "3/10/2024", "13/13/2024", "12/10/2024 12:05 am"]
+        got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(C.parse_timestamp("t").cast("string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == ["2024-03-10 02:30:00", "2024-03-10 02:30:00", "2024-03-13 02:30:00", "2024-03-10 00:00:00", None, "2024-12-10 00:05:00"]
+    ids = spark.createDataFrame([("9007199254740993",), ("12.0",), ("12.5",), ("x",)], "t string")
+    assert [r[0] for r in ids.select(C.to_long(F.col("t"))).collect()] == [9007199254740993, 12, None, None]

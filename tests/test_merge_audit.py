@@ -36,9 +36,9 @@ def test_fx4_errors(spark):
     bad = demand(spark, [{"snapshot_at": ts("10:00:00"), "check_status": "cancelled"}])
     with pytest.raises(ValueError, match="cancelled"):
         merge_incremental(_hist(spark), bad)
-    with pytest.raises(ValueError, match="missing ProductID"):
+    with pytest.raises(ValueError, match="no row of the upload has a ProductID"):
         merge_incremental(_hist(spark), demand(spark, [{"snapshot_at": ts("10:00:00"), "ProductID": None}]))
-    with pytest.raises(ValueError, match="1 rows with an invalid"):
+    with pytest.raises(ValueError, match="1 upload rows have an unreadable"):
         merge_incremental(_hist(spark), demand(spark, [{"snapshot_at": ts("10:00:00"), "checkin_date": None}]))
     q = merge_incremental(_hist(spark), bad, strict=False)
     assert q.quarantine.count() == 1
