@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MAX_BITS = 1 << 27  # a bit table has 16 MB at most, the bound of what is broadcast
 _BLOCK = 1 << 16
+BATCH_ROWS = 512
 CACHE_WORDS = 300_000  # distinct words whose hash a Python worker remembers
 _MASK = (1 << 64) - 1
 
@@ -26,8 +27,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: tasks get BATCH_ROWS rows at a time where the session has Spark's default of 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) >= 10_000:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator works on; other columns, whatever their names, are left out."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", *more)
 
 

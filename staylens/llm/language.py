@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.llm.common import crc_bucket, id_and_text, sample
+from staylens.llm.common import crc_bucket, id_and_text, sample, small_batches
 from staylens.llm.features import DIMS, letter_features, linear_svm, sigmoid
 
 PER_LANGUAGE = 400
@@ -128,4 +128,5 @@ def _known(model: Model | None):
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows whose language is told, with all their columns; texts without a letter go."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_known(train(docs)), docs.schema)
