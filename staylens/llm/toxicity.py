@@ -42,14 +42,23 @@ THRESHOLD = 0.5
 _EDGES = b".,!?;:*#$%&|\"'()-"
 
 
-def word_inputs(word: bytes) -> tuple[int, np.ndarray]:
-    """Word bucket and distinct trigram buckets."""
-    core = b"^" + word.strip(_EDGES) + b"$"
-    x = np.frombuffer(core, np.uint8).astype(np.uint32)
-    if len(x) < 3:
-        return 0, np.zeros(1, np.int64)
+def many_inputs(words: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Word bucket of each word, the trigram buckets of all words in a row, and how many each word has."""
+    cores = [b"^" + (w.strip(_EDGES) or b"^") + b"$" for w in words]
+    size = np.fromiter(map(len, cores), np.int64, len(cores))
+    x = np.frombuffer(b"".join(cores), np.uint8).astype(np.uint32)
     three = (x[:-2] * np.uint32(0x9E3779B1) ^ x[1:-1] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) ^ x[2:] * np.uint32(0x27D4EB2F)
-    return xxhash.xxh32_intdigest(core) % WORDS, (((three ^ (three >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(18)).astype(np.int64)
+    three = ((three ^ (three >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(18)
+    inside = np.ones(len(x), bool)
+    ends = np.cumsum(size)
+    inside[ends - 1] = inside[ends - 2] = False  # trigrams that would run into the next word
+    return [xxhash.xxh32_intdigest(c) % WORDS for c in cores], three[inside[:-2]].astype(np.int64), size - 2
+
+
+def word_inputs(word: bytes) -> tuple[int, np.ndarray]:
+    """Word bucket and trigram buckets of one word."""
+    bucket, trigrams, _ = many_inputs([word])
+    return bucket[0], trigrams
 
 
 def split(text: str) -> list[bytes]:
@@ -74,10 +83,12 @@ class Network:
 
     def inputs(self, words: list[tuple[int, np.ndarray]]) -> np.ndarray:
         """One row of 2 * DIM numbers per word."""
-        counts = np.array([len(t) for _, t in words])
-        flat = self.p["tri"][np.concatenate([t for _, t in words])]
-        mean = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0) / counts[:, None]
-        return np.hstack([self.p["word"][[w for w, _ in words]], mean]).astype(np.float32)
+        return self.vectors([w for w, _ in words], np.concatenate([t for _, t in words]), np.array([len(t) for _, t in words]))
+
+    def vectors(self, buckets: list[int], trigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        begin = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        mean = np.add.reduceat(self.p["tri"][trigrams], begin, axis=0) / counts[:, None]
+        return np.hstack([self.p["word"][buckets], mean]).astype(np.float32)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         return (np.tensordot(x, self.p["x"], 1) + self.p["b"]).astype(np.float32)  # (words, 2, 3H)
@@ -237,7 +248,7 @@ class Scorer:
         new = [w for w in dict.fromkeys(w for d in docs for w in d) if w not in self.index]
         if new:
             self.index.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.net.gates(self.net.inputs([word_inputs(w) for w in new]))])
+            self.table = np.concatenate([self.table, self.net.gates(self.net.vectors(*many_inputs(new)))])
         best = np.full(len(docs), -1e9)
         owner, rows = [], []
         for i, words in enumerate(docs):
