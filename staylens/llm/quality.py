@@ -9,7 +9,7 @@ n-grams and binned shape statistics minimises
 with the sigmoid loss; a mini-step whose bracket is negative climbs back
 instead.  The class prior is the share of positives among the labelled rows that
 are not held out.  Two numbers fitted on those rows (Platt's scaling) turn the
-margin into a probability.  The samples are bounded by POSITIVES and
+margin into a probability.  The samples are bounded by PER_LABEL and
 UNLABELLED; every document is scored on its whole text.
 
 Defined cases: null text counts as empty and is scored; without positives the
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from staylens.llm.common import crc_bucket, id_and_text, sample
 from staylens.llm.features import DIMS, STATS, codes, grams, platt, shape, sigmoid, unit
 
-POSITIVES, NEGATIVES, UNLABELLED = 1500, 1500, 3000
+PER_LABEL, UNLABELLED = 1000, 2000
 HELD_OUT = (5, 0)
 THRESHOLD = 0.3
 BINS = 8
@@ -47,7 +47,8 @@ class Model:
         w = np.zeros(p.shape[1])
         m, v = np.zeros_like(w), np.zeros_like(w)
         for step in range(1, rounds + 1):
-            fp, fu = sigmoid(p @ w), sigmoid(u @ w)  # sigmoid loss: l(+1) = 1 - f, l(-1) = f
+            w4 = w.astype(np.float32)
+            fp, fu = sigmoid(p @ w4), sigmoid(u @ w4)  # sigmoid loss: l(+1) = 1 - f, l(-1) = f
             sp, su = fp * (1 - fp), fu * (1 - fu)
             bracket = fu.mean() - prior * fp.mean()
             down = -prior * (p.T @ sp) / len(p)
@@ -55,11 +56,11 @@ class Model:
             gradient = (down + back if bracket >= 0 else -back) + 1e-4 * w
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        self.w, self.scale = w, (1.0, 0.0)
+        self.w, self.scale = w.astype(np.float32), (1.0, 0.0)
 
     def expand(self, x: np.ndarray) -> np.ndarray:
         bins = [(x[:, DIMS + i, None] > self.edges[i][None]).astype(np.float32) for i in range(STATS)]
-        return np.hstack([x[:, :DIMS] * 4, *bins, np.ones((len(x), 1), np.float32)])
+        return np.hstack([x[:, :DIMS].astype(np.float32) * 4, *bins, np.ones((len(x), 1), np.float32)])
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.expand(x) @ self.w
@@ -70,7 +71,7 @@ class Model:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = [raw_features(t or "").tobytes() for t in batch.column("text").to_pylist()]
+        x = [raw_features(t or "").astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(x, pa.binary())], names=["kind", "x"])
 
 
@@ -81,14 +82,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not counts.get(1):
         return None
     prior = counts[1] / (counts[1] + counts.get(0, 0))
-    chosen = sample(known, "kind", POSITIVES)
+    chosen = sample(known, "kind", PER_LABEL)
     texts = id_and_text(docs)
-    labelled = texts.join(F.broadcast(chosen), "doc_id").select("text", "kind")  # about POSITIVES + NEGATIVES rows
+    labelled = texts.join(F.broadcast(chosen), "doc_id").select("text", "kind")  # about PER_LABEL rows of each label
     anyone = sample(texts.withColumn("kind", F.lit(2)), "kind", UNLABELLED).select("text", "kind")
     found = labelled.unionByName(anyone).mapInArrow(_rows, "kind int, x binary").collect()  # bounded by the samples
-    found.sort(key=lambda r: (r.kind, bytes(r.x)))
-    x = np.frombuffer(b"".join(bytes(r.x) for r in found), np.float32).reshape(-1, DIMS + STATS)
-    kind = np.array([r.kind for r in found])
+    found = sorted((r.kind, bytes(r.x)) for r in found)
+    x = np.frombuffer(b"".join(f[1] for f in found), np.float16).reshape(-1, DIMS + STATS)
+    kind = np.array([f[0] for f in found])
+    del found
     if not (kind == 1).any() or not (kind == 2).any():
         return None
     model = Model(x[kind == 1], x[kind == 2], min(prior, 0.99))
