@@ -55,10 +55,9 @@ def many_inputs(words: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
     return [xxhash.xxh32_intdigest(c) % WORDS for c in cores], three[inside[:-2]].astype(np.int64), size - 2
 
 
-def word_inputs(word: bytes) -> tuple[int, np.ndarray]:
-    """Word bucket and trigram buckets of one word."""
-    bucket, trigrams, _ = many_inputs([word])
-    return bucket[0], trigrams
+def sum_rows(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Row i is the sum of the values whose place is i."""
+    return np.stack([np.bincount(at, column, n) for column in values.T], axis=1).astype(np.float32)
 
 
 def split(text: str) -> list[bytes]:
@@ -159,7 +158,8 @@ class Corpus:
         self.index: dict[bytes, int] = {}
         self.docs = [np.array([self.index.setdefault(w, len(self.index)) for w in split(t)], np.int64) for t in texts]
         self.labels = np.array(labels)
-        self.words = [word_inputs(w) for w in self.index] or [word_inputs(b"")]
+        buckets, trigrams, counts = many_inputs(list(self.index) or [b""])
+        self.words = list(zip(buckets, np.split(trigrams, np.cumsum(counts)[:-1]), strict=True))
 
     def log_odds(self, buckets: int, of) -> np.ndarray:
         seen = np.full((2, buckets), 2.0)
@@ -212,12 +212,10 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, epochs:
                 used, inverse = np.unique(np.maximum(words[rows], 0), return_inverse=True)
                 table = net.inputs([corpus.words[w] for w in used])
                 g, dx = net.gradients(table[inverse.reshape(words[rows].shape)], mask[rows], y[part], share[part] / share[part].sum())
-                d_word = np.zeros_like(table)
-                np.add.at(d_word, inverse.ravel(), dx.reshape(-1, 2 * DIM))
-                g["word"], g["tri"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["tri"])
-                np.add.at(g["word"], [corpus.words[w][0] for w in used], d_word[:, :DIM])
+                d_word = sum_rows(inverse.ravel(), dx.reshape(-1, 2 * DIM), len(table))
                 counts = [len(corpus.words[w][1]) for w in used]
-                np.add.at(g["tri"], np.concatenate([corpus.words[w][1] for w in used]), np.repeat(d_word[:, DIM:] / np.array(counts)[:, None], counts, axis=0))
+                g["word"] = sum_rows(np.array([corpus.words[w][0] for w in used]), d_word[:, :DIM], WORDS)
+                g["tri"] = sum_rows(np.concatenate([corpus.words[w][1] for w in used]), np.repeat(d_word[:, DIM:] / np.array(counts)[:, None], counts, axis=0), TRIGRAMS)
                 for k, v in g.items():
                     moment[k] = 0.9 * moment[k] + 0.1 * v
                     size[k] = 0.999 * size[k] + 0.001 * v**2
