@@ -1188,6 +1188,16 @@ def q_split_invalid(spark, sf_dir):
     return clean.split_invalid(T.demand_latest(spark, sf_dir))[1].select(*DEMAND_COLUMNS)
 
 
+@register("invalid_statuses", """
+SELECT DISTINCT lower(event_type) AS check_status FROM events
+WHERE event_id % 4 NOT IN (0, 1) AND trim(event_type) <> ''""")
+def q_invalid_statuses(spark, sf_dir):
+    """PRJ5: all unsupported statuses of an upload whose statuses are padded, blank, valid or event types in capitals."""
+    kind = F.col("event_id") % 4
+    status = F.when(kind == 0, " Continues ").when(kind == 1, " ").otherwise(F.concat(F.lit(" "), F.upper("event_type")))
+    return clean.invalid_statuses(T.table(spark, sf_dir, "events").select(status.alias("check_status")))
+
+
 @register("dedupe_performance", O.with_ctes(O.ENGINE.split("roll AS (")[0].rstrip().rstrip(","))
           + _sel(["ProductID", "Agoda Status", "Ctrip Status", "Revenue", "B2B2C RN"], ["Revenue", "B2B2C RN"], "p1"))
 def q_dedupe_performance(spark, sf_dir):
