@@ -10,7 +10,8 @@ with the sigmoid loss; a mini-step whose bracket is negative climbs back
 instead.  The class prior is the share of positives among the labelled rows that
 are not held out.  Two numbers fitted on those rows (Platt's scaling) turn the
 margin into a probability.  The samples are bounded by PER_LABEL and
-UNLABELLED; every document is scored on its whole text.
+UNLABELLED; their n-gram rows travel sparse, at full width, and are spread once
+into the matrices of the fit.  Every document is scored on its whole text.
 
 Defined cases: null text counts as empty and is scored; without positives the
 score is 0.5; null ids and repeated rows are scored like others; several
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from staylens.llm.common import crc_bucket, id_and_text, sample
 from staylens.llm.features import DIMS, STATS, codes, grams, platt, shape, sigmoid, unit
+from staylens.session import cut_lineage
 
-PER_LABEL, UNLABELLED = 1000, 2000
+PER_LABEL, UNLABELLED = 1500, 3000
 HELD_OUT = (5, 0)
 THRESHOLD = 0.3
 BINS = 8
@@ -40,6 +42,22 @@ def raw_features(text: str) -> np.ndarray:
     return np.concatenate((unit(grams(x)), shape(text))).astype(np.float32)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A feature row without its zeros: places, values, statistics."""
+    at = np.flatnonzero(x[:DIMS])
+    return at.astype(np.uint16).tobytes() + x[at].tobytes() + x[DIMS:].tobytes()
+
+
+def spread(rows: list[bytes]) -> np.ndarray:
+    """The feature rows of ``packed``."""
+    out = np.zeros((len(rows), DIMS + STATS), np.float32)
+    for x, row in zip(out, rows, strict=True):
+        n = (len(row) - 4 * STATS) // 6
+        x[np.frombuffer(row, np.uint16, n)] = np.frombuffer(row[2 * n : 6 * n], np.float32)
+        x[DIMS:] = np.frombuffer(row[6 * n :], np.float32)
+    return out
+
+
 class Model:
     def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400):
         self.edges = np.quantile(unlabelled[:, DIMS:], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
@@ -59,8 +77,10 @@ class Model:
         self.w, self.scale = w.astype(np.float32), (1.0, 0.0)
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        bins = [(x[:, DIMS + i, None] > self.edges[i][None]).astype(np.float32) for i in range(STATS)]
-        return np.hstack([x[:, :DIMS].astype(np.float32) * 4, *bins, np.ones((len(x), 1), np.float32)])
+        out = np.ones((len(x), DIMS + STATS * (BINS - 1) + 1), np.float32)  # the last column is the bias
+        np.multiply(x[:, :DIMS], 4, out=out[:, :DIMS])
+        out[:, DIMS:-1] = (x[:, DIMS:, None] > self.edges[None]).reshape(len(x), -1)
+        return out
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.expand(x) @ self.w
@@ -71,7 +91,7 @@ class Model:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = [raw_features(t or "").astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
+        x = [packed(raw_features(t or "")) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(x, pa.binary())], names=["kind", "x"])
 
 
@@ -86,17 +106,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     texts = id_and_text(docs)
     labelled = texts.join(F.broadcast(chosen), "doc_id").select("text", "kind")  # about PER_LABEL rows of each label
     anyone = sample(texts.withColumn("kind", F.lit(2)), "kind", UNLABELLED).select("text", "kind")
-    found = labelled.unionByName(anyone).mapInArrow(_rows, "kind int, x binary").collect()  # bounded by the samples
-    found = sorted((r.kind, bytes(r.x)) for r in found)
-    x = np.frombuffer(b"".join(f[1] for f in found), np.float16).reshape(-1, DIMS + STATS)
-    kind = np.array([f[0] for f in found])
-    del found
-    if not (kind == 1).any() or not (kind == 2).any():
+    found = cut_lineage(labelled.unionByName(anyone).mapInArrow(_rows, "kind int, x binary"), "op8-sample")
+    rows = {k: [] for k in range(3)}
+    for r in found.toLocalIterator():  # bounded by the samples, a partition at a time
+        rows[r.kind].append(bytes(r.x))
+    negative, positive, unlabelled = (sorted(rows.pop(k)) for k in range(3))
+    if not positive or not unlabelled:
         return None
-    model = Model(x[kind == 1], x[kind == 2], min(prior, 0.99))
-    if (kind == 0).any():
-        labelled = np.concatenate([np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)])
-        model.scale = platt(model.margin(x[labelled]), kind[labelled])
+    positive = spread(positive)
+    model = Model(positive, spread(unlabelled), min(prior, 0.99))
+    if negative:
+        margin = [model.margin(x) for x in (positive, spread(negative))]
+        model.scale = platt(np.concatenate(margin), np.repeat([1, 0], [len(x) for x in margin]))
     return model
 
 

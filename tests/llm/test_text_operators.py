@@ -173,6 +173,26 @@ def test_language_and_quality_and_toxicity_hold_out(spark):
         assert held.select(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] > 0.9
 
 
+def test_quality_fits_on_whole_samples_at_full_width(spark, monkeypatch):
+    docs = table(spark, [f"{chr(97 + i % 26)}{i} prose {'end. ' * (i % 9)}" for i in range(2900)])
+    labels = spark.createDataFrame([(i * 3, int(i % 5 < 3)) for i in range(2900)], "doc_id long, quality int")
+    given = []
+
+    class Seen(quality.Model):
+        def __init__(self, positive, unlabelled, prior):
+            given.extend((positive, unlabelled))
+            super().__init__(positive, unlabelled, prior, rounds=1)
+
+    monkeypatch.setattr(quality, "Model", Seen)
+    quality.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    fitted = [i for i in texts if i // 3 % 5 < 3 and zlib.crc32(str(i).encode()) % 5]
+    assert 1000 < len(fitted) < 1500
+    for x, ids in zip(given, (fitted, texts), strict=True):
+        want = {quality.raw_features(texts[i]).tobytes() for i in ids}
+        assert len(x) == len(ids) and {row.tobytes() for row in x} == want
+
+
 def test_classifiers_on_awkward_rows(spark):
     docs = table(spark, extra=[(None, "12 34", None, None, None)])
     found = language.identify(docs).collect()
