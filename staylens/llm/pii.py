@@ -5,13 +5,17 @@ tokens of a document (those with a digit or an at sign): each has a score per
 label from its shape, neighbours in the text share a chain potential, and
 tokens that repeat, or are alike (same local part of an address, same digits),
 share a skip potential, however far apart.  Loopy belief propagation sends
-messages along both kinds of edges, so a damaged or shortened mention takes the
-label of its clear twin.  Tokens inside base spans are observed.  A token
-outside them whose label is not "none" with enough belief adds a span.
-
-Shape and chain weights are fitted on a bounded sample of documents whose
-tokens are labelled by the patterns; equal tokens are linked to the next of
-their kind, so the work is linear in the tokens.
+messages along both kinds of edges until they settle, so a damaged or shortened
+mention takes the label of its clear twin.  Tokens inside base spans are
+observed: they send messages and take none.  A token outside them whose label
+is not "none" with enough belief adds a span.
+
+Shape and chain weights are fitted on all tokens of a bounded sample of
+documents, labelled by the patterns: about FIT_DOCUMENTS of all, and as many of
+those that hold a base span of each kind, which weigh less as they are chosen
+more often, so that all stand for the table as the first do.  A token is linked to the next one
+like it, and to a clear twin where neither neighbour of its like is one, so the
+edges are linear in the tokens.
 
 Defined cases: null text counts as empty; a text without digits and at signs
 has no spans; null ids and repeated rows are handled like others; an empty
@@ -29,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from staylens.llm.common import id_and_text, sample
+from staylens.session import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone"]
-FIT_DOCUMENTS = 3000
+FIT_DOCUMENTS = 3000  # of all documents, and of those with a span of each kind
 BELIEF = 0.8
 SKIP = 2.0  # log potential of equal labels on a skip edge
 OBSERVED = 8.0
-ROUNDS = 10
+ROUNDS = 1000  # a guard for messages that never settle; steps get shorter past STEADY rounds
+STEADY = 50
 _TRIM = ".,;:!?\"'()[]<>{}*#$%&|"
 
 # The patterns of the base spans.
@@ -123,16 +129,22 @@ class Tokens:
         return np.array(rows, float).reshape(len(rows), FEATURES)
 
     def skips(self) -> list[tuple[int, int]]:
-        """Each token with the next one that is equal or alike."""
-        seen: dict[str, int] = {}
-        out = set()
+        """Each token with the next one that is equal or alike, and with an observed one like it unless a neighbour of its like is observed."""
+        alike: dict[str, list[int]] = {}
         for i, core in enumerate(self.cores):
             digits = "".join(c for c in core if c.isdigit())
             keys = ["=" + core.lower()] + (["@" + core.split("@")[0].lower()] if "@" in core else []) + (["#" + digits] if len(digits) >= 4 else [])
             for key in keys:
-                if key in seen:
-                    out.add((seen[key], i))
-                seen[key] = i
+                alike.setdefault(key, []).append(i)
+        out = set()
+        for at in alike.values():
+            out.update(zip(at, at[1:], strict=False))
+            clear = [k for k, i in enumerate(at) if self.inside[i]]
+            for k, following in zip([-1, *clear], [*clear, len(at)], strict=True) if clear else ():
+                if k < 0:
+                    out.update((i, at[following]) for i in at[:following])
+                else:
+                    out.update((at[k], i) for i in at[k + 1 : following - (following < len(at))])
         return sorted(out)
 
 
@@ -142,11 +154,11 @@ FEATURES = 13
 class Field:
     """Weights of the field: labels are none and KINDS."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: np.ndarray, rounds: int = 300):
+    def __init__(self, x: np.ndarray, y: np.ndarray, count: np.ndarray, pairs: np.ndarray, rounds: int = 300):
         n = len(KINDS) + 1
         self.shape = np.zeros((FEATURES, n))
         target = np.eye(n)[y]
-        weight = (1 / np.maximum(1, np.bincount(y, minlength=n)))[y][:, None]
+        weight = (count / np.bincount(y, count, n)[y])[:, None]
         weight /= weight.sum()
         for _ in range(rounds):
             p = np.exp(x @ self.shape - (x @ self.shape).max(1, keepdims=True))
@@ -168,15 +180,17 @@ class Field:
             a, b = (np.array([e[k] for e in edges]) for k in (0, 1))
             force = np.stack([e[2] for e in edges])
             ahead, back = np.zeros((len(edges), n)), np.zeros((len(edges), n))
-            for _ in range(ROUNDS):
+            to_b, to_a = ~tokens.inside[b][:, None], ~tokens.inside[a][:, None]
+            for self.rounds in range(1, ROUNDS + 1):
                 total = score.copy()
                 np.add.at(total, b, ahead)
                 np.add.at(total, a, back)
                 out_a, out_b = total[a] - back, total[b] - ahead
-                ahead2 = _log_sum(out_a[:, :, None] + force, 1)
-                back2 = _log_sum(out_b[:, None, :] + force, 2)
+                ahead2 = _log_sum(out_a[:, :, None] + force, 1) * to_b
+                back2 = _log_sum(out_b[:, None, :] + force, 2) * to_a
                 moved = max(np.abs(ahead2 - ahead).max(), np.abs(back2 - back).max())
-                ahead, back = 0.5 * (ahead + ahead2), 0.5 * (back + back2)
+                step = 0.5 / max(1, self.rounds / STEADY)
+                ahead, back = ahead + step * (ahead2 - ahead), back + step * (back2 - back)
                 if moved < 1e-3:
                     break
             np.add.at(score, b, ahead)
@@ -204,33 +218,58 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field | None
     return [(KINDS[best[i] - 1], *tokens.spans[i]) for i in rows]
 
 
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(document, kind) of the kinds of base spans it holds, and with -1 of each document."""
+    for batch in batches:
+        marks, kinds = [], []
+        for mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            held = sorted({KINDS.index(k) for k, _, _ in base_spans(text)})
+            marks += [mark] * (1 + len(held))
+            kinds += [-1, *held]
+        yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(kinds, pa.int32())], names=["doc_id", "kind"])
+
+
+def _distinct(rows: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and the sum of the counts of each."""
+    rows, place = np.unique(rows, axis=0, return_inverse=True)
+    return rows, np.bincount(place.ravel(), count, len(rows))
+
+
 def _weak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features and pattern labels of the tokens, and label pairs of neighbours, as one row per batch."""
+    """The different (features, pattern label) of all tokens, their weights, and label pairs of neighbours, as one row per batch."""
     for batch in batches:
-        x, y, pairs = [np.empty((0, FEATURES))], [np.empty(0, np.int64)], np.zeros((len(KINDS) + 1,) * 2)
-        for text in batch.column("text").to_pylist():
+        rows, weights, pairs = [np.empty((0, FEATURES + 1))], [np.empty(0)], np.zeros((len(KINDS) + 1,) * 2)
+        for text, weight in zip(batch.column("text").to_pylist(), batch.column("weight").to_pylist(), strict=True):
             if text and (_DIGIT.search(text) or "@" in text):
                 tokens = Tokens(text, base_spans(text))
                 if len(tokens.spans):
-                    x.append(tokens.features()[:200])
-                    y.append(tokens.labels[:200])
+                    rows.append(np.column_stack((tokens.features(), tokens.labels)))
+                    weights.append(np.full(len(tokens.spans), weight))
                     for i in range(len(tokens.spans) - 1):
                         if tokens.spans[i + 1][0] - tokens.spans[i][1] <= 2:
-                            pairs[tokens.labels[i], tokens.labels[i + 1]] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([np.concatenate(x).tobytes()]), pa.array([np.concatenate(y).tobytes()]), pa.array([pairs.tobytes()])], names=["x", "y", "pairs"]
-        )
+                            pairs[tokens.labels[i], tokens.labels[i + 1]] += weight
+        rows, count = _distinct(np.concatenate(rows), np.concatenate(weights))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (rows, count, pairs)], names=["rows", "count", "pairs"])
 
 
 def train(docs: DataFrame) -> Field | None:
-    rows = sample(id_and_text(docs).where("text IS NOT NULL").withColumn("kind", F.lit(0)), "kind", FIT_DOCUMENTS)
-    found = rows.select("text").mapInArrow(_weak, "x binary, y binary, pairs binary").collect()  # at most 200 tokens of each sampled document
-    x = np.concatenate([np.frombuffer(bytes(r.x)).reshape(-1, FEATURES) for r in found] or [np.empty((0, FEATURES))])
-    y = np.concatenate([np.frombuffer(bytes(r.y), np.int64) for r in found] or [np.empty(0, np.int64)])
+    texts = id_and_text(docs).where("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    kinds = cut_lineage(texts.mapInArrow(_kinds, "doc_id long, kind int"), "op7-kinds")
+    counts = {r.kind: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    if len(counts) < 2:  # no base span in any document
+        return None
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, FIT_DOCUMENTS / n))])
+    chosen = sample(kinds, "kind", FIT_DOCUMENTS).groupBy("doc_id").agg((share[-1] / F.max(share[F.col("kind")])).alias("weight"))
+    texts = texts.join(F.broadcast(chosen), "doc_id")  # about FIT_DOCUMENTS rows for each kind and for all
+    found = texts.select("text", "weight").mapInArrow(_weak, "rows binary, count binary, pairs binary").collect()  # different feature rows only
+    if not found:
+        return None
+    rows, count = (np.concatenate([np.frombuffer(bytes(r[c])) for r in found]) for c in ("rows", "count"))
+    rows, count = _distinct(rows.reshape(-1, FEATURES + 1), count)
+    x, y = rows[:, :FEATURES], rows[:, FEATURES].astype(np.int64)
     if not (y > 0).any():
         return None
-    order = np.lexsort((*x.T, y))
-    return Field(x[order], y[order], sum(np.frombuffer(bytes(r.pairs)).reshape(len(KINDS) + 1, -1) for r in found))
+    return Field(x, y, count, sum(np.frombuffer(bytes(r.pairs)).reshape(len(KINDS) + 1, -1) for r in found))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:

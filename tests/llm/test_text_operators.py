@@ -231,6 +231,34 @@ def test_pii_repeated_token_takes_the_label_of_its_twin(spark):
     assert found[183].spans == "" and found[183].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_pii_fits_on_all_tokens_and_every_kind(spark, monkeypatch):
+    numbers = " ".join(f"{i} rooms" for i in range(250))
+    assert pii.train(table(spark, [numbers + " jo.smith@mail.example.com"])) is not None  # the span is past 200 tokens
+    given = []
+
+    class Seen(pii.Field):
+        def __init__(self, x, y, *rest):
+            given.append(set(y.tolist()))
+            super().__init__(x, y, *rest)
+
+    monkeypatch.setattr(pii, "Field", Seen)
+    monkeypatch.setattr(pii, "FIT_DOCUMENTS", 10)
+    rare = {150: "from 10.20.30.40 today", 450: "from 10.20.30.41 today"}
+    pii.train(table(spark, [rare.get(i, f"jo{i}@mail.example.com 12") for i in range(900)]))
+    assert given == [{0, 1, 2}]
+
+
+def test_pii_far_mentions_reach_their_clear_twin():
+    n = len(pii.KINDS) + 1
+    field = pii.Field.__new__(pii.Field)
+    field.shape, field.chain = np.zeros((pii.FEATURES, n)), np.zeros((n, n))
+    field.shape[0, 0] = 1.0  # by its shape alone a token is none
+    clear, damaged = "jo.smith9@mail.example.com", "jo.smith9@mail"
+    for text in (clear + f" and {damaged}" * 40, f"{damaged} and " * 40 + clear, f"{damaged} and " * 20 + clear + f" and {damaged}" * 20):
+        assert len(pii.added_spans(text, pii.base_spans(text), field)) == 40
+    assert pii.added_spans(damaged * 40, [], field) == []
+
+
 def test_mixing_meets_targets(spark):
     docs = table(spark, [f"{'word ' * (i % 90)}" if i % 9 else None for i in range(400)])
     rows = mixing.mix_words(docs).collect()
