@@ -1,20 +1,19 @@
 """Substring dedup: a word that lies in a 50-word passage of an earlier document is removed.
 
-A prefix-partitioned suffix tree over words, cut at the depth that matters
-(``window`` words).  Suffixes are told apart by prefixes of three lengths:
-
-1. The anchor, the smallest 8-word prefix inside the first ``window`` words of
-   a suffix.  Equal windows have equal anchors, and neighbouring suffixes share
-   theirs, so a document has about 2/43 anchors per word.  Anchors that occur in
-   only one text lead to no repeat: their subtrees are pruned.
-2. Suffixes under an anchor of two or more texts are split by their whole
-   ``window``-word prefix.  A group at that depth is a deep internal node of
-   the tree; of its members only the smallest document matters, so a group of
+In place of a prefix-partitioned suffix tree, of which only the depth of
+``window`` words would matter; no tree and no suffix order is built:
+
+1. The anchor of a window is its smallest 8-word hash.  Equal windows have
+   equal anchors, and neighbouring windows share theirs, so a document has
+   about 2/43 anchors per word.  Anchors that occur in only one text lead to no
+   repeat: their windows are dropped.
+2. Windows with an anchor of two or more texts are grouped by the hash of all
+   their words.  Of a group only the smallest document matters, so a group of
    any size is reduced before the shuffle and none is gathered in one task.
-3. Whole texts that are equal word for word share every suffix; they are
+3. Whole texts that are equal word for word share every window; they are
    reduced to the smallest document first.
 
-Prefixes are compared by rolling hashes, 96 bits of them at full depth.
+Windows are compared by rolling hashes, 96 bits of them.
 
 The set of shared anchors reaches the second pass as a bit table of bounded
 size; a false positive there costs work and changes no result.
