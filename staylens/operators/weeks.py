@@ -53,6 +53,12 @@ def week_options(demand: DataFrame) -> DataFrame:
     return weeks.withColumn("label", week_label(F.col("week_start")))
 
 
+def checkin_week_options(detail: DataFrame) -> DataFrame:
+    """distinct ISO check-in weeks with their labels."""
+    weeks = detail.where(F.col("checkin_date").isNotNull()).select(monday(F.col("checkin_date")).alias("week_start")).distinct()
+    return weeks.withColumn("label", week_label(F.col("week_start")))
+
+
 def _two_weeks(rows: DataFrame, day: Column, options: DataFrame) -> DataFrame:
     """Each row once for its own week ('latest') and once for the next ('previous')."""
     wk = monday(day)
@@ -318,8 +324,15 @@ def snapshot_freshness(demand: DataFrame) -> DataFrame:
     )
 
 
+def freshness(demand: DataFrame, daily: DataFrame) -> DataFrame:
+    """F16: one row with the newest snapshot overall and the number of High + Very High dates of a daily level table."""
+    newest = demand.agg(F.max("snapshot_at").alias("Latest_Snapshot"))
+    high = daily.agg(F.count_if(F.col("`Demand Level`").isin("Very High", "High")).alias("High_Dates"))
+    return newest.crossJoin(high)  # one row each
+
+
 __all__ = [
-    "week_options", "snapshot_week", "checkin_detail", "checkin_week_destinations", "checkin_week_hotels",
+    "week_options", "checkin_week_options", "freshness", "snapshot_week", "checkin_detail", "checkin_week_destinations", "checkin_week_hotels",
     "week_worklist", "checkin_week_daily", "checkin_week_kpis", "unpivot_trend", "snapshot_freshness",
     "level", "WORK_PRIORITY",
 ]

@@ -44,6 +44,33 @@ def test_discover_newest_valid_csv(spark, tmpdir_path):
     assert files.discover_source(spark, raw).endswith("new.csv")
 
 
+def test_dimension_sheets_round_trip(spark, tmpdir_path):
+    import pytest
+
+    sheet = [["7", "Hotel, one", "North"], ["8", "Hôtel", ""], ["9", "H", "East"]]
+    quoted = [[x if "," not in x else f'"{x}"' for x in line] for line in sheet]
+    write_csv(os.path.join(tmpdir_path, "master.csv"), ["ProductID", "ProductName", "Region"], quoted)
+    want = [tuple(x or None for x in line) for line in sheet]
+    columns = ["ProductID", "ProductName", "Region"]
+    landed = files.scan_table(spark, os.path.join(tmpdir_path, "master.csv"), load_seq=3)
+    assert [tuple(r) for r in landed.orderBy("row_seq").select(*columns).collect()] == want
+    assert {r.load_seq for r in landed.collect()} == {3}
+    for name in ("one.parquet", "folder"):
+        landed.select(*columns).coalesce(1).write.parquet(out := os.path.join(tmpdir_path, name))
+        again = files.scan_table(spark, out)
+        assert [tuple(r) for r in again.orderBy("row_seq").select(*columns).collect()] == want
+    with pytest.raises(ValueError, match="Excel"):
+        files.scan_table(spark, os.path.join(tmpdir_path, "master.xlsx"))
+
+
+def test_coordinates_round_trip(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "coordinates.csv")
+    write_csv(path, ["Longitude", "Destination", "Latitude"], [["100.5", "Bangkok", "13.75"], ["x", "Nowhere", ""]])
+    got = files.scan_coordinates(spark, path)
+    assert got.columns == ["Destination", "Latitude", "Longitude"]
+    assert rows(got) == [("Bangkok", 13.75, 100.5), ("Nowhere", None, None)]
+
+
 def test_missing_columns_are_named(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "bad.csv")
     write_csv(path, HEADER[:-2], [])

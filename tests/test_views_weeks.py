@@ -37,6 +37,24 @@ def test_fx14_iso_week(spark):
     assert r.label == "2025-W01 (30 Dec–05 Jan)"
 
 
+def test_f12_checkin_weeks(spark):
+    days = [dt.date(2024, 12, 30), dt.date(2025, 1, 5), dt.date(2025, 1, 6), None]
+    detail = spark.createDataFrame([(d,) for d in days], "checkin_date date")
+    assert rows(W.checkin_week_options(detail)) == [
+        (dt.date(2024, 12, 30), "2025-W01 (30 Dec–05 Jan)"), (dt.date(2025, 1, 6), "2025-W02 (06 Jan–12 Jan)")]
+
+
+def test_f16_newest_snapshot_and_high_dates(spark):
+    days = [dt.date(2026, 8, d) for d in range(1, 6)]
+    detail = spark.createDataFrame(
+        [(1, d, "X", s, 1.0, "H", "R") for d, s in zip(days, [100.0, 200.0, 300.0, 400.0, 1000.0])], DETAIL_SCHEMA)
+    crawls = [dt.datetime(2026, 8, 3, 9), None, dt.datetime(2026, 7, 1, 9)]
+    demand = spark.createDataFrame([(s,) for s in crawls], "snapshot_at timestamp_ntz")
+    daily = V.daily_market(detail)
+    assert rows(W.freshness(demand, daily)) == [(crawls[0], 2)]
+    assert rows(W.freshness(demand.limit(0), daily.limit(0))) == [(None, 0)]
+
+
 def test_week_signal_new_demand(spark):
     monday = dt.date(2026, 8, 17)
     detail = spark.createDataFrame(
