@@ -13,12 +13,22 @@ whole passes and a seeded selection of q mod n blocks: block b is taken if
 (b * step + offset) mod n is below the rest, which picks exactly that many
 without a sort.  A document takes the words it has in the taken blocks.
 
-Only tables by (source, shard) reach the driver, at most SHARDS + 1 rows a
-source; a source is expected to be one of at most some thousands.
+A mix of whole documents (``mixed_documents``) takes a source's target as whole
+passes over the source and a rest in words.  Documents with more than a
+LONG-th of the source's words are dealt first, on the driver: in seeded order,
+one is taken if that brings their words nearer to their share of the rest.  The
+others stand in seeded order and are taken up to the words still missing.  So a
+source is off its target by half a short document, or, where its long ones
+leave too little to make up with, by at most half a long one.
+
+Only tables by (source, shard), at most SHARDS + 1 rows a source, and under LONG
+long documents a source reach the driver; a source is expected to be one of at
+most some thousands.
 
 Defined cases: null text has size 0 and takes 0; the null source is a source
 of its own, last in order; a null ``doc_id`` orders first in its shard and is
-otherwise ordinary; repeated rows each count; no words or no rows give targets
+otherwise ordinary; repeated rows each count (whole documents: all or none of
+them are taken); no words or no rows give targets
 of 0; columns other than doc_id, text and source are not looked at.
 """
 
@@ -38,6 +48,7 @@ WEIGHTS = (5, 2, 1)
 REPEAT = 3
 SHARD_ROWS = 20_000
 SHARDS = 4096
+LONG = 1000
 BLOCKS = 1 << 20  # blocks of the whole mix
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -109,19 +120,25 @@ def plan(sizes: pd.DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = RE
     return pd.DataFrame(rows, columns=names)
 
 
-def mix_words(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (and source, turns, xx: a hash of the text).
-
-    ``turns`` is for mixes of whole documents: the passes, and once more where
-    the block with the document's first word is taken.
-    """
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, size, xx (a hash of the text), mark and shard of each row."""
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))).cast("long")
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("xx"))
     rows = cut_lineage(rows.withColumn("mark", F.xxhash64("doc_id", "xx", F.lit(seed))), "op9-sizes")
     shards = max(1, min(SHARDS, rows.count() // SHARD_ROWS + 16))
-    rows = rows.withColumn("shard", F.pmod("mark", F.lit(shards)).cast("int"))
+    return rows.withColumn("shard", F.pmod("mark", F.lit(shards)).cast("int"))
+
+
+def _by_shard(rows: DataFrame) -> pd.DataFrame:
     sizes = rows.groupBy("source", "shard").agg(F.sum("size").alias("words")).toPandas()
     sizes["source"] = sizes["source"].astype(object).where(sizes["source"].notna(), None)
+    return sizes
+
+
+def mix_words(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (and source, xx: a hash of the text)."""
+    rows = _sized(docs, seed)
+    sizes = _by_shard(rows)
     spark = docs.sparkSession
     table = plan(sizes, weights, repeat, seed)
     kinds = "source string, shard int, source_size long, target double, block long, blocks long, passes long, rest long, step long, offset long"
@@ -140,14 +157,55 @@ def mix_words(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = R
         ).otherwise(F.lit(0)),
     )
     taken = F.col("passes") * F.col("size") + part
-    first_taken = ((first * F.col("step") + F.col("offset")) % F.col("blocks") < F.col("rest")) & (F.col("size") > 0)
-    turns = F.when(F.col("size") > 0, F.col("passes") + first_taken.cast("long")).otherwise(F.lit(0))
-    return rows.select("doc_id", "r.source", "size", "source_size", "target", taken.cast("long").alias("taken"), turns.alias("turns"), "xx")
+    return rows.select("doc_id", "r.source", "size", "source_size", "target", taken.cast("long").alias("taken"), "xx")
+
+
+def _long_ones(rows: list, share: float) -> list:
+    """Those of the long documents, in seeded order, that bring their words nearer to ``share``."""
+    taken, words = [], 0
+    for r in sorted(rows, key=lambda r: (r.mark, r.doc_id is not None, r.doc_id, r.xx)):
+        if words + r.size / 2 <= share:
+            taken.append(r)
+            words += r.size
+    return taken
+
+
+def whole_turns(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> DataFrame:
+    """source, doc_id, xx, turns: how often a mix of whole documents reads each different row."""
+    rows = _sized(docs, seed).groupBy("source", "doc_id", "xx", "mark", "shard").agg(F.sum("size").alias("size")).where("size > 0")
+    rows = cut_lineage(rows, "op9-rows")
+    sizes = _by_shard(rows)
+    held = plan(sizes, weights, repeat, seed).groupby("source", dropna=False, sort=False).first().reset_index()
+    held["source"] = held["source"].astype(object).where(held["source"].notna(), None)
+    spark = docs.sparkSession
+    sources = spark.createDataFrame([(r.source, int(r.source_size)) for r in held.itertuples()], "s string, source_size long")
+    rows = rows.join(F.broadcast(sources), F.expr("source <=> s")).drop("s")  # one row a source
+    is_long = F.col("size") * LONG > F.col("source_size")
+    long_rows = rows.where(is_long).drop("shard").collect()  # under LONG rows a source
+    rows = rows.where(~is_long)
+    short = _by_shard(rows)
+    at, chosen = [], []
+    for r in held.itertuples():
+        passes, rest = divmod(round(r.target), int(r.source_size))
+        own = [x for x in long_rows if x.source == r.source]
+        taken = _long_ones(own, rest * sum(x.size for x in own) / int(r.source_size))
+        ids = {(x.doc_id, x.xx) for x in taken}
+        chosen += [(x.source, x.doc_id, x.xx, passes + ((x.doc_id, x.xx) in ids)) for x in own]
+        left = rest - sum(x.size for x in taken)
+        for s in short[short["source"].isna() if r.source is None else short["source"] == r.source].sort_values("shard").itertuples():
+            at.append((r.source, int(s.shard), passes, left))
+            left -= int(s.words)
+    at = spark.createDataFrame(at, "s string, k int, passes long, left long")
+    order = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "xx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("stop", F.sum("size").over(order)).join(F.broadcast(at), F.expr("source <=> s AND shard = k"))
+    again = F.col("stop") * 2 - F.col("size") <= F.col("left") * 2
+    rows = rows.select("source", "doc_id", "xx", (F.col("passes") + again.cast("long")).alias("turns"))
+    return rows.unionByName(spark.createDataFrame(chosen, "source string, doc_id long, xx long, turns long"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> DataFrame:
     """The input rows, each as many times as the mix of whole documents reads it, with all columns."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
-    turns = mix_words(docs, weights, repeat, seed).groupBy(F.col("doc_id").alias("d"), F.col("xx").alias("x")).agg(F.max("turns").alias("turns"))
-    rows = rows.join(turns.where("turns > 0"), F.expr("mark = x AND id <=> d"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("s"), F.xxhash64("text").alias("mark"))
+    turns = whole_turns(docs, weights, repeat, seed).where("turns > 0")
+    rows = rows.join(turns, F.expr("mark = xx AND id <=> doc_id AND s <=> source"))
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("turns").cast("int")))).select("row.*")

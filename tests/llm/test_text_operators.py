@@ -273,6 +273,27 @@ def test_mixing_meets_targets(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_words(docs).collect()))
 
 
+def test_mixed_documents_meet_targets_in_whole_rows(spark):
+    texts = [f"{'word ' * (i % 90)}" if i % 9 else None for i in range(3000)]
+    for i, n in ((4, 9000), (6, 4000), (8, 3000), (0, 70_000)):  # a few long ones hold most of source a; one the null source
+        texts[i] = "long " * n
+    docs = table(spark, texts, extra=[(None, "no id " * 5, None, "a", None), (3, texts[1], "en", "b", None)])
+    docs = docs.withColumns({"turns": F.lit("clash"), "xx": F.lit(1), "size": F.lit(2)})
+    target = {r.source: r.target for r in mixing.mix_words(docs).select("source", "target").distinct().collect()}
+    for seed in range(3):
+        out = mixing.mixed_documents(docs, seed=seed)
+        assert out.columns == docs.columns
+        got, size = collections.Counter(), {r.doc_id: len(words(r.text)) for r in docs.collect()}
+        times = collections.Counter()
+        for r in out.collect():
+            got[r.source] += len(words(r.text))
+            times[r.doc_id] += 1
+        longest = {None: 70_000}
+        for s in target:
+            assert abs(got[s] - target[s]) <= (longest[s] / 2 if s in longest else 91), (seed, s)
+        assert all(size[i] > 0 for i in times) and max(times.values()) <= 2 * mixing.REPEAT
+
+
 def test_targets_and_seats():
     assert mixing.capped_targets([10, 100, 100], [5, 2, 1]) == [30, 120, 60]
     shares = [53_000, 24_000, 23_000]
