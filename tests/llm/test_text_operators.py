@@ -333,3 +333,115 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns, name
     rows = corpus_pipeline.run(spark, SMOKE)
     assert rows.count() > 0 and rows.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_every_operator_with_clashing_columns(spark):
+    docs = table(spark, [*TEXTS, *[f"Mail jo{i}@mail.example.com, 10.0.0.{i}." for i in range(9)]])
+    labels = spark.createDataFrame([(i * 3, i % 2, i % 2) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int")
+    names = """kept keep_id xx row row_no id hash s1 s2 n n_words n_removed starts first_id comp component_id kind x y mark shard size stop turns taken
+               target source_size weight range_no at next_text fingerprint score held_out predicted lang_pred label a b h k s t d gone words token point
+               rare salt piece_id start length offset sequence_id quality toxic passes left""".split()
+    extra = {c: F.lit("clash") for c in names}
+    wide, wide_labels = docs.withColumns(extra), labels.withColumns({c: x for c, x in extra.items() if c not in ("quality", "toxic")})
+    scores = [(quality.score_quality, "score"), (toxicity.score_toxicity, "score")]
+    runs = [exact_dedup.exact_groups, substring_dedup.substring_dedup, substring_dedup.removed_text, ngram_join.jaccard_components, merkle.edit_trial,
+            merkle.fingerprints, language.identify, pii.find_pii, mixing.mix_words, mixing.whole_turns] + [lambda d, f=f: f(d, wide_labels) for f, _ in scores]
+    for run in runs:
+        want, got = run(docs), run(wide)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    packed = [collections.Counter((r.doc_id, r.doc_tokens) for r in packing.pack(d).where("start = 0").collect()) for d in (docs, wide)]
+    assert packed[0] == packed[1]
+    for run in (exact_dedup.drop_exact_copies, ngram_join.keep_one_of_each, language.keep_identified, mixing.mixed_documents):
+        got = run(wide)
+        assert got.columns == wide.columns
+        assert {r.xx for r in got.collect()} == {"clash"}
+        assert sorted(map(repr, got.select(docs.columns).collect())) == sorted(map(repr, run(docs).collect()))
+
+
+def _plain_near(rows):
+    sets, held, label = {}, collections.defaultdict(list), {}
+    for r in rows:
+        w = words((r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[r.doc_id] = {tuple(w[s : s + 5]) for s in range(max(1, len(w) - 4))} if w else set()
+        label[r.doc_id] = r.doc_id
+        for shingle in sets[r.doc_id]:
+            held[shingle].append(r.doc_id)
+    pairs = {(a, b) for ids in held.values() for a in ids for b in ids if a < b}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in sets:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            return label
+
+
+def _plain_mix(rows, marks):
+    """doc_id -> turns, of rows with different ids."""
+    size = {r.doc_id: len(words(r.text)) for r in rows}
+    order = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: [r.doc_id for r in rows if r.source == s and size[r.doc_id]] for s in order}
+    held = {s: sum(size[i] for i in own[s]) for s in order}
+    targets = mixing.capped_targets([held[s] for s in order], [mixing.WEIGHTS[k % 3] for k in range(len(order))])
+    turns = {}
+    for s, target in zip(order, targets, strict=True):
+        passes, rest = divmod(round(target), held[s])
+        large = sorted((i for i in own[s] if size[i] * 1000 > held[s]), key=marks.get)
+        share, taken = rest * sum(size[i] for i in large) / held[s], 0
+        for i in large:
+            turns[i] = passes + (taken + size[i] / 2 <= share)
+            taken += size[i] * (turns[i] - passes)
+        at = 0
+        for i in sorted(set(own[s]) - set(large), key=lambda i: (marks[i] % 16, marks[i])):
+            turns[i] = passes + (at + size[i] / 2 <= rest - taken)
+            at += size[i]
+    return turns
+
+
+def test_pipeline_matches_plain_python(spark, tmp_path):
+    import unicodedata
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts = [*TEXTS, "12 34.", *[BASE + f" tail{i}" for i in range(5)], *[" ".join(f"long{i}x{k}" for k in range(900 + i)) for i in range(9)]]
+    texts += [f"one{i}" for i in range(1100)] + [f"one{i}\n" for i in range(0, 1100, 50)]
+    docs = table(spark, texts).orderBy("doc_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows, stages = docs.collect(), iter(corpus_pipeline.STAGES)
+
+    def after(kept):
+        """The next stage's rows, which are the rows of ``kept`` as often as it says."""
+        name, stage = next(stages)
+        got = stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+        want = collections.Counter({tuple(r): kept[r.doc_id] for r in rows if kept.get(r.doc_id)})
+        assert collections.Counter(map(tuple, got)) == want, name
+        return got
+
+    rows = after({r.doc_id: int(any(unicodedata.category(c)[0] == "L" for c in r.text or "")) for r in rows})
+    first = {re.sub(r"[\x20\x09-\x0D]+", " ", r.text): r.doc_id for r in sorted(rows, key=lambda r: -r.doc_id)}
+    rows = after({i: 1 for i in first.values()})
+    label = _plain_near(rows)
+    assert 1 < sum(i != c for i, c in label.items()) < len(label)
+    rows = after({i: int(i == c) for i, c in label.items()})
+    marks = spark.createDataFrame(rows, SCHEMA).withColumn("xx", F.xxhash64("text")).select("doc_id", F.xxhash64("doc_id", "xx", F.lit(0)).alias("m"))
+    turns = _plain_mix(rows, {r.doc_id: r.m for r in marks.collect()})
+    assert {0, 1} < set(turns.values())
+    rows = after(turns)
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    ids = {r.doc_id: np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 2], "<u4") for r in rows}
+    for pieces in (corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
+        seen, sequences = {i: np.zeros(len(x), int) for i, x in ids.items()}, collections.defaultdict(list)
+        for r in pieces.collect():
+            part = ids[r.doc_id][r.start : r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(part.tobytes()) and len(part) == r.length
+            seen[r.doc_id][r.start : r.start + r.length] += 1
+            sequences[r.sequence_id].append((r.offset, r.length))
+        assert all((seen[i] == turns[i]).all() for i in ids)
+        for held in sequences.values():
+            at = 0
+            for offset, length in sorted(held):
+                assert offset == at
+                at += length
+            assert at <= packing.WINDOW
