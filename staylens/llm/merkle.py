@@ -14,7 +14,7 @@ names the branches that differ.
 Defined cases: null text counts as empty; an empty text has one paragraph
 without leaves; likeness of two texts without leaves is 1; rows with a null
 ``doc_id`` come before all others in document order, rows with equal ids are
-ordered by their text; a table of one row is its own next document; an empty
+ordered by a hash of their text, then by their text; a table of one row is its own next document; an empty
 table gives no rows; other columns are not looked at.
 """
 
@@ -23,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staylens.llm.common import id_and_text
+from staylens.session import cut_lineage
 
 SECTION = 16
 LEAF_CHARS = 48
-ROWS_PER_RANGE = 512  # documents of one window partition, on average, in tables of up to 33 million
-MAX_RANGES = 1 << 16  # the bound of what is broadcast
+ROWS_PER_RANGE = 512  # documents of one window partition in tables of up to 33 million
+MAX_RANGES = 1 << 16  # the bound of what reaches the driver and stands in the plan
 _LEAF = f"[^.!?\\n]{{1,{LEAF_CHARS}}}[.!?]*|[.!?]+"
 
 
@@ -91,30 +92,56 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select("doc_id", F.length(text).cast("long").alias("n_chars"), fingerprint(text).alias("fingerprint"))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """With the order of documents as two columns without nulls: null ids first, equal ids by a hash of the text."""
+    before_all = F.lit("-9223372036854775809").cast("decimal(20,0)")
+    return rows.withColumns({"key_id": F.coalesce(F.col("doc_id").cast("decimal(20,0)"), before_all), "key_hash": F.xxhash64("text")})
+
+
+def bounds(rows: DataFrame) -> list[tuple[str, int]]:
+    """The first key of each range: every ROWS_PER_RANGE-th key of ranges that Spark samples from the keys."""
+    keys = cut_lineage(_keyed(rows).select("key_id", "key_hash"), "op4-keys")
+    step = max(ROWS_PER_RANGE, -(-keys.count() // MAX_RANGES))
+    order = keys.repartitionByRange("key_id", "key_hash").sortWithinPartitions("key_id", "key_hash")
+    order = order.withColumn("k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))  # the row's place in its partition
+    found = order.where(F.col("k") % step == 0).select("key_id", "key_hash").collect()  # MAX_RANGES, and one a partition, at most
+    return [(str(i), h) for i, h in sorted({(r.key_id, r.key_hash) for r in found})]
+
+
+def range_no(firsts: list[tuple[str, int]]) -> tuple[Column, Column]:
+    """The number (from 1) of a keyed row's range, by bisection, and whether the row has the first key of its range."""
+    ids, hashes = (F.split(F.lit(",".join(str(f[k]) for f in firsts)), ",").cast(f"array<{kind}>") for k, kind in ((0, "decimal(20,0)"), (1, "bigint")))
+    steps = [1 << k for k in reversed(range(len(firsts).bit_length()))]
+
+    def nearer(at: Column, step: Column) -> Column:
+        first_id, first_hash = F.get(ids, at + step - 1), F.get(hashes, at + step - 1)
+        passed = (first_id < F.col("key_id")) | ((first_id == F.col("key_id")) & (first_hash <= F.col("key_hash")))
+        return F.when(passed, at + step).otherwise(at)
+
+    number = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), nearer)
+    return number, (F.get(ids, F.col("range_no") - 1) == F.col("key_id")) & (F.get(hashes, F.col("range_no") - 1) == F.col("key_hash"))
+
+
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row with ``columns`` of the row after it in ``doc_id`` order (after the last: the first) as next_<column>.
+    """Each row with ``columns`` of the row after it in document order (after the last: the first) as next_<column>.
 
-    Rows are dealt to at most MAX_RANGES ranges of ids of equal width, and the
-    first row of each range also visits the range before it, so one window per
-    range sees every successor and each text is shuffled once.  Only the first
-    id of each range is broadcast.
+    Rows are dealt to ranges of keys taken from the keys themselves, so that a
+    range has ROWS_PER_RANGE rows or little more, however the ids lie.  The first row of
+    each range also visits the range before it, so one window per range sees
+    every successor and each text is shuffled once.  Only rows equal in id and text
+    cannot be parted.
     """
-    bounds = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, ranges = bounds.lo or 0, max(1, min(MAX_RANGES, bounds.n // ROWS_PER_RANGE))
-    width = -(-((bounds.hi or 0) - lo + 1) // ranges)
-    part = F.coalesce(F.floor((F.col("doc_id") - lo) / width).cast("long"), F.lit(-1))
-    rows = rows.withColumn("range_no", part)
-    order = Window.orderBy("range_no")
-    firsts = rows.groupBy("range_no").agg(F.min("doc_id").alias("first_id"))  # at most MAX_RANGES + 1 rows
-    last = F.max("range_no").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    visits = firsts.select("first_id", F.coalesce(F.lag("range_no").over(order), last).alias("visited"))
+    names, firsts = rows.columns, bounds(rows)
+    if not firsts:
+        return rows.select(*names, *(F.col(c).alias(f"next_{c}") for c in columns))
+    number, is_first = range_no(firsts)
+    before = F.when(F.col("range_no") == 1, F.lit(len(firsts))).otherwise(F.col("range_no") - 1)
     home = F.struct(F.col("range_no"), F.lit(False).alias("guest"))
-    away = F.struct(F.col("visited").alias("range_no"), F.lit(True).alias("guest"))
-    names = [c for c in rows.columns if c != "range_no"]
-    placed = rows.join(F.broadcast(visits), F.col("doc_id").eqNullSafe(F.col("first_id")), "left").select(
-        *names, F.explode(F.filter(F.array(home, away), lambda x: x["range_no"].isNotNull())).alias("at")
+    away = F.struct(F.when(is_first, before).alias("range_no"), F.lit(True).alias("guest"))
+    placed = _keyed(rows).withColumn("range_no", number).select(
+        *names, "key_hash", F.explode(F.filter(F.array(home, away), lambda x: x["range_no"].isNotNull())).alias("at")
     )
-    near = Window.partitionBy("at.range_no").orderBy("at.guest", "doc_id", "text")
+    near = Window.partitionBy("at.range_no").orderBy("at.guest", "doc_id", "key_hash", "text")
     after = [F.lead(c).over(near).alias(f"next_{c}") for c in columns]
     return placed.select(*names, "at", *after).where("NOT at.guest").drop("at")
 

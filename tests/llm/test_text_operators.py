@@ -142,6 +142,23 @@ def test_merkle_fingerprints(spark):
     assert pair.select(places).first()[0] == [2]
 
 
+def test_merkle_ranges_of_skewed_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "ROWS_PER_RANGE", 40)
+    extra = [(None, f"null {i}.", None, None, None) for i in range(500)]
+    extra += [(5_000, f"same id {i}.", None, None, None) for i in range(300)] + [(x, f"far {x}.", None, None, None) for x in (9 * 10**18, -(2**63))]
+    docs = table(spark, [f"text {i}." for i in range(1500)], extra)
+    rows = docs.select("doc_id", "text")
+    firsts = merkle.bounds(rows)
+    number, is_first = merkle.range_no(firsts)
+    ranges = merkle._keyed(rows).withColumn("range_no", number).groupBy("range_no").agg(F.count("*").alias("n"), F.sum(is_first.cast("int")).alias("first"))
+    sizes = {r.range_no: r for r in ranges.collect()}
+    assert set(sizes) == set(range(1, len(firsts) + 1))
+    assert max(r.n for r in sizes.values()) <= 40 and {r.first for r in sizes.values()} == {1}
+    order = [r.text for r in rows.withColumn("h", F.xxhash64("text")).orderBy("doc_id", "h", "text").collect()]
+    got = {r.text: r.next_text for r in merkle.with_next(rows, ["text"]).collect()}
+    assert len(got) == len(order) and all(got[a] == b for a, b in zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
