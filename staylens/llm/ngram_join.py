@@ -22,14 +22,15 @@ list the pairs inside a group of copies:
 5. Surviving pairs are verified on the whole sets, and components joined.
 
 Defined cases: null or wordless text has an empty set and no links; fewer than
-``k`` words make one shingle of them all; documents repeated with one id are
-one vertex; null ids are left out of linking and keep a null component; an
+``k`` words make one shingle of them all; rows of one id with equal sets
+are one vertex, different sets of one id are vertices of their own; null ids are left out of linking and keep a null component; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -311,13 +312,54 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return label.select("id", F.col("c").alias("comp"))
 
 
+def _surveyed(docs: DataFrame, k: int) -> DataFrame:
+    kinds = "kind int, doc_id long, n long, s1 long, s2 long, bands array<long>, block int, counts binary"
+    return cut_lineage(docs.mapInArrow(_survey(k), kinds), "op3-survey")
+
+
+def _as_vertices(docs: DataFrame, shared: DataFrame, seed: int) -> DataFrame:
+    """With ``vertex``: the id, or where different sets share the id a hash of id and text."""
+    own = F.when(F.col("shared_id").isNotNull(), F.xxhash64("doc_id", "text", F.lit(seed))).otherwise(F.col("doc_id"))
+    return docs.join(shared, F.col("doc_id") == F.col("shared_id"), "left").withColumn("vertex", own).drop("shared_id")
+
+
+def _clashes(docs: DataFrame, survey: DataFrame) -> tuple[DataFrame, int, DataFrame] | None:
+    """None if no two sets share an id; else those ids, a seed that names every vertex differently, and the id of each vertex."""
+    key = F.struct("n", "s1", "s2")
+    shared = survey.where("kind = 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("shared_id")).agg(F.min(key).alias("a"), F.max(key).alias("z"))
+    shared = cut_lineage(shared.where("a != z").select("shared_id"), "op3-shared")
+    if shared.isEmpty():
+        return None
+    for seed in count():
+        names = _as_vertices(docs, shared, seed).where("doc_id IS NOT NULL").select("vertex", F.col("doc_id").alias("own")).distinct()
+        names = cut_lineage(names, "op3-vertices")
+        if names.groupBy("vertex").count().where("count > 1").isEmpty():
+            return shared, seed, names
+
+
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     docs = id_and_text(docs)
+    survey = _surveyed(docs, k)
+    clashes = _clashes(docs, survey)
+    if not clashes:
+        return _components_of(docs, survey, k, percent)
+    return _with_shared_ids(docs, clashes, k, percent).select(F.col("own").alias("doc_id"), "n_shingles", "component_id")
+
+
+def _with_shared_ids(docs: DataFrame, clashes: tuple[DataFrame, int, DataFrame], k: int, percent: int) -> DataFrame:
+    """vertex, own (its id), n_shingles, component_id (the smallest id of the component) of each row."""
+    shared, seed, names = clashes
+    docs = _as_vertices(docs, shared, seed).select(F.col("vertex").alias("doc_id"), "text")
+    rows = _components_of(docs, _surveyed(docs, k), k, percent).select(F.col("doc_id").alias("vertex"), "n_shingles", F.col("component_id").alias("comp"))
+    rows = cut_lineage(rows.join(names, "vertex", "left"), "op3-rows")
+    least = rows.groupBy("comp").agg(F.min("own").alias("component_id"))
+    return rows.join(least, "comp", "left")
+
+
+def _components_of(docs: DataFrame, survey: DataFrame, k: int, percent: int) -> DataFrame:
+    """The components of documents where no two sets share an id."""
     spark = docs.sparkSession
-    survey = cut_lineage(
-        docs.mapInArrow(_survey(k), "kind int, doc_id long, n long, s1 long, s2 long, bands array<long>, block int, counts binary"), "op3-survey"
-    )
     rows = survey.where("kind = 0").select("doc_id", "n", "s1", "s2", "bands")
     linkable = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(
@@ -378,6 +420,14 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
 
 def keep_one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The rows of the smallest id of each component, and rows without an id, with all their columns."""
-    found = jaccard_components(docs, k, percent).where("doc_id != component_id").select(F.col("doc_id").alias("gone"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return rows.join(found, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    texts = id_and_text(docs)
+    survey = _surveyed(texts, k)
+    clashes = _clashes(texts, survey)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    if clashes:
+        found = _with_shared_ids(texts, clashes, k, percent).where("own != component_id").select(F.col("vertex").alias("gone")).distinct()
+        rows = _as_vertices(rows, *clashes[:2])
+    else:
+        found = _components_of(texts, survey, k, percent).where("doc_id != component_id").select(F.col("doc_id").alias("gone"))
+        rows = rows.withColumn("vertex", F.col("doc_id"))
+    return rows.select("row", "vertex").join(found, F.col("vertex") == F.col("gone"), "left_anti").select("row.*")

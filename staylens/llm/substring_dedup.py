@@ -20,8 +20,8 @@ size; a false positive there costs work and changes no result.
 
 Defined cases: null text has no words; texts under ``window`` words stay
 whole; rows with a null ``doc_id`` count as larger than all others and stay
-whole unless they repeat an earlier row; rows repeated with one id have
-nothing removed on each other's account; an empty table gives no rows.
+whole unless they repeat an earlier row; rows with one id, also of
+different texts, have nothing removed on each other's account; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def _suffixes(window: int, bits: np.ndarray, mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, first, second = WordHash(), Rolling(_R1), Rolling(_R2)
         for ids, texts, _ in doc_batches(batches):
-            rows, h1, h2, at = [], [], [], []
+            rows, seq, h1, h2, at = [], [], [], [], []
             for row, text in enumerate(texts):
                 words = text.split()
                 if len(words) < window:
@@ -89,25 +89,30 @@ def _suffixes(window: int, bits: np.ndarray, mask: int):
                 where = np.flatnonzero(in_table(_anchors(hashes, first, window), bits, mask))
                 if len(where):
                     rows.append(row)
+                    seq.append(_sequence_hash(words))
                     h1.append(first.windows(hashes, window)[where].view(np.int64))
                     h2.append((second.windows(mix(hashes), window)[where] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     at.append(where.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), pa.array(h1, pa.list_(pa.int64())), pa.array(h2, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))],
-                names=["doc_id", "h1", "h2", "at"],
+                [ids.take(pa.array(rows, pa.int64())), *(pa.array([s[k] for s in seq], pa.int64()) for k in (0, 1)), pa.array(h1, pa.list_(pa.int64())), pa.array(h2, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))],
+                names=["doc_id", "s1", "s2", "h1", "h2", "at"],
             )
 
     return run
 
 
 def _removal(window: int):
-    """Words left after the windows that start at ``starts`` are taken out."""
+    """Words left after the windows that start at ``starts`` are taken out; rows whose text is not that of the starts go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, batch in doc_batches(batches):
-            removed, shas, kept_text = [], [], []
-            for text, starts in zip(texts, batch.column("starts"), strict=True):
+        for _, texts, batch in doc_batches(batches):
+            rows, removed, shas, kept_text = [], [], [], []
+            own = zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)
+            for row, (text, starts, seq) in enumerate(zip(texts, batch.column("starts"), own, strict=True)):
                 words = text.split()
+                if _sequence_hash(words) != seq:
+                    continue
+                rows.append(row)
                 edge = np.zeros(len(words) + 1, np.int32)
                 starts = np.unique(starts.values.to_numpy())
                 np.add.at(edge, starts, 1)
@@ -118,8 +123,9 @@ def _removal(window: int):
                 shas.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(removed, pa.int64()), pa.array(shas), pa.array(kept_text, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_removed", "kept_sha256", "kept_text"],
+                [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "s1", "s2")), pa.array(removed, pa.int64()),
+                 pa.array(shas, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string())],
+                names=["doc_id", "s1", "s2", "n_removed", "kept_sha256", "kept_text"],
             )
 
     return run
@@ -132,7 +138,7 @@ def shared_anchors(survey: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(survey, starts): per document its word count and sequence class; per (class representative) the starts of removed windows."""
+    """(survey, starts): per document its word count and sequence class; per representative (id and class) the starts of removed windows."""
     docs = id_and_text(docs)
     survey = cut_lineage(
         docs.mapInArrow(_survey(window), "doc_id long, n_words long, s1 long, s2 long, all_sha256 string, anchors array<long>"), "op2-survey"
@@ -143,12 +149,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
         return _suffixes(window, *table.value)(batches)
 
     first = cut_lineage(survey.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("first_id")), "op2-first")
-    paths = docs.where("doc_id IS NOT NULL").mapInArrow(suffixes, "doc_id long, h1 array<long>, h2 array<int>, at array<int>")
-    paths = cut_lineage(paths.join(first.select(F.col("first_id").alias("doc_id")), "doc_id"), "op2-paths")
-    leaves = paths.select("doc_id", F.inline(F.arrays_zip("h1", "h2", "at")))
+    paths = docs.where("doc_id IS NOT NULL").mapInArrow(suffixes, "doc_id long, s1 long, s2 long, h1 array<long>, h2 array<int>, at array<int>")
+    paths = cut_lineage(paths.join(first.select("s1", "s2", F.col("first_id").alias("doc_id")), ["doc_id", "s1", "s2"]), "op2-paths")
+    leaves = paths.select("doc_id", "s1", "s2", F.inline(F.arrays_zip("h1", "h2", "at")))
     nodes = leaves.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
     nodes = cut_lineage(nodes.select("h1", "h2", "owner"), "op2-nodes")
-    starts = leaves.join(nodes, ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    starts = leaves.join(nodes, ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id", "s1", "s2").agg(F.collect_set("at").alias("starts"))
     return survey.join(first, ["s1", "s2", "n_words"]), cut_lineage(starts, "op2-starts")
 
 
@@ -156,12 +162,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     survey, starts = repeated_passages(docs, window)
     cut = id_and_text(docs).join(starts, "doc_id").mapInArrow(
-        _removal(window), "doc_id long, n_removed long, kept_sha256 string, kept_text string"
-    ).select("doc_id", "n_removed", "kept_sha256")
+        _removal(window), "doc_id long, s1 long, s2 long, n_removed long, kept_sha256 string, kept_text string"
+    ).select("doc_id", "s1", "s2", "n_removed", "kept_sha256")
     whole = (F.col("doc_id").isNull() & F.col("first_id").isNotNull() | (F.col("doc_id") > F.col("first_id"))) & (F.col("n_words") >= window)
     copies = F.coalesce(whole, F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
-    rows = survey.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left")
+    rows = survey.join(cut.dropDuplicates(["doc_id", "s1", "s2"]), ["doc_id", "s1", "s2"], "left")
     return rows.select(
         "doc_id", "n_words",
         F.when(copies, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -173,6 +179,6 @@ def removed_text(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The words left of each document that loses a passage to an earlier one: doc_id, kept_text."""
     _, starts = repeated_passages(docs, window)
     cut = id_and_text(docs).join(starts, "doc_id").mapInArrow(
-        _removal(window), "doc_id long, n_removed long, kept_sha256 string, kept_text string"
+        _removal(window), "doc_id long, s1 long, s2 long, n_removed long, kept_sha256 string, kept_text string"
     )
     return cut.select("doc_id", "kept_text")

@@ -107,6 +107,29 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in by_id(ngram_join.jaccard_components(docs)).items()} == want
 
 
+def test_ids_shared_by_different_texts(spark):
+    other = " ".join(f"v{i}" for i in range(90))
+    alone = " ".join(f"u{i}" for i in range(60))
+    texts = [(1, BASE), (2, other), (5, "x y " + other), (5, BASE + " tail"), (5, "few words"), (7, "a b c " + alone), (7, BASE + " " + alone), (7, other), (9, alone)]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in texts], SCHEMA)
+    first = {}
+    for i, t in texts:
+        w = words(t)
+        for s in range(len(w) - 49):
+            first[tuple(w[s : s + 50])] = min(i, first.get(tuple(w[s : s + 50]), i))
+    want = []
+    for i, t in texts:
+        w = words(t)
+        gone = {p for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < i for p in range(s, s + 50)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    assert sorted(map(tuple, substring_dedup.substring_dedup(docs).collect())) == sorted(want)
+    labels = _components({row: t for row, (_, t) in enumerate(texts)})
+    want = sorted((i, labels[row][0], min(texts[r][0] for r in labels if labels[r][1] == labels[row][1])) for row, (i, _) in enumerate(texts))
+    assert sorted(map(tuple, ngram_join.jaccard_components(docs).collect())) == want
+    kept = {(r.doc_id, r.text) for r in ngram_join.keep_one_of_each(docs).collect()}
+    assert kept == {(1, BASE), (2, other), (5, "few words"), (7, "a b c " + alone), (7, BASE + " " + alone)}
+
+
 def test_buckets_of_all_sizes_give_the_same_pairs(monkeypatch):
     import pyarrow as pa
 
