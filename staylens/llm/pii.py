@@ -57,15 +57,15 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches of the address pattern, found from the at signs; each character is looked at a few times only."""
-    out, done, at = [], 0, text.find("@")
+    out, done, last, at = [], 0, -1, text.find("@")
     while at >= 0:
-        before = text[max(done, text.rfind(" ", done, at) + 1) : at]
+        before = text[max(done, last + 1) : at]  # no local part goes past another at sign
         start = at - (len(before) - len(before.rstrip(_LOCAL)))
         domain = _DOMAIN.match(text, at + 1) if start < at else None
         if domain:
             out.append((start, domain.end()))
             done = domain.end()
-        at = text.find("@", max(done, at + 1))
+        last, at = at, text.find("@", max(done, at + 1))
     return out
 
 
@@ -82,7 +82,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     for run in _DOTTED.finditer(text):
         if run[0].count(".") >= 3:
             for m in _IP.finditer(run[0]):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                     out.append(("ip", run.start() + m.start(), run.start() + m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
