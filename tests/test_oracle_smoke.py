@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from staylens.catalog import QUERIES, SQL
 from conftest import SMOKE
 
 FAST = ["observation_batches", "hotel_checkin_gap900", "destination_checkin_gap900", "select_periods",
@@ -39,7 +40,8 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry_runs(spark):
