@@ -93,6 +93,19 @@ def cut_lineage(df: DataFrame, name: str = "cut", partition_by: str | None = Non
     return spark.read.parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of lineage cuts that nothing reads any more; other tables are left alone.
+
+    Only for cuts whose readers have all been written themselves: a plan that
+    still reads one could not be run again after an executor is lost.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles() if "/staylens-tables/" in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cache a DataFrame that several branches of one plan reuse."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
