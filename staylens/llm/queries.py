@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import exact_dedup, language, merkle, mixing, ngram_join, packing, pii, quality, substring_dedup, toxicity
+from staylens.llm import exact_dedup, language, merkle, mixing, ngram_join, packing, pii, quality, simhash, substring_dedup, toxicity
 from staylens.llm.common import documents
 
 
@@ -50,6 +50,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_source_mix": op9_source_mix,
     "op10_toxicity": op10_toxicity,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 
 SQL: dict[str, str] = {
