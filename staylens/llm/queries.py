@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import conversation, exact_dedup, language, merkle, mixing, ngram_join, packing, pii, quality, simhash, substring_dedup, toxicity
+from staylens.llm import alignment, conversation, exact_dedup, language, merkle, mixing, ngram_join, packing, pii, quality, simhash, substring_dedup, toxicity
 from staylens.llm.common import documents
 
 
@@ -50,6 +50,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -140,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_source_mix": op9_source_mix,
     "op10_toxicity": op10_toxicity,
+    "op11_token_alignment": op11_token_alignment,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_simhash_dedup": op13_simhash_dedup,
 }
