@@ -7,6 +7,7 @@ comparison (both sides).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -976,6 +977,8 @@ def q_checkin_week_kpis(spark, sf_dir):
 
 from staylens.operators import audit as AU  # noqa: E402
 from staylens.operators import merge as M  # noqa: E402
+from staylens.plans import daystore as DS  # noqa: E402
+from staylens.session import checkpoint_dir  # noqa: E402
 from staylens.sources.driver_tables import DEMAND_COLUMNS, PREVIOUS_CUTOFF  # noqa: E402
 
 
@@ -1039,7 +1042,7 @@ def q_merge_incremental(spark, sf_dir):
     return _merge(spark, sf_dir).merged.select(*DEMAND_COLUMNS)
 
 
-@register("merge_stats", O.with_ctes(*MERGE_CTES) + """ SELECT
+MERGE_STATS = """ SELECT
   (SELECT count(*) FROM m_hist) AS history_rows,
   (SELECT count(*) FROM m_upl) AS uploaded_rows,
   (SELECT count(*) FROM m_upl WHERE ProductID IS NULL) AS skipped_missing_product,
@@ -1048,12 +1051,66 @@ def q_merge_incremental(spark, sf_dir):
   (SELECT count(*) FROM m_merged) AS merged_rows,
   (SELECT count_if(differs) > 0 FROM m_cmp) AS data_changed,
   (SELECT min(snapshot_at) FROM m_inc) AS upload_min_timestamp,
-  (SELECT max(snapshot_at) FROM m_inc) AS upload_max_timestamp""")
+  (SELECT max(snapshot_at) FROM m_inc) AS upload_max_timestamp"""
+
+
+@register("merge_stats", O.with_ctes(*MERGE_CTES) + MERGE_STATS)
 def q_merge_stats(spark, sf_dir):
     """F5 + F6: merge statistics, including whether the upload changed anything."""
     return _merge(spark, sf_dir).stats
 
 
+STATS_TYPES = ("history_rows long, uploaded_rows long, skipped_missing_product long, new_events long, duplicates_removed long, "
+               "merged_rows long, data_changed boolean, upload_min_timestamp timestamp_ntz, upload_max_timestamp timestamp_ntz")
+
+
+def _day_store(spark, sf_dir) -> DS.DayStore:
+    """A new store by day that holds the previous export."""
+    store = DS.DayStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/staylens-stores/{uuid.uuid4().hex}")
+    DS.create(spark, store.folder, T.demand_previous(spark, sf_dir))
+    return store
+
+
+def _upload(spark, sf_dir) -> DataFrame:
+    later = F.col("snapshot_at") >= F.lit(PREVIOUS_CUTOFF).cast("timestamp_ntz")
+    return T.demand_latest(spark, sf_dir).where(later | (F.col("load_seq") == 1))
+
+
+def _stats_row(spark, stats: dict) -> DataFrame:
+    names = [c.split()[0] for c in STATS_TYPES.split(", ")]
+    return spark.createDataFrame([tuple(stats[n] for n in names)], STATS_TYPES)
+
+
+STORED = [c for c in DEMAND_COLUMNS if c != "load_seq"]  # the store numbers loads itself
+
+
+@register("merge_by_day", O.with_ctes(*MERGE_CTES) + _sel(STORED, ["trend_momentum", "hotness_score", "search_volume", "view_volume"], "m_merged"))
+def q_merge_by_day(spark, sf_dir):
+    """SNK4 / F5: the committed store after the latest upload was merged into the days it touches."""
+    store = _day_store(spark, sf_dir)
+    store.commit(store.stage(_upload(spark, sf_dir)).manifest)
+    return store.read(store.manifest()).select(*STORED)
+
+
+@register("merge_by_day_stats", O.with_ctes(*MERGE_CTES) + MERGE_STATS)
+def q_merge_by_day_stats(spark, sf_dir):
+    """SNK4 / F6: statistics of that merge, from the touched days and the manifest."""
+    return _stats_row(spark, _day_store(spark, sf_dir).stage(_upload(spark, sf_dir)).stats)
+
+
+NOOP_CTES = [c.replace("m_upl AS (", "m_upl AS (SELECT * FROM m_hist WHERE check_status = 'modify'),\nm_later AS (") for c in MERGE_CTES]
+
+
+@register("merge_noop", O.with_ctes(*NOOP_CTES) + MERGE_STATS)
+def q_merge_noop(spark, sf_dir):
+    """an upload that re-sends stored rows changes nothing and publishes nothing."""
+    store = _day_store(spark, sf_dir)
+    staged = store.stage(store.read(store.manifest()).where("check_status = 'modify'"))
+    if staged.manifest is not None:
+        raise RuntimeError("an upload of stored rows was taken for a change")
+    return _stats_row(spark, staged.stats)
+
+
 @register("raw_key_quality", O.with_ctes(*RAW, O.PREVIOUS.replace(
     "AND ProductID IS NOT NULL AND ProductName IS NOT NULL", "").replace("previous AS", "previous_raw AS"))
     + """ SELECT 'latest' AS source, count_if(snapshot_at IS NULL) AS invalid_timestamp_rows,

@@ -1,12 +1,14 @@
 """Entry 2 / SNK4: merge a daily export, rebuild, audit, then publish.
 
-The demand store keeps typed demand versions (``latest`` and ``previous``)
-under ``v=<n>`` folders.  A merge that changes nothing publishes nothing.
-Otherwise the merged history becomes the new ``latest`` and the old one
-the new ``previous``; the rebuild and its audit run on that staged
-version, and both the store and the outputs are marked published only if
-every audit check passed.  On failure nothing is marked, so readers keep
-the previous state.
+The merge is staged in the store by affected day (``plans/daystore.py``).  If
+it changes nothing, nothing is published.  Otherwise the rebuild and its audit
+run on the staged days; only if every blocking check passed is the manifest
+committed, which names the new days, the former ones as ``previous`` and the
+new outputs at once.  A crash or a failed audit before that leaves the store
+and its outputs as they were.
+
+``_PUBLISHED`` markers of the output folder follow the manifest: one that a
+crash kept from being written is written by the next merge.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from staylens.operators import audit as AU, facts
-from staylens.operators.merge import merge_incremental
 from staylens.plans import publish
+from staylens.plans.daystore import DayStore
 from staylens.plans.rebuild import Rebuild, Sources
+from staylens.sources.files import exists
 
 
 class AuditFailed(RuntimeError):
@@ -39,16 +42,23 @@ def blocking() -> F.Column:
 
 
 def read_store(spark: SparkSession, store_dir: str) -> tuple[DataFrame | None, DataFrame | None]:
-    version = publish.current_version(spark, store_dir)
-    if version is None:
-        return None, None
-    base = f"{store_dir.rstrip('/')}/{version}"
-    latest = spark.read.parquet(f"{base}/latest")
-    prev_path = f"{base}/previous"
-    from staylens.sources.files import exists
+    """The committed latest and previous demand."""
+    store = DayStore(spark, store_dir)
+    manifest = store.manifest()
+    return store.read(manifest, "latest"), store.read(manifest, "previous")
 
-    previous = spark.read.parquet(prev_path) if exists(spark, prev_path) else None
-    return latest, previous
+
+def read_output(spark: SparkSession, store_dir: str, name: str) -> DataFrame:
+    """A table of the outputs that belong to the committed store."""
+    manifest = DayStore(spark, store_dir).manifest()
+    if manifest is None or manifest.outputs is None:
+        raise FileNotFoundError(f"{store_dir} has no published outputs")
+    return spark.read.parquet(f"{manifest.outputs}/{name}")
+
+
+def _follow(spark: SparkSession, outputs: str | None) -> None:
+    if outputs is not None and not exists(spark, f"{outputs}/{publish.MARKER}"):
+        publish.mark_published(spark, outputs)
 
 
 def merge_publish(
@@ -60,24 +70,15 @@ def merge_publish(
     gap_seconds: int = 300,
 ) -> dict:
     """Merge ``upload`` into the stored history and publish a rebuilt, audited version."""
-    history, _ = read_store(spark, store_dir)
-    if history is None:
-        history = upload.limit(0)
-    # later loads win: number this upload after everything stored
-    top = history.agg(F.max("load_seq")).first()[0]
-    upload = upload.withColumn("load_seq", F.lit((top if top is not None else 0) + 1))
-    result = merge_incremental(history, upload)
-    stats = result.stats.first().asDict()
-    if not stats["data_changed"]:
-        return {**stats, "published": None}
-
-    version = publish.new_version(spark, store_dir)
-    staged = f"{store_dir.rstrip('/')}/{version}"
-    result.merged.write.mode("overwrite").parquet(f"{staged}/latest")
-    history.write.mode("overwrite").parquet(f"{staged}/previous")
-    latest = spark.read.parquet(f"{staged}/latest")
-    previous = spark.read.parquet(f"{staged}/previous")
-
+    store = DayStore(spark, store_dir)
+    before = store.manifest()
+    _follow(spark, before.outputs if before else None)
+    staged = store.stage(upload)
+    if not staged.stats["data_changed"]:
+        return {**staged.stats, "published": None}
+
+    latest = store.read(staged.manifest, "latest")
+    previous = store.read(before, "latest")
     r = Rebuild(replace(dims, latest=latest, previous=previous), gap_seconds)
     out_base = publish.publish_outputs(spark, r.outputs(), out_dir, mark=False)
     published_hist = (
@@ -93,7 +94,7 @@ def merge_publish(
     )
     failed = [row["check"] for row in checks.where(blocking()).collect()]  # at most five rows
     if failed:
-        raise AuditFailed(f"audit failed ({', '.join(failed)}); version {version} left unpublished")
-    publish.mark_published(spark, staged)
-    publish.mark_published(spark, out_base)
-    return {**stats, "published": out_base}
+        raise AuditFailed(f"audit failed ({', '.join(failed)}); commit {staged.manifest.number} left out")
+    store.commit(replace(staged.manifest, outputs=out_base))
+    _follow(spark, out_base)
+    return {**staged.stats, "published": out_base}

@@ -3,11 +3,20 @@
 ``readStream`` over the landing folder with the all-text export schema
 (a stream needs a schema; ``enforceSchema=false`` makes a file whose
 header disagrees fail instead of silently binding by position), then
-``foreachBatch`` runs the keyed merge (F5) into the versioned store.
+``foreachBatch`` merges each file into the days it touches (F5, lenient).
 ``trigger(availableNow=True)`` processes what has landed and stops, so
-the job can run on a schedule.  The merge is idempotent, so replaying an
-epoch after a failure changes nothing.  No watermark: late or back-filled
-rows are accepted at any age, as in the original.
+the job can run on a schedule.
+
+Rows that cannot be merged (an unreadable stamp or date, an unsupported
+status) go to the store's quarantine with their reason and the stream goes on;
+rows without a hotel are skipped and counted, as in a batch merge.
+
+The commit of a file also names its epoch in the manifest, per stream, so the
+rows and the log can't part.  An epoch at or below the one named there has been
+merged: replaying it after a crash changes nothing, and neither does it write
+a second quarantine.  The stream is known by the place of its checkpoint.  No
+watermark: late or back-filled rows are accepted at any age, as in the
+original, and touch the days they belong to.
 
 There is no streaming session window here on purpose: a session window
 without another grouping key is rejected by Structured Streaming, and the
@@ -16,35 +25,29 @@ observation batches are global, so batching runs in the rebuild.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from staylens.operators import clean
-from staylens.operators.merge import merge_incremental
-from staylens.plans import publish
-from staylens.plans.increment import read_store
+from staylens.plans.daystore import DayStore
 
 EXPORT_SCHEMA = StructType([StructField(c, StringType(), True) for c in clean.REQUIRED_DEMAND_COLUMNS])
 
 
-def _merge_batch(store_dir: str):
+def merge_epoch(store_dir: str, stream: str) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function of the stream ``stream``."""
+
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        typed = clean.type_demand(batch).withColumns(
-            {"load_seq": F.lit(int(epoch_id) + 1), "row_seq": F.monotonically_increasing_id()}
-        )
-        history, _ = read_store(spark, store_dir)
-        if history is None:
-            history = typed.limit(0)
-        result = merge_incremental(history, typed)
-        if not result.stats.first()["data_changed"]:
+        store = DayStore(batch.sparkSession, store_dir)
+        manifest = store.manifest()
+        if manifest is not None and epoch_id <= manifest.epochs.get(stream, -1):
             return
-        version = publish.new_version(spark, store_dir)
-        staged = f"{store_dir.rstrip('/')}/{version}"
-        result.merged.write.mode("overwrite").parquet(f"{staged}/latest")
-        history.write.mode("overwrite").parquet(f"{staged}/previous")
-        publish.mark_published(spark, staged)
+        typed = clean.type_demand(batch).withColumn("row_seq", F.monotonically_increasing_id())
+        staged = store.stage(typed, strict=False, stream=stream, epoch=int(epoch_id))
+        store.commit(staged.manifest)
 
     return run
 
@@ -65,7 +68,7 @@ def start_increment_stream(
         .schema(EXPORT_SCHEMA)
         .load(landing_dir)
     )
-    writer = exports.writeStream.foreachBatch(_merge_batch(store_dir)).option(
+    writer = exports.writeStream.foreachBatch(merge_epoch(store_dir, checkpoint_location.rstrip("/"))).option(
         "checkpointLocation", checkpoint_location
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
