@@ -977,6 +977,7 @@ def q_checkin_week_kpis(spark, sf_dir):
 
 from staylens.operators import audit as AU  # noqa: E402
 from staylens.operators import merge as M  # noqa: E402
+from staylens.plans import batch_index as BI  # noqa: E402
 from staylens.plans import daystore as DS  # noqa: E402
 from staylens.session import checkpoint_dir  # noqa: E402
 from staylens.sources.driver_tables import DEMAND_COLUMNS, PREVIOUS_CUTOFF  # noqa: E402
@@ -1111,6 +1112,18 @@ def q_merge_noop(spark, sf_dir):
     return _stats_row(spark, staged.stats)
 
 
+@register("batch_map_by_day", O.with_ctes(*MERGE_CTES, O.batched("m_merged", "mb"))
+          + " SELECT snapshot_at, Observation_Batch, Observation_At FROM mb_map")
+def q_batch_map_by_day(spark, sf_dir):
+    """A1 kept by day: the batch map after a merge, numbered again from the first day that changed."""
+    store = _day_store(spark, sf_dir)
+    index = BI.BatchIndex(store, 300)
+    index.update()
+    store.commit(store.stage(_upload(spark, sf_dir)).manifest)
+    index.update()
+    return index.batch_map()
+
+
 @register("raw_key_quality", O.with_ctes(*RAW, O.PREVIOUS.replace(
     "AND ProductID IS NOT NULL AND ProductName IS NOT NULL", "").replace("previous AS", "previous_raw AS"))
     + """ SELECT 'latest' AS source, count_if(snapshot_at IS NULL) AS invalid_timestamp_rows,

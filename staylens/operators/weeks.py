@@ -1,11 +1,10 @@
 """Week comparisons in bulk form.
 
 The original compares one selected ISO week with the week before.  Here
-every row is sent to two target weeks (its own week as the current period
-and the following week as the previous period: a fixed 2x expansion, no
-pairs), and every target week is a key; batching is scoped per target
-week, because the original batches the two weeks jointly (a batch may
-straddle the boundary).
+every week is a key.  Snapshot weeks are summarised once and the summaries
+joined to themselves seven days on.  In the check-in views every row is sent
+to two target weeks (its own week as the current period and the following
+week as the previous period: a fixed 2x expansion, no pairs).
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from staylens.operators.views import WORK_PRIORITY, level, work_priority
 # Signal sort orders of the weekly worklist.
 HOTEL_SIGNAL_ORDER = {"Critical surge": 5, "High increase": 4, "New interest": 3, "Stable": 2, "Declining": 1}
 DEST_SIGNAL_ORDER = {"Critical surge": 5, "High increase": 4, "New demand": 3, "Stable": 2, "Declining": 1}
-WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
 
 def monday(d: Column) -> Column:
@@ -73,23 +71,30 @@ def _two_weeks(rows: DataFrame, day: Column, options: DataFrame) -> DataFrame:
     return join_small(out, options.select("week_start"), on="week_start", how="left_semi", bounded=True)
 
 
-def snapshot_week(demand: DataFrame, gap_seconds: int = 300) -> DataFrame:
-    """each ISO snapshot week against the week before (hotel x check-in rows)."""
-    options = week_options(demand)
-    rows = demand.where(F.col("snapshot_at").isNotNull() & F.col("checkin_date").isNotNull()).withColumns(
-        {
-            "view_volume": F.coalesce(F.col("view_volume"), F.lit(0.0)),
-            "check_status": C.demand_status("check_status"),
-        }
-    )
-    rel = _two_weeks(rows, F.to_date("snapshot_at"), options)
-    b = with_batches(rel, gap_seconds, scope=["week_start"])
-    iv = facts.latest_per_key(
-        b.where(F.col("ProductID").isNotNull()),
-        ["week_start", "period", "Observation_Batch", "ProductID", "checkin_date"],
+WEEK_ROWS = ["snapshot_at", "checkin_date", "ProductID", "ProductName", "Destination", "check_status", "hotness_score",
+             "trend_momentum", "search_volume", "view_volume", "load_seq", "row_seq"]
+WEEK_HOTEL = ["week_start", "ProductID", "checkin_date"]
+WEEK_DESTINATION = ["week_start", "Destination", "checkin_date"]
+
+
+def week_summaries(demand: DataFrame, gap_seconds: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Hotel and destination facts per ISO snapshot week and check-in date.
+
+    A comparison batches its two weeks jointly but groups them apart, so of a
+    batch that straddles the Monday each week sees its own part: the first (or
+    last) run of its own stamps.  A week's facts are therefore the same as the
+    current week of one comparison and as the previous week of the next, and
+    depend on no other week: summaries of different weeks are merged by union.
+    Rows are read once and written with their batches, for both tables.
+    """
+    rows = demand.where(F.col("snapshot_at").isNotNull() & F.col("checkin_date").isNotNull()).select(
+        *WEEK_ROWS, monday(F.to_date("snapshot_at")).alias("week_start")
     )
-    keys = ["week_start", "ProductID", "checkin_date"]
-    latest = iv.where(F.col("period") == "latest").groupBy(*keys).agg(
+    rows = rows.withColumns({"view_volume": F.coalesce("view_volume", F.lit(0.0)), "check_status": C.demand_status("check_status")})
+    rows = cut_lineage(rows, "week_rows")
+    b = with_batches(rows, gap_seconds, scope=["week_start"])
+    kept = facts.latest_per_key(b.where(F.col("ProductID").isNotNull()), [*WEEK_HOTEL, "Observation_Batch"], null_keys=False)
+    hotels = kept.groupBy(*WEEK_HOTEL).agg(
         C.sum0("view_volume").alias("view_volume"),
         F.count(F.lit(1)).alias("Interval_Count"),
         F.avg("hotness_score").alias("hotness_score"),
@@ -97,11 +102,29 @@ def snapshot_week(demand: DataFrame, gap_seconds: int = 300) -> DataFrame:
         F.max_by(
             F.struct("ProductName", "Destination", "snapshot_at", "check_status"), F.struct(*facts.ORDER)
         ).alias("_m"),
-    ).select(*keys, "view_volume", "Interval_Count", "hotness_score", "trend_momentum", "_m.*")
-    previous = iv.where(F.col("period") == "previous").groupBy(*keys).agg(
-        C.sum0("view_volume").alias("Previous_Views"), F.count(F.lit(1)).alias("Previous_View_Intervals")
+    ).select(*WEEK_HOTEL, "view_volume", "Interval_Count", "hotness_score", "trend_momentum", "_m.*")
+    medians = b.where(F.col("Destination").isNotNull()).groupBy(*WEEK_DESTINATION, "Observation_Batch").agg(
+        F.median("search_volume").alias("search_volume"), F.max("snapshot_at").alias("snapshot_at")
     )
-    hotels = latest.join(previous, on=keys, how="left")
+    destinations = medians.groupBy(*WEEK_DESTINATION).agg(
+        C.sum0("search_volume").alias("Destination_Searches"),
+        F.max("snapshot_at").alias("Destination_Search_Snapshot"),
+        F.count(F.lit(1)).alias("Destination_Intervals"),
+    )
+    return cut_lineage(hotels, "week_hotels"), cut_lineage(destinations, "week_destinations")
+
+
+def _next_week(facts_of_week: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """A week's facts under the week that compares itself with it."""
+    return facts_of_week.select(
+        F.date_add("week_start", 7).alias("week_start"), *keys[1:], *[F.col(c).alias(n) for c, n in names.items()]
+    )
+
+
+def compare_weeks(hotels: DataFrame, destinations: DataFrame) -> DataFrame:
+    """F7 from week summaries: each week's facts against those of the week before."""
+    previous = _next_week(hotels, WEEK_HOTEL, {"view_volume": "Previous_Views", "Interval_Count": "Previous_View_Intervals"})
+    hotels = hotels.join(previous, on=WEEK_HOTEL, how="left")
     k = C.min_strict("Interval_Count", "Previous_View_Intervals")
     hotels = hotels.withColumns(
         {
@@ -111,21 +134,12 @@ def snapshot_week(demand: DataFrame, gap_seconds: int = 300) -> DataFrame:
         }
     ).withColumn("View_Change", F.col("Comparable_Views") - F.col("Previous_Comparable_Views"))
 
-    dkeys = ["week_start", "Destination", "checkin_date"]
-    di = b.where(F.col("Destination").isNotNull()).groupBy("week_start", "period", "Observation_Batch", "Destination", "checkin_date").agg(
-        F.median("search_volume").alias("search_volume"), F.max("snapshot_at").alias("snapshot_at")
-    )
-    dl = di.where(F.col("period") == "latest").groupBy(*dkeys).agg(
-        C.sum0("search_volume").alias("Destination_Searches"),
-        F.max("snapshot_at").alias("Destination_Search_Snapshot"),
-        F.count(F.lit(1)).alias("Destination_Intervals"),
-    )
-    dp = di.where(F.col("period") == "previous").groupBy(*dkeys).agg(
-        C.sum0("search_volume").alias("Previous_Destination_Searches"),
-        F.count(F.lit(1)).alias("Previous_Destination_Intervals"),
-    )
+    before = _next_week(
+        destinations, WEEK_DESTINATION,
+        {"Destination_Searches": "Previous_Destination_Searches", "Destination_Intervals": "Previous_Destination_Intervals"},
+    )
     dk = C.min_strict("Destination_Intervals", "Previous_Destination_Intervals")
-    dest = dl.join(dp, on=dkeys, how="left").withColumns(
+    dest = destinations.join(before, on=WEEK_DESTINATION, how="left").withColumns(
         {
             "Comparable_Destination_Intervals": dk,
             "Comparable_Destination_Searches": F.col("Destination_Searches") / F.col("Destination_Intervals") * dk,
@@ -139,7 +153,7 @@ def snapshot_week(demand: DataFrame, gap_seconds: int = 300) -> DataFrame:
         "Destination_Search_Change",
         F.col("Comparable_Destination_Searches") - F.col("Previous_Comparable_Destination_Searches"),
     )
-    out = hotels.join(dest, on=dkeys, how="left")
+    out = hotels.join(dest, on=WEEK_DESTINATION, how="left")
     status = (
         F.when(F.col("Previous_Views").isNull(), "New")
         .when(F.col("View_Change") > 0, "Increase")
@@ -149,6 +163,11 @@ def snapshot_week(demand: DataFrame, gap_seconds: int = 300) -> DataFrame:
     return out.withColumn("Upload_Change_Status", status)
 
 
+def snapshot_week(demand: DataFrame, gap_seconds: int = 300) -> DataFrame:
+    """each ISO snapshot week against the week before (hotel x check-in rows)."""
+    return compare_weeks(*week_summaries(demand, gap_seconds))
+
+
 def checkin_detail(full_history: DataFrame, engine: DataFrame) -> DataFrame:
     """Input of the check-in week view: all-history hotel rows of engine hotels (F13 applied)."""
     from staylens.operators.views import home_detail

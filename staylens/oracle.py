@@ -234,7 +234,7 @@ FEEDS = f"""
 bk_raw AS (
   SELECT d.ProductID, d.checkin_date AS CheckInDate,
          CAST(floor(d.search_volume) % 3 + 1 AS DOUBLE) AS booking_count
-  FROM demand_rows d JOIN customer c ON d.ProductID = c.c_custkey
+  FROM demand_rows d
   WHERE d.event_type = 'purchase'
 ),
 bk AS (

@@ -1,5 +1,10 @@
 """A1 batching: FX1, and both physical paths give the single-window ids."""
 
+import datetime as dt
+import random
+
+import pytest
+
 import datetime as dt
 
 from pyspark.sql import Window, functions as F
@@ -60,6 +65,28 @@ def test_scoped_batches_restart(spark):
 def test_bucketed_plan_has_no_single_partition_exchange(spark):
     df = _stamps(spark)
     plan = batches.batch_map(df, 300)._jdf.queryExecution().executedPlan().toString()
-    # the stamp-level window is partitioned by (day, second); only the one-row-per-day level is global
-    assert "hashpartitioning(_day" in plan
+    # the stamp-level window is partitioned by minute; only the one-row-per-minute level is global
+    assert "hashpartitioning(_minute" in plan
+    assert "InMemoryTableScan" not in plan  # no level is cached
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize("gap", [0, 1, 20, 59, 60, 61, 300, 4000])
+def test_ends_and_ids_match_one_ordered_scan(spark, gap):
+    """Runs that end inside a minute, go through whole minutes, or cross several of them."""
+    r = random.Random(gap)
+    at, stamps = dt.datetime(2026, 8, 18, 23, 50), set()
+    for _ in range(300):
+        at += dt.timedelta(microseconds=r.choice([1, 500_000, 1_000_000, 20_000_000, 59_999_999, 60_000_000, 61_000_000, 300_000_000, 4_000_000_001]))
+        stamps.add(at)
+    want, number, run = {}, 0, []
+    for s in sorted(stamps):
+        if run and (s - run[-1]) > dt.timedelta(seconds=gap):
+            number += 1
+            want |= {x: (number, run[-1]) for x in run}
+            run = []
+        run.append(s)
+    want |= {x: (number + 1, run[-1]) for x in run}
+    df = demand(spark, [{"snapshot_at": s} for s in stamps])
+    got = {x.snapshot_at: (x.Observation_Batch, x.Observation_At) for x in batches.batch_map(df, gap).collect()}
+    assert got == want

@@ -1,6 +1,8 @@
 """A2 / A3 / A4 on hand-written fixtures (FX2)."""
 
-from helpers import demand, rows, ts
+import datetime as dt
+
+from helpers import D, demand, rows, ts
 from staylens.operators import facts
 
 
@@ -41,3 +43,39 @@ def test_history_prefers_latest_load(spark):
     hotels, dest = facts.stored_history(latest, prev, 300)
     assert rows(hotels, "Total_Observed_Views", "Historical_View_Intervals") == [(10.0, 2)]
     assert rows(dest, "Historical_Search_Intervals") == [(2,)]
+
+
+def test_facts_keep_the_last_row_without_sorting_to_aggregate(spark):
+    df = demand(spark, [{"snapshot_at": ts("10:00:00"), "ProductID": p} for p in (1, 2)])
+    plans = [facts.hotel_checkin(df, 300), *facts.stored_history(df, df, 300), facts.checkin_date_trend(df, 300), facts.full_history_funnel(df, 300), facts.hotel_trend(df, 300)]
+    for plan in plans:
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_order_is_the_order_of_its_columns(spark):
+    import itertools
+
+    import pytest
+
+    stamps = [None, ts("10:00:00"), ts("10:00:00", dt.date(1969, 1, 2)), ts("23:59:59", dt.date(2285, 12, 31))]
+    cases = [(s, load, row) for s, load, row in itertools.product(stamps, [None, 0, 1, 99_998], [None, 0, 7, 10**17 - 2])]
+    df = demand(spark, [{"snapshot_at": s, "load_seq": load, "row_seq": row, "ProductName": str(i)} for i, (s, load, row) in enumerate(cases)])
+    got = [int(r.ProductName) for r in df.withColumn("o", facts.packed_order(facts.ORDER)).orderBy("o").collect()]
+    key = lambda c: tuple((x is not None, x if x is not None else 0) for x in c)
+    assert [cases[i] for i in got] == sorted(cases, key=lambda c: (c[0] is not None, c[0] or ts("0:00:00"), key(c[1:])))
+    with pytest.raises(Exception, match="(?i)out of range|overflow|cannot be represented"):
+        demand(spark, [{"row_seq": 10**17}]).select(facts.packed_order(["row_seq"])).collect()
+
+
+def test_latest_per_key_with_null_keys_matches_plain_python(spark):
+    import random
+
+    r = random.Random(2)
+    data = [{"ProductID": r.choice([None, 1, 2]), "checkin_date": r.choice([None, D]), "snapshot_at": r.choice([None, ts("10:00:00"), ts("11:00:00")]),
+             "load_seq": r.choice([0, 1]), "row_seq": i} for i in range(60)]
+    best = {}
+    for d in data:
+        k, o = (d["ProductID"], d["checkin_date"]), (d["snapshot_at"] is not None, d["snapshot_at"] or ts("0:00:00"), d["load_seq"], d["row_seq"])
+        best[k] = max(best.get(k, o), o)
+    got = facts.latest_per_key(demand(spark, data), ["ProductID", "checkin_date"]).collect()
+    assert {(x.ProductID, x.checkin_date): x.row_seq for x in got} == {k: o[3] for k, o in best.items()} and len(got) == len(best)
