@@ -895,8 +895,33 @@ def q_checkin_week_hotels(spark, sf_dir):
                                          "(SELECT * FROM ci_hotels WHERE Priority <= 200)"))
 def q_week_worklist(spark, sf_dir):
     """The first 200 hotels of every check-in week."""
-    h = W.checkin_week_hotels(_checkin_detail(spark, sf_dir))
-    return W.week_worklist(h).select(*[F.col(f"`{c}`") for c in CI_HOTEL_COLS])
+    return W.week_worklist(_checkin_detail(spark, sf_dir)).select(*[F.col(f"`{c}`") for c in CI_HOTEL_COLS])
+
+
+WIDE_SQL = """WITH ci_detail AS (
+  SELECT o_custkey AS ProductID, DATE '2024-01-01' + CAST(o_orderkey % 28 AS INT) AS checkin_date,
+         'Hotel ' || o_custkey AS ProductName, n_name AS Destination, 'Region ' || (o_custkey % 5) AS Region,
+         sum(floor(o_totalprice)) AS view_volume, CAST(n_nationkey * 10 + o_orderkey % 28 % 7 AS DOUBLE) AS Destination_Searches
+  FROM orders JOIN nation ON n_nationkey = o_custkey % 25 GROUP BY ALL
+),
+ci_weeks AS (""" + CI_SQL.split("ci_weeks AS (", 1)[1]
+
+
+@register("week_worklist_orders", WIDE_SQL + _sel(CI_HOTEL_COLS, CI_HOTEL_DOUBLES,
+                                                  "(SELECT * FROM ci_hotels WHERE Priority <= 200)"))
+def q_week_worklist_orders(spark, sf_dir):
+    """W13 where every week has more than 200 hotels: customers as hotels, order prices as views."""
+    day = (F.col("o_orderkey") % 28).cast("int")
+    orders = T.table(spark, sf_dir, "orders").join(
+        F.broadcast(T.table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("o_custkey") % 25  # 25 rows
+    )
+    detail = orders.groupBy(
+        F.col("o_custkey").alias("ProductID"), F.date_add(F.lit("2024-01-01").cast("date"), day).alias("checkin_date"),
+        F.concat(F.lit("Hotel "), F.col("o_custkey").cast("string")).alias("ProductName"), F.col("n_name").alias("Destination"),
+        F.concat(F.lit("Region "), (F.col("o_custkey") % 5).cast("string")).alias("Region"),
+        (F.col("n_nationkey") * 10 + day % 7).cast("double").alias("Destination_Searches"),
+    ).agg(F.sum(F.floor("o_totalprice")).cast("double").alias("view_volume"))
+    return W.week_worklist(cut_lineage(detail, "orders_detail")).select(*[F.col(f"`{c}`") for c in CI_HOTEL_COLS])
 
 
 CI_DEST_COLS = ["week_start", "Destination", "Current_Searches", "Previous_Searches", "Search_Change", "Change_Pct"]
@@ -1288,3 +1313,189 @@ ROLL_COLS = ["ProductID", "Destination_Search_Context", "Funnel_Views", "Funnel_
 def q_funnel_rollup(spark, sf_dir):
     """Per-hotel roll-up of the current funnel."""
     return E.funnel_rollup(_rebuild(spark, sf_dir).funnel).select(*ROLL_COLS)
+
+
+# ---------------------------------------------------------------- week options, freshness, aliases, corrupted audit
+
+@register("checkin_week_options", FULL + """ SELECT week_start,
+  CAST(isoyear(week_start) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(week_start) AS VARCHAR), 2, '0')
+  || ' (' || strftime(week_start, '%d %b') || '–' || strftime(week_start + 6, '%d %b') || ')' AS label
+  FROM (SELECT DISTINCT CAST(date_trunc('week', checkin_date) AS DATE) AS week_start FROM detail)""")
+def q_checkin_week_options(spark, sf_dir):
+    """ISO check-in weeks with labels."""
+    return W.checkin_week_options(_detail(_rebuild(spark, sf_dir)))
+
+
+@register("freshness", FULL + """ SELECT (SELECT max(snapshot_at) FROM latest_raw) AS Latest_Snapshot,
+  (SELECT count(*) FROM daily WHERE "Demand Level" IN ('High', 'Very High')) AS High_Dates""")
+def q_freshness(spark, sf_dir):
+    """F16: the newest snapshot overall and the number of High + Very High dates."""
+    return W.freshness(_raw_latest(spark, sf_dir), V.daily_market(_detail(_rebuild(spark, sf_dir))))
+
+
+PROVINCE_CTES = """,
+prov AS (
+  SELECT n_name AS province FROM nation WHERE n_nationkey % 3 <> 0
+  UNION ALL SELECT n_name || ' Province' FROM nation WHERE n_nationkey % 3 <> 1
+  UNION ALL SELECT 'Old ' || n_name FROM nation WHERE n_nationkey % 5 = 1
+),
+prov_alias AS (SELECT n_name || ' Province' AS alias, n_name AS target FROM nation WHERE n_nationkey % 3 <> 1),
+prov_dest AS (SELECT province, coalesce(target, province) AS Destination FROM prov LEFT JOIN prov_alias ON province = alias)"""
+
+
+def _provinces(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Map names spelled as the destination, with a suffix that an alias covers, and with a prefix that none does."""
+    nation, key, name = T.table(spark, sf_dir, "nation"), F.col("n_nationkey"), F.col("n_name")
+    suffixed = F.concat(name, F.lit(" Province"))
+    provinces = (
+        nation.where(key % 3 != 0).select(name.alias("province"))
+        .unionByName(nation.where(key % 3 != 1).select(suffixed.alias("province")))
+        .unionByName(nation.where(key % 5 == 1).select(F.concat(F.lit("Old "), name).alias("province")))
+    )
+    return provinces, nation.where(key % 3 != 1).select(suffixed.alias("alias"), name.alias("Destination"))
+
+
+def _mapped(spark, sf_dir) -> DataFrame:
+    return V.map_table(*_rebuild(spark, sf_dir).history, T.destination_coordinates(spark, sf_dir))
+
+
+PROVINCE_COLS = ["province", *MAP_COLS]
+
+
+@register("province_demand", MAP_SQL + PROVINCE_CTES + _sel(PROVINCE_COLS, ["Searches", "Views", "Latitude", "Longitude"],
+                                                            "(SELECT * FROM mp JOIN prov_dest USING (Destination))"))
+def q_province_demand(spark, sf_dir):
+    """The map table by province, through the alias map."""
+    return V.province_demand(_mapped(spark, sf_dir), *_provinces(spark, sf_dir)).select(*PROVINCE_COLS)
+
+
+@register("unmatched_provinces", MAP_SQL + PROVINCE_CTES + """ SELECT province, Destination FROM prov_dest
+  WHERE Destination NOT IN (SELECT Destination FROM mp)""")
+def q_unmatched_provinces(spark, sf_dir):
+    """Map names that stand for no destination with demand."""
+    return V.unmatched_provinces(_mapped(spark, sf_dir), *_provinces(spark, sf_dir)).select("province", "Destination")
+
+
+def _corrupted(df: DataFrame, values: list[str]) -> DataFrame:
+    """Rows lost, rows invented and values changed on fixed residues of the hotel or initials of the destination."""
+    key, name = (F.col(c) if c in df.columns else None for c in ("ProductID", "Destination"))
+
+    def hit(residue: int, initial: str):
+        parts = ([key % residue == 0] if key is not None else []) + ([name.startswith(initial)] if name is not None else [])
+        out = parts[0]
+        for p in parts[1:]:
+            out = out | p
+        return F.coalesce(out, F.lit(False))
+
+    kept = df.where(~hit(7, "I")).withColumns({v: F.when(hit(5, "A"), F.col(v) + 1).otherwise(F.col(v)) for v in values})
+    return kept.unionByName(df.where(hit(11, "C")).withColumn("checkin_date", F.date_add("checkin_date", 1000)))
+
+
+def _corrupted_sql(src: str, name: str, values: list[str], hotel: bool, destination: bool) -> str:
+    def hit(residue: int, initial: str) -> str:
+        parts = ([f"ProductID % {residue} = 0"] if hotel else []) + ([f"starts_with(Destination, '{initial}')"] if destination else [])
+        return f"coalesce({' OR '.join(parts)}, FALSE)"
+
+    changed = ", ".join(f"CASE WHEN {hit(5, 'A')} THEN {v} + 1 ELSE {v} END AS {v}" for v in values)
+    return (f"{name} AS (SELECT * REPLACE ({changed}) FROM {src} WHERE NOT {hit(7, 'I')} "
+            f"UNION ALL SELECT * REPLACE (checkin_date + 1000 AS checkin_date) FROM {src} WHERE {hit(11, 'C')})")
+
+
+FUNNEL_VALUES = ["Destination_Searches", "Comparable_Destination_Searches", "Previous_Comparable_Destination_Searches",
+                 "view_volume", "Comparable_Views", "Previous_Comparable_Views"]
+CORRUPTED_SQL = (
+    AUDIT_SQL.replace("\nau_n AS (", "\n" + ",\n".join([
+        _corrupted_sql("funnel", "funnel_x", FUNNEL_VALUES, True, True),
+        _corrupted_sql("hist_h", "hist_hx", ["Total_Observed_Views"], True, True),
+        _corrupted_sql("hist_d", "hist_dx", ["Total_Observed_Searches"], False, True),
+    ]) + ",\nau_n AS (", 1)
+    .replace("FROM funnel WHERE Destination IS NOT NULL", "FROM funnel_x WHERE Destination IS NOT NULL")
+    .replace("Previous_Comparable_Views AS a3\n          FROM funnel)", "Previous_Comparable_Views AS a3\n          FROM funnel_x)")
+    .replace("Total_Observed_Searches AS a1 FROM hist_d)", "Total_Observed_Searches AS a1 FROM hist_dx)")
+    .replace("Total_Observed_Views AS a1 FROM hist_h)", "Total_Observed_Views AS a1 FROM hist_hx)")
+)
+
+
+@register("audit_corrupted", CORRUPTED_SQL + """ SELECT *, missing_in_actual + missing_in_expected + value_different = 0 AS passed
+  FROM au_rows""")
+def q_audit_corrupted(spark, sf_dir):
+    """A20 against published tables with lost rows, invented rows and changed values."""
+    r = _rebuild(spark, sf_dir)
+    hotels, destinations = r.history
+    published = (_corrupted(hotels, ["Total_Observed_Views"]), _corrupted(destinations, ["Total_Observed_Searches"]))
+    return AU.audit(r.windows.current, r.windows.baseline, _corrupted(r.funnel, FUNNEL_VALUES), r.history, published)
+
+
+# ---------------------------------------------------------------- files: landing, sheets, publishing, snapshots
+
+from staylens.plans import publish  # noqa: E402
+from staylens.sources import files  # noqa: E402
+
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/staylens-files/{name}-{uuid.uuid4().hex}"
+
+
+EXPORT_NAMES = dict(zip(["snapshot_at", "checkin_date"], ["Time Stamp", "CheckInDate"], strict=True))
+LANDED = [c for c in DEMAND_COLUMNS if c not in ("load_seq", "row_seq")]
+
+
+@register("scan_demand", O.with_ctes(*RAW, O.PREVIOUS.replace(
+    "AND ProductID IS NOT NULL AND ProductName IS NOT NULL", "").replace("previous AS", "previous_raw AS"))
+    + _sel(["source", *LANDED], DEMAND_DOUBLES, "(SELECT 'latest' AS source, * FROM latest_raw UNION ALL "
+                                                "SELECT 'previous', * FROM previous_raw)"))
+def q_scan_demand(spark, sf_dir):
+    """SRC1-SRC4 + PRJ1/PRJ2 typing: both exports written as text under their file names, found, landed and typed again."""
+    raw = _folder(spark, "raw")
+    for name, rows in (("demand_latest.csv", T.demand_latest(spark, sf_dir)), ("demand_previous.csv", T.demand_previous(spark, sf_dir))):
+        text = rows.select(*[F.col(c).cast("string").alias(EXPORT_NAMES.get(c, c)) for c in reversed(LANDED)])
+        text.write.option("header", True).csv(f"{raw}/{name}")
+    found = files.scan_demand(spark, raw).select(F.lit("latest").alias("source"), *LANDED)
+    return found.unionByName(files.scan_previous(spark, raw).select(F.lit("previous").alias("source"), *LANDED))
+
+
+@register("scan_master_sheet", """SELECT CAST(c_custkey AS VARCHAR) AS ProductID, c_name AS ProductName, n_name AS Destination,
+  c_mktsegment AS "HotelType Short", r_name AS Region
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def q_scan_master_sheet(spark, sf_dir):
+    """SRC8: the hotel master written as a CSV sheet and landed again, all text."""
+    path = f"{_folder(spark, 'sheets')}/master.csv"
+    T.hotel_master(spark, sf_dir).drop("row_seq").write.option("header", True).csv(path)
+    return files.scan_table(spark, path).drop("load_seq", "row_seq")
+
+
+@register("scan_ota_parity_sheet", SQL["scan_ota_parity"])
+def q_scan_ota_parity_sheet(spark, sf_dir):
+    """SRC7 from its file: a title line, the header on the second line, then the rows of the wide sheet."""
+    wide = T.ota_parity_wide(spark, sf_dir)
+    lines = wide.select(F.lit(2).alias("at"), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in wide.columns])).alias("value"))
+    title = spark.createDataFrame([(0, '"OTA parity, by stay date"' + "," * 6), (1, ",".join(wide.columns))], "at int, value string")
+    path = f"{_folder(spark, 'sheets')}/ota"
+    # a sheet is one file
+    title.unionByName(lines).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    return feeds.ota_parity(files.land_sheet(spark, path, header_line=1))
+
+
+@register("published_extracts", ENG + """ SELECT 'top20' AS extract, ProductID FROM engine WHERE "Commercial Rank" <= 20
+  UNION ALL SELECT 'agoda_mapping', ProductID FROM engine WHERE Action = 'Map Hotel to Agoda'
+  UNION ALL SELECT 'ctrip_mapping', ProductID FROM engine WHERE Action = 'Expand to Ctrip'
+  UNION ALL SELECT 'room_type_mapping', ProductID FROM engine WHERE Action = 'Complete Room-Type Mapping'""")
+def q_published_extracts(spark, sf_dir):
+    """SNK1 + SNK2 + SRC10: the engine published as a version, its extracts read from the marked one."""
+    out = _folder(spark, "out")
+    publish.publish_outputs(spark, {"engine": _rebuild(spark, sf_dir).engine}, out)
+    parts = [files.read_published(spark, out, n).select(F.lit(n).alias("extract"), "ProductID") for n in ("top20", *publish.EXTRACT_ACTIONS)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register("newest_snapshots", ENG + """ SELECT 3 - day AS age, DATE '2024-02-01' + CAST(day AS INT) AS snapshot_date, ProductID,
+  CAST("Commercial Rank" + day AS BIGINT) AS rank FROM engine, range(1, 3) d(day)""")
+def q_newest_snapshots(spark, sf_dir):
+    """SNK3 + SRC11: three dated engine snapshots, one of them rewritten; the newest two read with pruned folders."""
+    import datetime as dt
+
+    out = _folder(spark, "snapshots")
+    engine = cut_lineage(_rebuild(spark, sf_dir).engine.select("ProductID", F.col("`Commercial Rank`").alias("rank")), "engine")
+    for day, shift in ((0, 0), (2, 9), (1, 1), (2, 2)):
+        publish.save_snapshot(engine.withColumn("rank", F.col("rank") + shift), out, dt.date(2024, 2, 1) + dt.timedelta(days=day))
+    return files.newest_snapshots(spark, out).select(F.col("age").cast("bigint").alias("age"), "snapshot_date", "ProductID", "rank")

@@ -28,6 +28,10 @@ def raw_key_quality(raw: DataFrame) -> DataFrame:
     )
 
 
+def _text(name: str) -> F.Column:
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("<NA>"))
+
+
 def master_conflicts(master: DataFrame) -> DataFrame:
     """Ids listed more than once, and those whose attributes disagree (NULL is a value)."""
     cols = [c for c in MASTER_CHECK_COLUMNS if c in master.columns]
@@ -36,14 +40,13 @@ def master_conflicts(master: DataFrame) -> DataFrame:
         .groupBy("ProductID")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            *[F.count_distinct(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("<NA>"))).alias(f"_d{i}")
-              for i, c in enumerate(cols)],
+            *[x for i, c in enumerate(cols) for x in (F.min(_text(c)).alias(f"_a{i}"), F.max(_text(c)).alias(f"_z{i}"))],
         )
         .where(F.col("_n") > 1)
     )
     conflict = F.lit(False)
     for i in range(len(cols)):
-        conflict = conflict | (F.col(f"_d{i}") > 1)
+        conflict = conflict | (F.col(f"_a{i}") != F.col(f"_z{i}"))
     return per_id.agg(
         F.count(F.lit(1)).alias("duplicate_ids"), F.count_if(conflict).alias("conflicting_ids")
     )
@@ -54,9 +57,9 @@ def search_conflicts(batched: DataFrame) -> DataFrame:
     groups = (
         batched.where(F.col("Destination").isNotNull() & F.col("checkin_date").isNotNull())
         .groupBy("Observation_Batch", "Destination", "checkin_date")
-        .agg(F.count_distinct("search_volume").alias("_v"))
+        .agg(F.min("search_volume").alias("_a"), F.max("search_volume").alias("_z"))
     )
-    return groups.agg(F.count_if(F.col("_v") > 1).alias("inconsistent_search_groups"))
+    return groups.agg(F.count_if(F.col("_a") != F.col("_z")).alias("inconsistent_search_groups"))
 
 
 def batch_sizes(batched: DataFrame) -> DataFrame:

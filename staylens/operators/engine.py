@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from staylens.functions import columns as C
 from staylens.operators.facts import latest_per_key
+from staylens.operators.joins import assert_unique
 from staylens.operators.ranking import global_row_number
 from staylens.operators.summary import max_scale
 from staylens.session import cut_lineage
@@ -166,12 +167,19 @@ def build_engine(
     performance: DataFrame,
     funnel: DataFrame | None = None,
     weights: Weights = Weights(),
+    sheets_unique: bool = False,
 ) -> DataFrame:
-    """Engine table: one ranked row per hotel of the summary."""
-    m = dedupe_master(master).select(
+    """Engine table: one ranked row per hotel of the summary.
+
+    ``sheets_unique``: the caller's master and performance have one row per
+    hotel; they are not deduplicated, and a repeated hotel fails the run (J17).
+    """
+    if sheets_unique:
+        master, performance = (assert_unique(t, ["ProductID"], name) for t, name in ((master, "master"), (performance, "performance")))
+    m = (master if sheets_unique else dedupe_master(master)).select(
         "ProductID", F.col("ProductName").alias("_master_name"), "Destination", "`HotelType Short`", "Region"
     )
-    p = dedupe_performance(performance).drop("ProductName", "row_seq")
+    p = (performance if sheets_unique else dedupe_performance(performance)).drop("ProductName", "row_seq")
     e = summary.join(m, on="ProductID", how="left").withColumn(
         "ProductName", F.coalesce("_master_name", "ProductName")
     ).drop("_master_name")

@@ -58,6 +58,10 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = OR
     says that there are none, and the maxima are not shuffled again to be joined.
     """
     keys = list(keys)
+    if not set(order) <= ORDER_DIGITS.keys():  # orders by other columns, of sheets with a row per hotel
+        rest = [c for c in df.columns if c not in keys]
+        picked = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in order])).alias("_r")
+        return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
     rows = df.withColumn("_order", packed_order(order))
     top = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max("_order").alias("_top"))
     # at least the maximum: no more a join key than it must be, so the maxima stay where they were aggregated

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def join_small(
@@ -29,11 +29,18 @@ def join_small(
     return big.join(small, on=on, how=how)
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``keys`` that occur more than once (J17); empty when valid."""
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Values of ``keys`` that occur more than once; empty when valid."""
     return df.groupBy(*keys).count().where(F.col("count") > 1)
 
 
-def duplicate_key_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: number of keys that occur more than once."""
-    return assert_unique(df, keys).agg(F.count(F.lit(1)).alias("duplicate_keys"))
+def assert_unique(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """``df``, failing at run time with the key named if ``keys`` repeat.
+
+    No job of its own: rows are numbered within their key, on the partitioning
+    that a join on the keys needs anyway, and a second row raises.
+    """
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) > 1
+    named = F.concat_ws(", ", *[F.concat(F.lit(f"{k} "), F.coalesce(F.col(k).cast("string"), F.lit("NULL"))) for k in keys])
+    error = F.raise_error(F.concat(F.lit(f"{label}: "), named, F.lit(" occurs more than once")))
+    return df.withColumn("_again", again).where(F.when(F.col("_again"), error.cast("boolean")).otherwise(F.lit(True))).drop("_again")

@@ -3,17 +3,19 @@
 The original page computes these for one selected date (and destination
 filter); here each view keeps ``checkin_date`` as a key, so all dates come
 out of one distributed plan.  Quantile thresholds are exact
-(``percentile``, linear interpolation like pandas) and grouped by date;
+(linear interpolation like pandas) and grouped by date, counted without
+holding a date's values in one task (``quantiles``);
 top-k lists use ``row_number`` per date, which Spark limits per partition
 before the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from staylens.functions import columns as C
-from staylens.operators.joins import join_small
+from staylens.operators.joins import assert_unique, join_small
+from staylens.operators.quantiles import group_quantiles
 
 METRIC_COLUMNS = [
     "Destination_Searches", "Previous_Destination_Searches", "Comparable_Destination_Searches",
@@ -105,12 +107,12 @@ def hotel_signal_daily(detail: DataFrame) -> DataFrame:
         (F.col("r.checkin_date") == F.col("s.checkin_date")) & F.col("r.Destination").eqNullSafe(F.col("s.Destination")),
         "left",
     ).select("r.*", "s.`Destination Signal`")
-    q75 = detail.groupBy("checkin_date").agg(F.percentile("view_volume", 0.75).alias("_q75"))
+    q75 = group_quantiles(detail, ["checkin_date"], F.col("view_volume"), [0.75])
     joined = join_small(joined, q75, on="checkin_date", how="left")
     action = F.col("`Destination Signal`").isin(RISING_SIGNALS) & (
-        C.flag(F.col("View_Change") > 0) | C.flag(F.col("view_volume") >= F.col("_q75"))
+        C.flag(F.col("View_Change") > 0) | C.flag(F.col("view_volume") >= F.col("_q")[0])
     )
-    return joined.withColumn("Action", C.flag(action)).drop("_q75")
+    return joined.withColumn("Action", C.flag(action)).drop("_q")
 
 
 def daily_kpis(detail: DataFrame, history_destinations: DataFrame, daily: DataFrame) -> DataFrame:
@@ -171,13 +173,54 @@ def map_table(history_hotels: DataFrame, history_destinations: DataFrame, coordi
         {"Searches": F.coalesce("Searches", F.lit(0.0)), "Views": F.coalesce("Views", F.lit(0.0))}
     )
     positive = F.when(F.col("Searches") > 0, F.col("Searches"))
-    qs = m.groupBy("checkin_date").agg(F.percentile(positive, [0.20, 0.50, 0.75, 0.90]).alias("_q"))
+    qs = group_quantiles(m, ["checkin_date"], positive, [0.20, 0.50, 0.75, 0.90])
     m = join_small(m, qs, on="checkin_date", how="left")
     q = [F.coalesce(F.col("_q")[i], F.lit(0.0)) for i in range(4)]
     lvl = level(F.col("Searches"), [(q[3], "Very High"), (q[2], "High"), (q[1], "Medium"), (q[0], "Low")], "Very Low")
     return m.withColumn("Demand Level", lvl).drop("_q")
 
 
+# Map names that differ from the destination's name in the demand data.
+PROVINCE_ALIASES = {
+    "Amnat Charoen": "Amnart Charoen",
+    "Bangkok Metropolis": "Bangkok",
+    "Bueng Kan": "Bungkan",
+    "Buri Ram": "Buriram",
+    "Chai Nat": "Chainat",
+    "Chon Buri": "Chonburi",
+    "Nakhon Ratchasima": "Nakhonratchasima",
+    "Nong Bua Lam Phu": "Nong Bua Lamphu",
+    "Phangnga": "Phang Nga",
+    "Phatthalung": "Phattalung",
+    "Prachuap Khiri Khan": "Prachuapkhirikhan",
+}
+
+
+def alias_table(spark: SparkSession, aliases: dict[str, str] = PROVINCE_ALIASES) -> DataFrame:
+    return spark.createDataFrame(sorted(aliases.items()), "alias string, Destination string")
+
+
+def provinces_with_destination(provinces: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Each map name (``province``) with the destination it stands for: its alias's, else its own name.
+
+    Both lists are small reference tables; an alias listed twice would give a
+    name two destinations and is an error.
+    """
+    known = assert_unique(aliases.select("alias", F.col("Destination").alias("_d")), ["alias"], "aliases")
+    rows = provinces.select("province").distinct().join(known, F.col("province") == F.col("alias"), "left")
+    return rows.select("province", F.coalesce("_d", "province").alias("Destination"))
+
+
+def province_demand(mapped: DataFrame, provinces: DataFrame, aliases: DataFrame) -> DataFrame:
+    """J16 + A13: the map table by province, many spellings of one destination each with its demand."""
+    return mapped.join(provinces_with_destination(provinces, aliases), on="Destination", how="inner")
+
+
+def unmatched_provinces(mapped: DataFrame, provinces: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Map names whose destination has no demand on any date (drawn as 'Very Low')."""
+    return provinces_with_destination(provinces, aliases).join(mapped.select("Destination").distinct(), on="Destination", how="left_anti")
+
+
 def work_priority(views: Column, change: Column, q80: Column) -> Column:
     """High views (> 0 and >= q80) and/or rising views."""
     high = C.flag((views > 0) & (views >= q80))
@@ -202,9 +245,7 @@ def date_worklist(history_hotels: DataFrame, detail: DataFrame, n: int = 12) ->
             "Destination Signal": F.coalesce("`Destination Signal`", F.lit("No recent observation")),
         }
     )
-    qs = history_hotels.groupBy("checkin_date").agg(
-        F.percentile("Total_Observed_Views", [0.50, 0.80]).alias("_q")
-    )
+    qs = group_quantiles(history_hotels, ["checkin_date"], F.col("Total_Observed_Views"), [0.50, 0.80])
     w = Window.partitionBy("checkin_date").orderBy(
         F.col("Total_Observed_Views").desc_nulls_last(),
         F.col("View_Change").desc_nulls_last(),

@@ -15,6 +15,7 @@ from staylens.functions import columns as C
 from staylens.operators import facts
 from staylens.operators.batches import with_batches
 from staylens.operators.joins import join_small
+from staylens.operators.quantiles import group_quantiles
 from staylens.operators.ranking import global_row_number
 from staylens.session import cut_lineage
 from staylens.operators.views import WORK_PRIORITY, level, work_priority
@@ -206,8 +207,8 @@ def checkin_week_destinations(detail: DataFrame) -> DataFrame:
     return d.withColumn("Change_Pct", C.ratio_if_positive("Search_Change", "Previous_Searches"))
 
 
-def checkin_week_hotels(detail: DataFrame) -> DataFrame:
-    """F8 + W7 + W9 + W11 + W12 + W13: hotels of each check-in week, ranked."""
+def week_hotel_metrics(detail: DataFrame) -> DataFrame:
+    """F8 + W7 + W9 + W11 + W12: hotels of each check-in week against the week before, not ranked."""
     rows = _checkin_two_weeks(detail)
     cur = rows.where(F.col("period") == "current").groupBy("week_start", "ProductID").agg(
         # pandas ``last``: the last non-NULL value in check-in date order
@@ -234,7 +235,7 @@ def checkin_week_hotels(detail: DataFrame) -> DataFrame:
     )
     hsig = F.when(F.col("Previous_Views").isNull(), "New interest").otherwise(C.pct_signal("View_Change_Pct"))
     h = h.withColumns({"Destination Signal": dsig, "Hotel Signal": hsig})
-    qs = h.groupBy("week_start").agg(F.percentile("Current_Views", [0.75, 0.80]).alias("_q"))
+    qs = group_quantiles(h, ["week_start"], F.col("Current_Views"), [0.75, 0.80])
     h = join_small(h, qs, on="week_start", how="left")
     action = F.col("`Destination Signal`").isin("Critical surge", "High increase", "New demand") & (
         C.flag(F.col("View_Change") > 0) | C.flag(F.col("Current_Views") >= F.col("_q")[0])
@@ -243,23 +244,28 @@ def checkin_week_hotels(detail: DataFrame) -> DataFrame:
     h = h.withColumn("Work Priority", work_priority(F.col("Current_Views"), F.col("View_Change"), F.col("_q")[1]))
     h_order = _map_order("`Hotel Signal`", HOTEL_SIGNAL_ORDER)
     d_order = _map_order("`Destination Signal`", DEST_SIGNAL_ORDER)
+    return h.withColumns({"_ho": h_order, "_do": d_order}).drop("_q")
+
+
+def _worklist_order() -> list[Column]:
+    """Sort keys of a week's hotels (a total order)."""
+    return [
+        (F.col("Current_Views") > 0).desc(),
+        F.col("Current_Views").desc_nulls_last(),
+        F.col("_ho").desc(),
+        F.col("_do").desc(),
+        F.col("View_Change").desc_nulls_last(),
+        F.col("ProductID").asc(),
+    ]
+
+
+def checkin_week_hotels(detail: DataFrame) -> DataFrame:
+    """F8 + W13: hotels of each check-in week with their rank in it."""
     # one row per hotel and week, scanned twice by the rank below: written once
-    h = cut_lineage(h.withColumns({"_ho": h_order, "_do": d_order}), "week_hotels")
+    h = cut_lineage(week_hotel_metrics(detail), "week_hotels")
     # W13 rank within the week: a global row number over (week, sort keys)
     # minus the rows of earlier weeks, so no week is ranked inside one task
-    ranked = global_row_number(
-        h,
-        [
-            F.col("week_start").asc(),
-            (F.col("Current_Views") > 0).desc(),
-            F.col("Current_Views").desc_nulls_last(),
-            F.col("_ho").desc(),
-            F.col("_do").desc(),
-            F.col("View_Change").desc_nulls_last(),
-            F.col("ProductID").asc(),
-        ],
-        "_rank",
-    )
+    ranked = global_row_number(h, [F.col("week_start").asc(), *_worklist_order()], "_rank")
     per_week = h.groupBy("week_start").agg(F.count(F.lit(1)).alias("_n"))
     offsets = per_week.withColumn(
         "_before",
@@ -268,13 +274,26 @@ def checkin_week_hotels(detail: DataFrame) -> DataFrame:
     # one row per calendar week: bounded by the calendar
     ranked = join_small(ranked, offsets, on="week_start", how="inner", bounded=True)
     return ranked.withColumn("Priority", (F.col("_rank") - F.col("_before")).cast("bigint")).drop(
-        "_q", "_ho", "_do", "_rank", "_before"
+        "_ho", "_do", "_rank", "_before"
     )
 
 
-def week_worklist(hotels: DataFrame, n: int = 200) -> DataFrame:
-    """The first n hotels of every check-in week."""
-    return hotels.where(F.col("Priority") <= n)
+WORKLIST_SALTS = 32
+
+
+def week_worklist(detail: DataFrame, n: int = 200) -> DataFrame:
+    """The first n hotels of every check-in week, without ranking the rest.
+
+    Each of WORKLIST_SALTS parts of a week is cut to n rows, and the week's rank
+    taken among those.  Both filters are on row numbers, so Spark limits every
+    task's rows per key before it shuffles them: no week is sorted as a whole.
+    """
+    h = week_hotel_metrics(detail).withColumn("_salt", F.pmod(F.xxhash64("ProductID"), F.lit(WORKLIST_SALTS)))
+    part = Window.partitionBy("week_start", "_salt").orderBy(*_worklist_order())
+    h = h.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_rn", "_salt")
+    week = Window.partitionBy("week_start").orderBy(*_worklist_order())
+    h = h.withColumn("_rn", F.row_number().over(week)).where(F.col("_rn") <= n)
+    return h.withColumn("Priority", F.col("_rn").cast("bigint")).drop("_rn", "_ho", "_do")
 
 
 def _map_order(col: str, table: dict[str, int]) -> Column:
@@ -310,7 +329,7 @@ def checkin_week_kpis(detail: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("Period") == "Selected week", F.col("checkin_date"))).alias("Current_Days"),
         F.count_distinct(F.when(F.col("Period") == "Previous week", F.col("checkin_date"))).alias("Previous_Days"),
     )
-    hotels = checkin_week_hotels(detail).groupBy("week_start").agg(
+    hotels = week_hotel_metrics(detail).groupBy("week_start").agg(
         F.count_if(C.flag(F.col("View_Change") > 0)).alias("Rising_Hotels"),
         F.count(F.lit(1)).alias("Hotels"),
         F.count_if(F.col("Action")).alias("Action_Hotels"),
@@ -351,7 +370,7 @@ def freshness(demand: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "week_options", "checkin_week_options", "freshness", "snapshot_week", "checkin_detail", "checkin_week_destinations", "checkin_week_hotels",
+    "week_options", "checkin_week_options", "freshness", "snapshot_week", "week_summaries", "compare_weeks", "checkin_detail", "checkin_week_destinations", "checkin_week_hotels", "week_hotel_metrics",
     "week_worklist", "checkin_week_daily", "checkin_week_kpis", "unpivot_trend", "snapshot_freshness",
     "level", "WORK_PRIORITY",
 ]
