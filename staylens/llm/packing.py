@@ -44,7 +44,7 @@ END = 2
 SALTS = 64
 FREQUENT = 96  # lengths that combinations of three and four are made of
 CACHE_WORDS = 450_000
-_STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
+_STOP = re.compile(rb"([,.])(?=[ \n])(?<=[a-z][,.])")  # begins with the mark, so the scan skips from mark to mark
 
 
 def tokenizer_path() -> str:
