@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -76,12 +75,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame, name: str = "cut", partition_by: str | None = None) -> DataFrame:
     """Materialise ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     One job (a reliable RDD checkpoint of an uncached plan computes it
     twice), survives executor loss (unlike a local checkpoint), and gives
-    the optimizer the real size of the result for later join planning.
+    the optimizer the real size of the result for later join planning.  The
+    shuffle files of the job are deleted when it is done: the written table
+    stands for them, so a chain of cuts holds the files of one job at a time.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
@@ -89,7 +93,12 @@ def cut_lineage(df: DataFrame, name: str = "cut", partition_by: str | None = Non
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.parquet(path)
 
 
@@ -109,9 +118,3 @@ def discard(*tables: DataFrame) -> None:
 def keep(df: DataFrame) -> DataFrame:
     """Cache a DataFrame that several branches of one plan reuse."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def scratch_dir(prefix: str = "staylens-") -> str:
-    """A fresh scratch folder for local runs (tests, bench)."""
-    base = os.environ.get("STAYLENS_SCRATCH") or None
-    return tempfile.mkdtemp(prefix=prefix, dir=base)
