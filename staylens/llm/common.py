@@ -147,14 +147,14 @@ def _bit_block(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [frame["block"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
 
-def bit_table(hashes: DataFrame, max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
+def bit_table(hashes: DataFrame, max_bits: int = MAX_BITS, per_hash: int = 16) -> tuple[np.ndarray, int]:
     """Bit table (and its mask) of the 64-bit hashes in the one column of a written table.
 
-    About 16 bits a hash up to ``max_bits``; past that the table has more false
+    About ``per_hash`` bits a hash up to ``max_bits``; past that the table has more false
     positives, so it only ever serves to spare work before an exact join.
     """
     size, n, name = _BLOCK, hashes.count(), hashes.columns[0]
-    while size < min(max_bits, 16 * n):
+    while size < min(max_bits, per_hash * n):
         size *= 2
     slot = F.col(name).bitwiseAND(size - 1)
     blocks = hashes.select(F.shiftright(slot, 16).cast("int").alias("block"), slot.bitwiseAND(_BLOCK - 1).cast("int").alias("low")).distinct()

@@ -23,8 +23,9 @@ list the pairs inside a group of copies:
 
 Defined cases: null or wordless text has an empty set and no links; fewer than
 ``k`` words make one shingle of them all; rows of one id with equal sets
-are one vertex, different sets of one id are vertices of their own; null ids are left out of linking and keep a null component; an
-empty table gives no rows.
+are one vertex, different sets of one id are vertices of their own; rows without
+an id are vertices by their text, link as others do and name no component (null
+where all members lack ids); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from staylens.llm.common import Rolling, WordHash, bit_table, doc_batches, id_and_text, in_table, mix
-from staylens.session import cut_lineage
+from staylens.session import cut_lineage, discard
 
 K = 5
 PERCENT = 75
@@ -125,7 +126,8 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
                     count = sketch[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
                     rows.append(row)
                     rare.append(found[np.argsort(count, kind="stable")[:take]].view(np.int64))  # found is sorted: ties go by hash
-                    points.append(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                    counts = np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+                    points.append(counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes())  # the length tells which
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows, pa.int64())), pa.array(rare, pa.list_(pa.int64())), pa.array(points, pa.binary())],
                 names=["doc_id", "rare", "point"],
@@ -166,7 +168,10 @@ class Bucket:
         self.split = lo != hi
         edge = np.flatnonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
         self.starts = np.concatenate(([0], edge, [len(token)]))
-        self.points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint32).reshape(-1, GROUPS)
+        points = table["point"].to_pylist()
+        if any(len(p) > GROUPS for p in points):
+            points = [p if len(p) > GROUPS else np.frombuffer(p, np.uint8).astype(np.uint32).tobytes() for p in points]
+        self.points = np.frombuffer(b"".join(points), np.uint32 if points and len(points[0]) > GROUPS else np.uint8).reshape(-1, GROUPS)
 
     def fit(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the pairs of rows whose sizes and coordinate minima allow a link between components."""
@@ -274,7 +279,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str)
     """The pairs (a, b) that link.  A document in many pairs is met by salted parts of them."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = cut_lineage(ids.select("doc_id", F.xxhash64("doc_id").alias("hash")), f"{name}-ids")
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select("hash")))
+    # sets are large: one document in 64 of the others is written with those in pairs
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select("hash"), per_hash=64))
+    discard(ids)
 
     def sets_of(batches):
         return _sets(k, *table.value)(batches)
@@ -288,7 +295,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str)
     ends = pairs.join(uses, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     ends = ends.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")).dropDuplicates(["b"]), "b")
     both = ends.join(hubs, ["a", "salt"]).select("a", "b", "x", "y")
-    return cut_lineage(both.mapInArrow(_alike(percent), "a long, b long"), f"{name}-links")
+    links = cut_lineage(both.mapInArrow(_alike(percent), "a long, b long"), f"{name}-links")
+    discard(sets, uses)
+    return links
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -305,10 +314,13 @@ def components(links: DataFrame, name: str) -> DataFrame:
         best = both.join(other, "b").groupBy("a").agg(F.min("near").alias("near"))
         step = label.join(best, label.id == best.a).select("id", F.col("c").alias("was"), F.least("c", "near").alias("c"))
         step = cut_lineage(step, f"{name}-step")
+        discard(label)
         up = step.select(F.col("id").alias("c"), F.col("c").alias("top"))
         after = cut_lineage(step.join(up, "c").select("id", "was", F.least("c", "top").alias("c")), f"{name}-label")
+        discard(step)
         label = after.select("id", "c")
         if after.where("c != was").isEmpty():
+            discard(both)
             return label.select("id", F.col("c").alias("comp"))
 
 
@@ -318,20 +330,20 @@ def _surveyed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _as_vertices(docs: DataFrame, shared: DataFrame, seed: int) -> DataFrame:
-    """With ``vertex``: the id, or where different sets share the id a hash of id and text."""
-    own = F.when(F.col("shared_id").isNotNull(), F.xxhash64("doc_id", "text", F.lit(seed))).otherwise(F.col("doc_id"))
+    """With ``vertex``: the id, or where there is none or different sets share it a hash of id and text."""
+    own = F.when(F.col("shared_id").isNotNull() | F.col("doc_id").isNull(), F.xxhash64("doc_id", "text", F.lit(seed))).otherwise(F.col("doc_id"))
     return docs.join(shared, F.col("doc_id") == F.col("shared_id"), "left").withColumn("vertex", own).drop("shared_id")
 
 
 def _clashes(docs: DataFrame, survey: DataFrame) -> tuple[DataFrame, int, DataFrame] | None:
-    """None if no two sets share an id; else those ids, a seed that names every vertex differently, and the id of each vertex."""
+    """None if every row has an id and no two sets share one; else the shared ids, a seed that names every vertex differently, and the id of each vertex."""
     key = F.struct("n", "s1", "s2")
     shared = survey.where("kind = 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("shared_id")).agg(F.min(key).alias("a"), F.max(key).alias("z"))
     shared = cut_lineage(shared.where("a != z").select("shared_id"), "op3-shared")
-    if shared.isEmpty():
+    if shared.isEmpty() and survey.where("kind = 0 AND doc_id IS NULL AND n > 0").isEmpty():
         return None
     for seed in count():
-        names = _as_vertices(docs, shared, seed).where("doc_id IS NOT NULL").select("vertex", F.col("doc_id").alias("own")).distinct()
+        names = _as_vertices(docs, shared, seed).select("vertex", F.col("doc_id").alias("own")).distinct()
         names = cut_lineage(names, "op3-vertices")
         if names.groupBy("vertex").count().where("count > 1").isEmpty():
             return shared, seed, names
@@ -370,9 +382,16 @@ def _components_of(docs: DataFrame, survey: DataFrame, k: int, percent: int) ->
     hubs = cut_lineage(
         stars.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last"), "op3-hubs"
     )
-    pairs = stars.join(hubs, ["band", "key"]).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    stars = verified(docs, cut_lineage(pairs, "op3-stars"), k, percent, "op3-star")
+    # a star's ends must be of like size; the sizes go with them, so no set is written for a pair that can't link
+    hubs_n = hubs.join(classes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a")
+    stars = stars.join(classes.select("doc_id", F.col("n").alias("nb")), "doc_id")
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("doc_id"))
+    pairs = stars.join(hubs_n, ["band", "key"]).where(fits).select("a", F.col("doc_id").alias("b")).distinct()
+    pairs = cut_lineage(pairs, "op3-stars")
+    discard(hubs)
+    stars = verified(docs, pairs, k, percent, "op3-star")
     comps = components(stars, "op3-star")
+    discard(pairs, stars)
     heads = classes.join(comps, classes.doc_id == comps.id, "left").select("doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
     heads = cut_lineage(heads, "op3-heads")
 
@@ -402,8 +421,9 @@ def _components_of(docs: DataFrame, survey: DataFrame, k: int, percent: int) ->
     )
     met = met.select("token", "doc_id", "comp", "n", "pos", "point", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
     met = met.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "doc_id")
-    pairs = met.mapInArrow(_bucket_pairs(percent), "a long, b long").distinct()
-    late = verified(docs, cut_lineage(pairs, "op3-pairs"), k, percent, "op3-late")
+    pairs = cut_lineage(met.mapInArrow(_bucket_pairs(percent), "a long, b long").distinct(), "op3-pairs")
+    discard(rare, mixed, comps)
+    late = verified(docs, pairs, k, percent, "op3-late")
 
     head = heads.select(F.col("doc_id").alias("h"), "comp")
     bridges = late.join(head, late.a == head.h).select("b", F.col("comp").alias("ca")).join(head, F.col("b") == head.h)
@@ -412,6 +432,7 @@ def _components_of(docs: DataFrame, survey: DataFrame, k: int, percent: int) ->
     final = heads.join(joined, heads.comp == joined.id, "left").select("doc_id", F.coalesce(joined.comp, heads.comp).alias("comp"))
     named = classes.select("n", "s1", "s2", "doc_id").join(final, "doc_id").select("n", "s1", "s2", "comp")
     named = cut_lineage(named, "op3-named")
+    discard(classes, heads, pairs, late, bridges, joined)
     return rows.join(named, ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")
     )

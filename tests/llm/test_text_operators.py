@@ -130,14 +130,22 @@ def test_ids_shared_by_different_texts(spark):
     assert kept == {(1, BASE), (2, other), (5, "few words"), (7, "a b c " + alone), (7, BASE + " " + alone)}
 
 
-def test_buckets_of_all_sizes_give_the_same_pairs(monkeypatch):
+def test_rows_without_an_id_link_by_their_text(spark):
+    other = " ".join(f"v{i}" for i in range(90))
+    rows = [(1, BASE), (2, other), (None, BASE), (None, "x y " + other), (None, None), (None, BASE + " tail"), (None, " ".join(f"z{i}" for i in range(30))), (4, "")]
+    got = collections.Counter(map(tuple, ngram_join.jaccard_components(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)).collect()))
+    assert got == collections.Counter({(1, 66, 1): 1, (2, 86, 2): 1, (None, 66, 1): 1, (None, 88, 2): 1, (None, 0, None): 1, (None, 67, 1): 1, (None, 26, None): 1, (4, 0, 4): 1})
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint32, None])
+def test_buckets_of_all_sizes_give_the_same_pairs(kind):
     import pyarrow as pa
 
     rng = np.random.default_rng(2)
     n = np.sort(rng.integers(60, 90, 150))
     points = rng.poisson(n[:, None] / ngram_join.GROUPS, (150, ngram_join.GROUPS)).astype(np.uint32)
     t = pa.table({"doc_id": np.arange(150), "comp": np.arange(150) // 2, "n": n, "pos": np.zeros(150, int), "blk": np.zeros(150, int),
-                  "lo": np.zeros(150, int), "hi": np.zeros(150, int), "token": np.zeros(150, int), "point": [p.tobytes() for p in points]})
+                  "lo": np.zeros(150, int), "hi": np.zeros(150, int), "token": np.zeros(150, int), "point": [p.astype(kind or (np.uint8 if i % 3 else np.uint32)).tobytes() for i, p in enumerate(points)]})
     got = {tuple(p) for p in ngram_join.Bucket(t, 75).pairs().tolist()}
     overlap = np.minimum(points[:, None], points[None]).sum(2)
     want = {(i, j) for i in range(150) for j in range(i + 1, 150)
