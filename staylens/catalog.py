@@ -1499,3 +1499,55 @@ def q_newest_snapshots(spark, sf_dir):
     for day, shift in ((0, 0), (2, 9), (1, 1), (2, 2)):
         publish.save_snapshot(engine.withColumn("rank", F.col("rank") + shift), out, dt.date(2024, 2, 1) + dt.timedelta(days=day))
     return files.newest_snapshots(spark, out).select(F.col("age").cast("bigint").alias("age"), "snapshot_date", "ProductID", "rank")
+
+
+# ---------------------------------------------------------------- the daily page over a snapshot week
+
+SW_PAGE = SW_SQL + f""",
+swd AS (
+  SELECT week_start, checkin_date, Destination, max(Destination_Searches) AS s, max(Previous_Destination_Searches) AS p,
+         max(Previous_Comparable_Destination_Searches) AS pc, max(Destination_Search_Change) AS ch FROM sw GROUP BY ALL
+),
+swm AS (
+  SELECT * FROM (SELECT week_start, checkin_date, coalesce(sum(s), 0.0) AS Searches FROM swd GROUP BY ALL)
+  FULL OUTER JOIN (SELECT week_start, checkin_date, coalesce(sum(view_volume), 0.0) AS Views, count(DISTINCT ProductID) AS Hotels
+                   FROM sw GROUP BY ALL) USING (week_start, checkin_date)
+),
+swq AS (SELECT week_start, quantile_cont(Searches, [0.4, 0.75, 0.9]) AS q FROM swm GROUP BY ALL),
+sw_market AS (
+  SELECT m.*, CASE WHEN Searches >= q[3] THEN 'Very High' WHEN Searches >= q[2] THEN 'High' WHEN Searches >= q[1] THEN 'Medium'
+                   ELSE 'Low' END AS "Demand Level" FROM swm m JOIN swq USING (week_start)
+),
+sw_signal AS (
+  SELECT week_start, checkin_date, Destination, CASE WHEN p IS NULL THEN 'New demand'
+         ELSE {_signal_case("(CASE WHEN pc > 0 THEN ch / pc END)")} END AS "Destination Signal" FROM swd
+),
+sw_day AS (SELECT week_start, checkin_date, quantile_cont(coalesce(view_volume, 0.0), 0.75) AS q75 FROM sw GROUP BY ALL),
+sw_hotel AS (
+  SELECT w.week_start, w.checkin_date, w.ProductID,
+         CASE WHEN Previous_Views IS NULL OR coalesce(check_status = 'new entry', FALSE) THEN 'New interest'
+              ELSE {_signal_case("(CASE WHEN Previous_Comparable_Views > 0 THEN View_Change / Previous_Comparable_Views END)")} END AS "Hotel Signal",
+         coalesce(g."Destination Signal" IN ('Critical surge', 'High increase', 'New demand')
+                  AND (coalesce(View_Change > 0, FALSE) OR coalesce(coalesce(view_volume, 0.0) >= q75, FALSE)), FALSE) AS Action
+  FROM sw w LEFT JOIN sw_signal g ON w.week_start = g.week_start AND w.checkin_date = g.checkin_date AND w.Destination IS NOT DISTINCT FROM g.Destination
+       JOIN sw_day h ON w.week_start = h.week_start AND w.checkin_date = h.checkin_date
+)"""
+
+
+def _week_detail(spark, sf_dir) -> DataFrame:
+    weekly = W.snapshot_week(_raw_latest(spark, sf_dir), 300)
+    return cut_lineage(V.home_detail(weekly, _rebuild(spark, sf_dir).engine), "week_detail")
+
+
+@register("snapshot_week_market", SW_PAGE + _sel(["week_start", "checkin_date", "Searches", "Views", "Hotels", "Demand Level"],
+                                                 ["Searches", "Views"], "sw_market"))
+def q_snapshot_week_market(spark, sf_dir):
+    """A8 + W3 over F7: the market table of every snapshot week."""
+    return V.daily_market(_week_detail(spark, sf_dir), ["week_start"])
+
+
+@register("snapshot_week_signals", SW_PAGE + """ SELECT week_start, checkin_date, ProductID, "Hotel Signal", Action FROM sw_hotel""")
+def q_snapshot_week_signals(spark, sf_dir):
+    """W6 + W8 + W11 over F7: hotel signals and actions of every snapshot week."""
+    rows = V.hotel_signal_daily(_week_detail(spark, sf_dir), ["week_start"])
+    return rows.select("week_start", "checkin_date", "ProductID", "`Hotel Signal`", "Action")

@@ -11,6 +11,8 @@ before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from staylens.functions import columns as C
@@ -49,9 +51,9 @@ def with_metric_columns(detail: DataFrame) -> DataFrame:
     return detail.withColumns(missing) if missing else detail
 
 
-def _destination_days(detail: DataFrame) -> DataFrame:
-    """One row per (check-in date, destination) of the detail (NULL destination included)."""
-    return with_metric_columns(detail).groupBy("checkin_date", "Destination").agg(
+def _destination_days(detail: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """One row per (scope, check-in date, destination) of the detail (NULL destination included)."""
+    return with_metric_columns(detail).groupBy(*scope, "checkin_date", "Destination").agg(
         *[F.max(c).alias(c) for c in [
             "Destination_Searches", "Previous_Destination_Searches",
             "Previous_Comparable_Destination_Searches", "Destination_Search_Change",
@@ -66,13 +68,22 @@ def level(value: Column, thresholds: list[tuple[Column, str]], default: str) ->
     return expr.otherwise(default)
 
 
-def daily_market(detail: DataFrame) -> DataFrame:
-    """A8 + W3: per date searches (distinct destination-days), views, hotels, demand level."""
-    searches = _destination_days(detail).groupBy("checkin_date").agg(C.sum0("Destination_Searches").alias("Searches"))
-    hotels = detail.groupBy("checkin_date").agg(
+def daily_market(detail: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """A8 + W3: per date searches (distinct destination-days), views, hotels, demand level.
+
+    With a ``scope`` (the snapshot week of a weekly detail) each of its values is
+    a page of its own: dates are grouped, and levels set, within it.
+    """
+    day = [*scope, "checkin_date"]
+    searches = _destination_days(detail, scope).groupBy(*day).agg(C.sum0("Destination_Searches").alias("Searches"))
+    hotels = detail.groupBy(*day).agg(
         C.sum0("view_volume").alias("Views"), F.count_distinct("ProductID").alias("Hotels")
     )
-    daily = searches.join(hotels, on="checkin_date", how="full_outer")
+    daily = searches.join(hotels, on=day, how="full_outer")
+    if scope:
+        daily = join_small(daily, group_quantiles(daily, scope, F.col("Searches"), [0.40, 0.75, 0.90]), on=list(scope), how="left")
+        q = F.col("_q")
+        return daily.withColumn("Demand Level", level(F.col("Searches"), [(q[2], "Very High"), (q[1], "High"), (q[0], "Medium")], "Low")).drop("_q")
     qs = daily.agg(F.percentile("Searches", [0.40, 0.75, 0.90])).scalar()
     return daily.withColumn(
         "Demand Level",
@@ -80,19 +91,19 @@ def daily_market(detail: DataFrame) -> DataFrame:
     )
 
 
-def destination_signal_daily(detail: DataFrame) -> DataFrame:
+def destination_signal_daily(detail: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Per (date, destination): New demand / Critical surge / High increase / Declining / Stable."""
-    d = _destination_days(detail)
+    d = _destination_days(detail, scope)
     pct = C.ratio_if_positive("Destination_Search_Change", "Previous_Comparable_Destination_Searches")
     return d.select(
-        "checkin_date", "Destination",
+        *scope, "checkin_date", "Destination",
         F.when(F.col("Previous_Destination_Searches").isNull(), "New demand")
         .otherwise(C.pct_signal(pct))
         .alias("Destination Signal"),
     )
 
 
-def hotel_signal_daily(detail: DataFrame) -> DataFrame:
+def hotel_signal_daily(detail: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Per funnel row, view change % and hotel signal; W11 action flag per row."""
     pct = C.ratio_if_positive("View_Change", "Previous_Comparable_Views")
     rows = detail.withColumn("View Change %", pct).withColumn(
@@ -100,15 +111,19 @@ def hotel_signal_daily(detail: DataFrame) -> DataFrame:
         F.when(F.col("Previous_Views").isNull() | C.flag(F.col("check_status") == "new entry"), "New interest")
         .otherwise(C.pct_signal(F.col("`View Change %`"))),
     )
-    signals = destination_signal_daily(detail)
+    signals = destination_signal_daily(detail, scope)
+    same = F.col("r.checkin_date") == F.col("s.checkin_date")
+    for c in scope:
+        same = same & (F.col(f"r.{c}") == F.col(f"s.{c}"))
     # NULL destinations match each other here, as in the original merge
     joined = rows.alias("r").join(
         signals.alias("s"),
-        (F.col("r.checkin_date") == F.col("s.checkin_date")) & F.col("r.Destination").eqNullSafe(F.col("s.Destination")),
+        same & F.col("r.Destination").eqNullSafe(F.col("s.Destination")),
         "left",
     ).select("r.*", "s.`Destination Signal`")
-    q75 = group_quantiles(detail, ["checkin_date"], F.col("view_volume"), [0.75])
-    joined = join_small(joined, q75, on="checkin_date", how="left")
+    day = [*scope, "checkin_date"]
+    q75 = group_quantiles(detail, day, F.col("view_volume"), [0.75])
+    joined = join_small(joined, q75, on=day, how="left")
     action = F.col("`Destination Signal`").isin(RISING_SIGNALS) & (
         C.flag(F.col("View_Change") > 0) | C.flag(F.col("view_volume") >= F.col("_q")[0])
     )
