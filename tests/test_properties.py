@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from conftest import SMOKE
 from staylens.operators import batches, clean
-from staylens.operators.joins import assert_unique
+from staylens.operators.joins import repeated_keys
 from staylens.operators.merge import merge_incremental
 from staylens.plans.rebuild import Rebuild, driver_sources
 from staylens.sources import driver_tables as T
@@ -13,8 +13,8 @@ from staylens.sources import driver_tables as T
 
 def test_funnel_and_engine_keys_unique(spark):
     r = Rebuild(driver_sources(spark, SMOKE), 300)
-    assert assert_unique(r.funnel, ["ProductID", "checkin_date"]).count() == 0
-    assert assert_unique(r.engine, ["ProductID"]).count() == 0
+    assert repeated_keys(r.funnel, ["ProductID", "checkin_date"]).count() == 0
+    assert repeated_keys(r.engine, ["ProductID"]).count() == 0
     ranks = [x[0] for x in r.engine.select("`Commercial Rank`").collect()]
     assert sorted(ranks) == list(range(1, len(ranks) + 1))
 
