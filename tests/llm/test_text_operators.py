@@ -271,6 +271,18 @@ def test_pii_base_spans_match_the_patterns():
         assert sorted(pii.base_spans(text)) == sorted(want), text
 
 
+def test_pii_long_runs_in_linear_time():
+    import time
+
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert pii.base_spans("0" * 5000 + "256.1.1.1") == []
+    began = time.monotonic()
+    for text in ("a@b" * 300_000, "@" * 900_000, "a" * 1_000_000 + "@", "1." * 500_000, "+1" * 500_000):
+        pii.base_spans(text)
+    assert pii.emails("x" * 900_000 + "@a.b") == [(0, 900_004)]
+    assert time.monotonic() - began < 30
+
+
 def test_pii_repeated_token_takes_the_label_of_its_twin(spark):
     rows = [f"Write to jo.smith{i}@mail.example.com or +1 212 555 01{i:02d}. Room 7, year 1999." for i in range(60)]
     docs = table(spark, [*rows, "Ask jo.smith9@mail.example.com. Later jo.smith9@mail said no.", None])
