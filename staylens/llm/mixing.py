@@ -13,17 +13,22 @@ whole passes and a seeded selection of q mod n blocks: block b is taken if
 (b * step + offset) mod n is below the rest, which picks exactly that many
 without a sort.  A document takes the words it has in the taken blocks.
 
-A mix of whole documents (``mixed_documents``) takes a source's target as whole
-passes over the source and a rest in words.  Documents with more than a
-LONG-th of the source's words are dealt first, on the driver: in seeded order,
-one is taken if that brings their words nearer to their share of the rest.  The
-others stand in seeded order and are taken up to the words still missing.  So a
-source is off its target by half a short document, or, where its long ones
-leave too little to make up with, by at most half a long one.
-
-Only tables by (source, shard), at most SHARDS + 1 rows a source, and under LONG
-long documents a source reach the driver; a source is expected to be one of at
-most some thousands.
+A mix of whole documents (``mixed_documents``) fills the same quotas: a source's
+blocks are whole passes over the source and a rest.  Documents with more than a
+LONG-th of the source's words are dealt first: in seeded order, one is taken if
+that brings their words nearer to their share of the rest.  What is still missing
+is dealt in blocks to the shards of the others, again by highest quotients.  A
+shard takes the documents that end within its quota; the one that crosses it is
+left to the source, which goes through its shards once and takes each such
+document that brings the words nearer to the quotas.  So a source is off its
+quota by half a short document, or, where its long ones leave too little to
+make up with, by at most half a long one; a quota is within a block (at most
+BLOCK words) of its target.
+
+Only one row a source reaches the driver.  Quotas of shards, long documents and
+crossing documents are dealt in one task a source, of at most SHARDS + LONG rows,
+and reach the documents by a join on (source, shard), the keys that the documents
+are already sorted by.
 
 Defined cases: null text has size 0 and takes 0; the null source is a source
 of its own, last in order; a null ``doc_id`` orders first in its shard and is
@@ -49,7 +54,8 @@ REPEAT = 3
 SHARD_ROWS = 20_000
 SHARDS = 4096
 LONG = 1000
-BLOCKS = 1 << 20  # blocks of the whole mix
+BLOCK = 64  # words in a block, at most
+BLOCKS = 1 << 20  # blocks of a mix small enough to have shorter ones
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -100,53 +106,57 @@ def _step(n: int, seed: int) -> int:
     return step
 
 
-def plan(sizes: pd.DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> pd.DataFrame:
-    """Per (source, shard): the source's target, block size, whole passes, rest, step and offset."""
-    order = sorted({s for s in sizes["source"] if s is not None}) + [None] * bool(sizes["source"].isna().any())
-    held = {s: int(sizes.loc[sizes["source"].isna() if s is None else sizes["source"] == s, "words"].sum()) for s in order}
-    targets = capped_targets([held[s] for s in order], [weights[i % len(weights)] for i in range(len(order))], repeat)
-    total = sum(held.values())
-    block = max(1, total // BLOCKS)
-    quota = sainte_lague(targets, round(total / block)) if total else [0] * len(order)
-    rows = []
-    for source, target, blocks in zip(order, targets, quota, strict=True):
-        own = sizes[sizes["source"].isna() if source is None else sizes["source"] == source].sort_values("shard")
-        counts = [-(-int(w) // block) for w in own["words"]]
-        won = sainte_lague(own["words"].tolist(), blocks, [repeat * c for c in counts])
-        for shard, n, q in zip(own["shard"], counts, won, strict=True):
-            n1 = max(n, 1)
-            rows.append((source, int(shard), held[source], target, block, n1, q // n1, q % n1, _step(n1, seed), (seed * 7919 + int(shard) * 104729) % n1))
-    names = ["source", "shard", "source_size", "target", "block", "blocks", "passes", "rest", "step", "offset"]
-    return pd.DataFrame(rows, columns=names)
-
-
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size, xx (a hash of the text), mark and shard of each row."""
+    """doc_id, source, key (a source's name, never null), size, xx (a hash of the text), mark and shard of each row."""
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))).cast("long")
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("xx"))
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     rows = cut_lineage(rows.withColumn("mark", F.xxhash64("doc_id", "xx", F.lit(seed))), "op9-sizes")
     shards = max(1, min(SHARDS, rows.count() // SHARD_ROWS + 16))
     return rows.withColumn("shard", F.pmod("mark", F.lit(shards)).cast("int"))
 
 
-def _by_shard(rows: DataFrame) -> pd.DataFrame:
-    sizes = rows.groupBy("source", "shard").agg(F.sum("size").alias("words")).toPandas()
-    sizes["source"] = sizes["source"].astype(object).where(sizes["source"].notna(), None)
-    return sizes
+def _by_shard(rows: DataFrame) -> DataFrame:
+    """key, source, shard, words."""
+    return rows.groupBy("key", "source", "shard").agg(F.sum("size").alias("words"))
+
+
+def _quotas(shards: DataFrame, weights: Sequence[int], repeat: int) -> DataFrame:
+    """One row per source: key, source_size, target, block, and quota: its blocks by highest quotients."""
+    held = shards.groupBy("key", "source").agg(F.sum("words").alias("words")).collect()  # one row a source
+    held.sort(key=lambda r: (r.source is None, r.source))
+    sizes = [r.words for r in held]
+    targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(held))], repeat)
+    total = sum(sizes)
+    block = max(1, min(BLOCK, total // BLOCKS))
+    blocks = sainte_lague(targets, round(total / block)) if total else [0] * len(held)
+    rows = [(r.key, r.words, target, block, quota) for r, target, quota in zip(held, targets, blocks, strict=True)]
+    return shards.sparkSession.createDataFrame(rows, "key string, source_size long, target double, block long, quota long")
+
+
+def _deal(own: pd.DataFrame, repeat: int, seed: int) -> pd.DataFrame:
+    """The blocks of one source dealt to its shards: whole passes, rest, step and offset."""
+    own = own.sort_values("shard")
+    block = int(own["block"].iloc[0])
+    counts = [-(-int(w) // block) for w in own["words"]]
+    won = sainte_lague(own["words"].tolist(), int(own["quota"].iloc[0]), [repeat * c for c in counts])
+    parts = []
+    for shard, n, q in zip(own["shard"], counts, won, strict=True):
+        n = max(n, 1)
+        parts.append((n, q // n, q % n, _step(n, seed), (seed * 7919 + int(shard) * 104729) % n))
+    parts = pd.DataFrame(parts, columns=["blocks", "passes", "rest", "step", "offset"])
+    return pd.concat([own[["key", "shard", "source_size", "target", "block"]].reset_index(drop=True), parts], axis=1)
 
 
 def mix_words(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (and source, xx: a hash of the text)."""
     rows = _sized(docs, seed)
-    sizes = _by_shard(rows)
-    spark = docs.sparkSession
-    table = plan(sizes, weights, repeat, seed)
-    kinds = "source string, shard int, source_size long, target double, block long, blocks long, passes long, rest long, step long, offset long"
-    quotas = spark.createDataFrame([tuple(None if v is None else v for v in r) for r in table.astype(object).itertuples(index=False)], kinds)
-
-    order = Window.partitionBy("source", "shard").orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("stop", F.sum("size").over(order))
-    rows = rows.alias("r").join(F.broadcast(quotas).alias("q"), F.expr("r.source <=> q.source AND r.shard = q.shard"))  # (SHARDS + 1) rows a source at most
+    shards = cut_lineage(_by_shard(rows), "op9-shards")
+    kinds = "key string, shard int, source_size long, target double, block long, blocks long, passes long, rest long, step long, offset long"
+    dealt = shards.join(_quotas(shards, weights, repeat), "key").groupBy("key").applyInPandas(lambda own: _deal(own, repeat, seed), kinds)
+
+    order = Window.partitionBy("key", "shard").orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("stop", F.sum("size").over(order)).join(dealt, ["key", "shard"])
     first, last = F.expr("(stop - size) div block"), F.expr("(stop - 1) div block")
     part = F.aggregate(
         F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")),
@@ -157,50 +167,79 @@ def mix_words(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = R
         ).otherwise(F.lit(0)),
     )
     taken = F.col("passes") * F.col("size") + part
-    return rows.select("doc_id", "r.source", "size", "source_size", "target", taken.cast("long").alias("taken"), "xx")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "xx")
 
 
-def _long_ones(rows: list, share: float) -> list:
-    """Those of the long documents, in seeded order, that bring their words nearer to ``share``."""
+def _nearest(sizes: Sequence[int], share: float) -> list[bool]:
+    """Which of the sizes, one after the other, bring their sum nearer to ``share``."""
     taken, words = [], 0
-    for r in sorted(rows, key=lambda r: (r.mark, r.doc_id is not None, r.doc_id, r.xx)):
-        if words + r.size / 2 <= share:
-            taken.append(r)
-            words += r.size
+    for size in sizes:
+        taken.append(bool(words + size / 2 <= share))
+        words += size * taken[-1]
     return taken
 
 
+def _deal_whole(own: pd.DataFrame, repeat: int) -> pd.DataFrame:
+    """Turns of one source's long documents, and passes and quota in words of the shards of the others.
+
+    Every row has the source's leftover: quota words that no shard got, or more than it got.
+    """
+    size, block = int(own["source_size"].iloc[0]), int(own["block"].iloc[0])
+    passes, rest = divmod(min(int(own["quota"].iloc[0]) * block, repeat * size), size)
+    big = own[own["shard"] < 0].sort_values(["mark", "known", "id", "xx"])
+    small = own[own["shard"] >= 0].sort_values("shard")
+    taken = _nearest(big["words"].tolist(), rest * int(big["words"].sum()) / size)
+    left = rest - int(big["words"][taken].sum())
+    words = small["words"].tolist()
+    won = sainte_lague(words, max(0, round(left / block)), [-(-int(w) // block) for w in words])
+    quota = [min(int(w), n * block) for w, n in zip(words, won, strict=True)]
+    turns = np.array([passes + t for t in taken], np.int64)
+    out = pd.concat([big.assign(turns=turns, fill=0), small.assign(turns=passes, fill=np.array(quota, np.int64))])
+    return out.assign(left=left - sum(quota))[["key", "shard", "mark", "known", "id", "xx", "turns", "fill", "left"]]
+
+
+def _cross(own: pd.DataFrame) -> pd.DataFrame:
+    """Which crossing documents of one source are taken, shard by shard."""
+    own = own.sort_values("shard")
+    missing, again = int(own["left"].iloc[0]), []
+    for fill, before, size in zip(own["fill"], own["before"], own["size"], strict=True):
+        missing += int(fill) - int(before)
+        again.append(size / 2 <= missing)
+        missing -= int(size) * again[-1]
+    return own.assign(again=np.array(again, bool))[["key", "shard", "again"]]
+
+
 def whole_turns(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> DataFrame:
     """source, doc_id, xx, turns: how often a mix of whole documents reads each different row."""
-    rows = _sized(docs, seed).groupBy("source", "doc_id", "xx", "mark", "shard").agg(F.sum("size").alias("size")).where("size > 0")
+    rows = _sized(docs, seed).groupBy("key", "source", "doc_id", "xx", "mark", "shard").agg(F.sum("size").alias("size")).where("size > 0")
     rows = cut_lineage(rows, "op9-rows")
-    sizes = _by_shard(rows)
-    held = plan(sizes, weights, repeat, seed).groupby("source", dropna=False, sort=False).first().reset_index()
-    held["source"] = held["source"].astype(object).where(held["source"].notna(), None)
-    spark = docs.sparkSession
-    sources = spark.createDataFrame([(r.source, int(r.source_size)) for r in held.itertuples()], "s string, source_size long")
-    rows = rows.join(F.broadcast(sources), F.expr("source <=> s")).drop("s")  # one row a source
+    sources = cut_lineage(_quotas(cut_lineage(_by_shard(rows), "op9-shards"), weights, repeat), "op9-sources")
+    rows = rows.join(sources.select("key", "source_size"), "key")
     is_long = F.col("size") * LONG > F.col("source_size")
-    long_rows = rows.where(is_long).drop("shard").collect()  # under LONG rows a source
-    rows = rows.where(~is_long)
-    short = _by_shard(rows)
-    at, chosen = [], []
-    for r in held.itertuples():
-        passes, rest = divmod(round(r.target), int(r.source_size))
-        own = [x for x in long_rows if x.source == r.source]
-        taken = _long_ones(own, rest * sum(x.size for x in own) / int(r.source_size))
-        ids = {(x.doc_id, x.xx) for x in taken}
-        chosen += [(x.source, x.doc_id, x.xx, passes + ((x.doc_id, x.xx) in ids)) for x in own]
-        left = rest - sum(x.size for x in taken)
-        for s in short[short["source"].isna() if r.source is None else short["source"] == r.source].sort_values("shard").itertuples():
-            at.append((r.source, int(s.shard), passes, left))
-            left -= int(s.words)
-    at = spark.createDataFrame(at, "s string, k int, passes long, left long")
-    order = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "xx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("stop", F.sum("size").over(order)).join(F.broadcast(at), F.expr("source <=> s AND shard = k"))
-    again = F.col("stop") * 2 - F.col("size") <= F.col("left") * 2
-    rows = rows.select("source", "doc_id", "xx", (F.col("passes") + again.cast("long")).alias("turns"))
-    return rows.unionByName(spark.createDataFrame(chosen, "source string, doc_id long, xx long, turns long"))
+    lengthy, rows = rows.where(is_long), rows.where(~is_long)  # under LONG rows a source are long
+
+    known, none = F.col("doc_id").isNotNull(), F.lit(0).cast("long")
+    big = lengthy.select("key", F.lit(-1).alias("shard"), F.col("size").alias("words"), "mark", known.alias("known"), F.coalesce("doc_id", none).alias("id"), "xx")
+    small = _by_shard(rows).select("key", "shard", "words", none.alias("mark"), F.lit(False).alias("known"), none.alias("id"), none.alias("xx"))
+    kinds = "key string, shard int, mark long, known boolean, id long, xx long, turns long, fill long, left long"
+    dealt = big.unionByName(small).join(sources, "key").groupBy("key").applyInPandas(lambda own: _deal_whole(own, repeat), kinds)
+    dealt = cut_lineage(dealt, "op9-dealt")
+
+    order = Window.partitionBy("key", "shard").orderBy("mark", "doc_id", "xx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("before", F.sum("size").over(order) - F.col("size"))
+    rows = rows.join(dealt.where("shard >= 0").select("key", "shard", "turns", "fill", "left"), ["key", "shard"])
+    rows = cut_lineage(rows.select("key", "shard", "source", "doc_id", "xx", "size", "before", "turns", "fill", "left"), "op9-fill")
+    inside = F.col("before") + F.col("size") <= F.col("fill")
+    crossing = ~inside & (F.col("before") <= F.col("fill"))  # the first document past the quota, one a shard at most
+    again = rows.where(crossing).groupBy("key").applyInPandas(_cross, "key string, shard int, again boolean")
+    rows = rows.join(again, ["key", "shard"], "left")
+    more = inside | (crossing & F.coalesce("again", F.lit(False)))
+    rows = rows.select("source", "doc_id", "xx", (F.col("turns") + more.cast("long")).alias("turns"))
+
+    lengthy = dealt.where("shard < 0").select(
+        F.when(F.col("key") != "", F.expr("substr(key, 2)")).alias("source"), F.when(F.col("known"), F.col("id")).alias("doc_id"), "xx", "turns"
+    )
+    return rows.unionByName(lengthy)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeat: int = REPEAT, seed: int = 0) -> DataFrame:

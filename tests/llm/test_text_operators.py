@@ -436,25 +436,49 @@ def _plain_near(rows):
             return label
 
 
+def _seats(shares, seats, most):
+    """Highest quotients, one seat after the other."""
+    won = [0] * len(shares)
+    for _ in range(min(seats, sum(m for m, s in zip(most, shares, strict=True) if s))):
+        won[max((i for i in range(len(won)) if won[i] < most[i]), key=lambda i: shares[i] / (2 * won[i] + 1))] += 1
+    return won
+
+
 def _plain_mix(rows, marks):
-    """doc_id -> turns, of rows with different ids."""
+    """doc_id -> turns, of rows with different ids; blocks of such small tables are single words."""
     size = {r.doc_id: len(words(r.text)) for r in rows}
     order = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
     own = {s: [r.doc_id for r in rows if r.source == s and size[r.doc_id]] for s in order}
     held = {s: sum(size[i] for i in own[s]) for s in order}
+    total = sum(held.values())
     targets = mixing.capped_targets([held[s] for s in order], [mixing.WEIGHTS[k % 3] for k in range(len(order))])
     turns = {}
-    for s, target in zip(order, targets, strict=True):
-        passes, rest = divmod(round(target), held[s])
+    for s, quota in zip(order, _seats(targets, total, [total] * len(order)), strict=True):
+        passes, rest = divmod(min(quota, 3 * held[s]), held[s])
         large = sorted((i for i in own[s] if size[i] * 1000 > held[s]), key=marks.get)
         share, taken = rest * sum(size[i] for i in large) / held[s], 0
         for i in large:
             turns[i] = passes + (taken + size[i] / 2 <= share)
             taken += size[i] * (turns[i] - passes)
-        at = 0
-        for i in sorted(set(own[s]) - set(large), key=lambda i: (marks[i] % 16, marks[i])):
-            turns[i] = passes + (at + size[i] / 2 <= rest - taken)
-            at += size[i]
+        shards = collections.defaultdict(list)
+        for i in sorted(set(own[s]) - set(large), key=marks.get):
+            shards[marks[i] % 16].append(i)
+        shards = [shards[k] for k in sorted(shards)]
+        holds = [sum(size[i] for i in ids) for ids in shards]
+        missing = rest - taken  # what the source still lacks after each shard took what its quota holds
+        fills = _seats(holds, max(0, missing), holds)
+        missing -= sum(fills)
+        for ids, fill in zip(shards, fills, strict=True):
+            crossed = False
+            for i in ids:
+                inside = size[i] <= fill and not crossed
+                if inside:
+                    fill -= size[i]
+                elif not crossed:
+                    crossed, missing = True, missing + fill
+                    inside = size[i] / 2 <= missing
+                    missing -= size[i] * inside
+                turns[i] = passes + inside
     return turns
 
 
@@ -465,7 +489,7 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
     from tokenizers import Tokenizer
 
     texts = [*TEXTS, "12 34.", *[BASE + f" tail{i}" for i in range(5)], *[" ".join(f"long{i}x{k}" for k in range(900 + i)) for i in range(9)]]
-    texts += [f"one{i}" for i in range(1100)] + [f"one{i}\n" for i in range(0, 1100, 50)]
+    texts += [f"one{i}" + " more" * (i % 3) for i in range(1100)] + [f"one{i}" + " more" * (i % 3) + "\n" for i in range(0, 1100, 50)]
     docs = table(spark, texts).orderBy("doc_id")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows, stages = docs.collect(), iter(corpus_pipeline.STAGES)
