@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MAX_BITS = 1 << 27  # a bit table has 16 MB at most, the bound of what is broadcast
 _BLOCK = 1 << 16
 BATCH_ROWS = 512
-CACHE_WORDS = 300_000  # distinct words whose hash a Python worker remembers
+CACHE_WORDS = 1 << 16  # distinct words whose hash a Python worker remembers: 9 MB; rarer ones cost little more to hash again
 _MASK = (1 << 64) - 1
 
 
@@ -52,7 +52,7 @@ def doc_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, l
 
 
 class WordHash(dict):
-    """word -> 64-bit hash, remembered for the first CACHE_WORDS distinct words."""
+    """word -> 64-bit hash, remembered for the first CACHE_WORDS distinct words; the frequent ones are met early."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
