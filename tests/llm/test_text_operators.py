@@ -319,6 +319,81 @@ def test_pii_far_mentions_reach_their_clear_twin():
     assert pii.added_spans(damaged * 40, [], field) == []
 
 
+def planted_mentions(n, seed):
+    """Texts with a clear mention and a far damaged one, or a trap; the damaged mentions of each."""
+    import random
+
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    filler = lambda: " ".join(rng.choice(["room", "2024", "of", "17", "late", "A4", "@home", "12.5"]) for _ in range(rng.randint(5, 60)))
+
+    def checked(good):
+        while True:
+            x = digits(16)
+            if pii.luhn(x) == good:
+                return x
+
+    texts, planted = [], []
+    for i in range(n):
+        kind, gap = pii.KINDS[i % 4], filler()
+        name, number, ip, card = f"jo{digits(5)}", "1" + digits(10), [str(rng.randint(10, 255)) for _ in range(4)], checked(True)
+        clear, twin = {
+            "email": (f"{name}@mail.example.com", rng.choice([f"{name}@mail", f"{name}@mail_example"])),
+            "ip": (".".join(ip), rng.choice(["-", "_", ":"]).join(ip)),
+            "card": (rng.choice([card, " ".join(card[j : j + 4] for j in range(0, 16, 4))]), rng.choice([".", "/"]).join(card[j : j + 4] for j in range(0, 16, 4))),
+            "phone": (f"+{number[0]} {number[1:4]} {number[4:7]} {number[7:]}", rng.choice([number, f"({number[:4]}){number[4:7]}-{number[7:]}"])),
+        }[kind]
+        trap = rng.choice([checked(False), f"{name}x@mail", "1" + digits(10), "-".join(ip[::-1] + ["7"])])
+        parts = [clear, gap, twin] if i % 3 else [clear, gap, trap]  # the trap is like no clear mention
+        if i % 2:
+            parts = [*parts[::-1]]
+        texts.append(f"{filler()} for {parts[0]} was {parts[1]} and {parts[2]} then {filler()}")
+        planted.append({(kind, texts[-1].index(f" {twin} ") + 1, texts[-1].index(f" {twin} ") + 1 + len(twin))} if i % 3 else set())
+    return texts, planted
+
+
+def test_pii_added_spans_are_precise_and_whole(spark):
+    texts, _ = planted_mentions(400, 1)
+    field = pii.train(table(spark, texts))
+    off = field.skip - np.diag(np.diag(field.skip))
+    assert (np.diag(field.skip)[1:] > off[1:].max(1)).all() and not np.allclose(field.skip, pii.SKIP * np.eye(len(pii.KINDS) + 1))
+    texts, planted = planted_mentions(1200, 2)
+    right = wanted = given = 0
+    for text, want in zip(texts, planted, strict=True):
+        got = pii.added_spans(text, pii.base_spans(text), field)
+        # the same characters, the marks at their ends aside
+        hits = sum(any(k == g[0] and s - 1 <= g[1] <= s + 1 and e - 1 <= g[2] <= e + 1 for k, s, e in want) for g in got)
+        right, wanted, given = right + hits, wanted + len(want), given + len(got)
+    assert right >= 0.9 * wanted and right >= 0.95 * given, (right, wanted, given)
+
+
+def test_pii_skip_potential_follows_its_gradient():
+    rng = np.random.default_rng(5)
+    n, field = len(pii.KINDS) + 1, pii.Field.__new__(pii.Field)
+    field.shape = rng.normal(size=(pii.FEATURES, n))
+    x, y, other, count = rng.normal(size=(60, pii.FEATURES)), rng.integers(0, n, 60), rng.integers(0, n, 60), rng.integers(1, 9, 60).astype(float)
+    skip = field._fit_skip(x, y, other, count, rounds=4000)
+    weight = count / np.bincount(other, count, n)[other]
+
+    def loss(w):
+        logit = x @ field.shape + w[other]
+        return (weight * (np.log(np.exp(logit).sum(1)) - logit[np.arange(60), y])).sum() + 0.5e-3 * (w**2).sum()
+
+    assert np.allclose(skip, skip.T)
+    for i in range(n):
+        for j in range(i, n):
+            step = np.zeros((n, n))
+            step[i, j] = step[j, i] = 1e-4
+            assert abs(loss(skip + step) - loss(skip - step)) / 2e-4 < 1e-2
+
+
+def test_pii_failed_checks_stay_out_without_a_twin(spark):
+    rows = [f"Card 4111 1111 1111 1111 and card 4012888888881881 seen by jo{i}@mail.example.com." for i in range(60)]
+    docs = table(spark, [*rows, "Order 4111111111111112 of 4012888888881882.", "Pay 4111 1111 1111 1111, not 1111 nor 4111111111111112."])
+    found = by_id(pii.find_pii(docs))
+    assert found[180].spans == "" and found[183].n_added == 0 and found[183].n_card == 1
+
+
 def test_mixing_meets_targets(spark):
     docs = table(spark, [f"{'word ' * (i % 90)}" if i % 9 else None for i in range(400)])
     rows = mixing.mix_words(docs).collect()
