@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.llm.common import Rolling, WordHash, bit_table, doc_batches, id_and_text, in_table, mix
+from staylens.llm.common import Rolling, bit_table, doc_batches, id_and_text, in_table, mix, word_hashes
 from staylens.session import cut_lineage, discard
 
 K = 5
@@ -50,7 +50,7 @@ _SKETCH_BLOCK = 1 << 14
 LEAF = 32
 BLOCK_ROWS = 2048
 SALT_ROWS = 512
-_UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_PLAIN = bytes.maketrans(bytes([*range(65, 91), *range(9, 14)]), bytes([*range(97, 123), *[32] * 5]))  # lower case, one white space
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -58,14 +58,20 @@ class Shingles:
     """Sorted distinct 64-bit shingle hashes of a text."""
 
     def __init__(self, k: int):
-        self.k, self.word, self.rolling = k, WordHash(), Rolling(0x9E3779B97F4A7C15)
+        self.k, self.rolling = k, Rolling(0x9E3779B97F4A7C15)
 
     def of(self, text: bytes) -> np.ndarray:
-        words = text.translate(_UPPER).split()
-        hashes = self.word.of(words)
-        if 0 < len(words) < self.k:  # one shingle, told from longer ones by its length
-            return mix(self.rolling.windows(hashes, len(words)) + np.uint64(len(words)))
-        return np.unique(mix(self.rolling.windows(hashes, self.k)))
+        hashes = word_hashes(text.translate(_PLAIN))
+        n = len(hashes)
+        if 0 < n < self.k:  # one shingle, told from longer ones by its length
+            return mix(self.rolling.windows(hashes, n) + np.uint64(n))
+        found = np.sort(mix(self.rolling.windows(hashes, self.k)))
+        return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+
+
+def _min_hashes(found: np.ndarray) -> np.ndarray:
+    """The least product of a set's shingles with each seed; long sets a part at a time."""
+    return np.min([(found[i : i + 4096] * _SEEDS[:, None]).min(1) for i in range(0, len(found), 4096)], axis=0)
 
 
 def _survey(k: int):
@@ -83,7 +89,7 @@ def _survey(k: int):
                 s2.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(7))).view(np.int64)) if len(found) else 0)
                 if len(found):
                     slots.append((found & np.uint64(SKETCH - 1)).astype(np.int64))
-                    low = np.array([(found * s).min() for s in _SEEDS], np.uint64).reshape(BANDS, ROWS)
+                    low = _min_hashes(found).reshape(BANDS, ROWS)
                     bands.append(mix(low[:, 0] + mix(low[:, 1] + mix(low[:, 2]))).view(np.int64))
                 else:
                     bands.append(np.empty(0, np.int64))

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMOKE
-from staylens.llm import exact_dedup, language, merkle, mixing, ngram_join, packing, pii, quality, queries, substring_dedup, toxicity
+from staylens.llm import common, exact_dedup, language, merkle, mixing, ngram_join, packing, pii, quality, queries, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BASE = " ".join(f"w{i}" for i in range(70))
@@ -604,3 +606,34 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
                 assert offset == at
                 at += length
             assert at <= packing.WINDOW
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(5)
+    words = [bytes(rng.choices(b"ab\xc3\xa9.", k=rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 24, 63, 64, 65, 200]))) for _ in range(4000)]
+    found = common.word_hashes(b"  " + b" ".join(words) + b" ").tolist()
+    assert len(found) == len(words) and len(set(zip(words, found, strict=True))) == len(set(words)) == len(set(found))
+    assert [common.word_hashes(w).tolist() for w in words[:200]] == [[h] for h in found[:200]]
+    assert all(len(common.word_hashes(x)) == 0 for x in (b"", b" ", b"   "))
+
+
+def test_shingles_are_those_of_the_split_words():
+    shingles = ngram_join.Shingles(5)
+    for text in [b"", b" \t", b"One two", b"a b\tc\x0bd\x0ce\r\nF g a B c d e", "Ä ä\u00a0x y\u2003z É é é é é é".encode(), b"same " * 50]:
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in text.split()]
+        want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        got = shingles.of(text)
+        assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+        assert shingles.of(b"  " + b"\n".join(words)).tolist() == got.tolist()
+
+
+def test_shingling_holds_no_words():
+    """A worker keeps nothing a word: its memory does not grow with the vocabulary."""
+    shingles = ngram_join.Shingles(5)
+    shingles.of(b"warm up " * 500)
+    tracemalloc.start()
+    for i in range(60):
+        shingles.of(" ".join(f"word{i}x{j}" for j in range(1000)).encode())
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 1_000_000
