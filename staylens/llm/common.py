@@ -7,7 +7,9 @@ never occur inside a multi-byte UTF-8 character and are exactly what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,25 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more)
 
 
+def free_memory() -> None:
+    """Memory that is no longer used goes back to the system: of Arrow's pool, and where the C library can, of its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frees_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function whose Python worker, which Spark keeps for later tasks, does not hold on to what the task has freed."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        free_memory()
+
+    return task
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -134,6 +155,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _texts(bits: np.ndarray, mask: int):
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = np.flatnonzero(in_table(batch.column("hash").to_numpy().view(np.uint64), bits, mask))

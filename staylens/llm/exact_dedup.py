@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.llm.common import bit_table, doc_batches, id_and_text, in_table
+from staylens.llm.common import bit_table, doc_batches, frees_memory, id_and_text, in_table
 from staylens.session import cut_lineage
 
 CHUNK_BYTES = 1 << 16
@@ -82,6 +82,7 @@ def fingerprint(data: bytes, modulus: int, powers: np.ndarray) -> int:
 
 
 def _fingerprints(moduli: tuple[int, int]):
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = [_powers(m) for m in moduli]
         for ids, texts, batch in doc_batches(batches):
@@ -99,6 +100,7 @@ def _fingerprints(moduli: tuple[int, int]):
 def _chunks(bits: np.ndarray, mask: int):
     """One row per chunk of each normalised text whose hash is in the table, a text at a time."""
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = np.flatnonzero(in_table(batch.column("xx").to_numpy().view(np.uint64), bits, mask))

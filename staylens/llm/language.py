@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.llm.common import crc_bucket, id_and_text, sample, small_batches
+from staylens.llm.common import crc_bucket, frees_memory, id_and_text, sample, small_batches
 from staylens.llm.features import DIMS, letter_features, linear_svm, sigmoid
 
 PER_LANGUAGE = 400
@@ -74,6 +74,7 @@ class Model:
         return lang, sure * float(sigmoid(4 * sums[lang] / (len(langs) - 1)))
 
 
+@frees_memory
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [(lang, letter_features(t)) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
@@ -93,6 +94,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
 
 def _predict(model: Model | None):
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
@@ -114,6 +116,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def _known(model: Model | None):
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []

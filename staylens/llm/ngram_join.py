@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.llm.common import Rolling, bit_table, doc_batches, id_and_text, in_table, mix, word_hashes
+from staylens.llm.common import Rolling, bit_table, doc_batches, frees_memory, id_and_text, in_table, mix, word_hashes
 from staylens.session import cut_lineage, discard
 
 K = 5
@@ -77,6 +77,7 @@ def _min_hashes(found: np.ndarray) -> np.ndarray:
 def _survey(k: int):
     """Rows of documents (kind 0: size, set signature, bands) and of sketch blocks (kind 1)."""
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sketch = Shingles(k), np.zeros(SKETCH, np.uint32)
         names = ["kind", "doc_id", "n", "s1", "s2", "bands", "block", "counts"]
@@ -120,6 +121,7 @@ def _sum_block(frame: pd.DataFrame) -> pd.DataFrame:
 def _prefixes(k: int, percent: int, sketch: np.ndarray):
     """Per document: its rarest shingles, and its point (a count per group)."""
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         for ids, texts, _ in doc_batches(batches):
@@ -145,6 +147,7 @@ def _prefixes(k: int, percent: int, sketch: np.ndarray):
 def _mixed_tokens(bits: np.ndarray, mask: int):
     """A row per rare shingle that is in the table, with its place in the common order."""
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             lists = batch.column("rare")
@@ -232,6 +235,7 @@ class Bucket:
 def _bucket_pairs(percent: int):
     """Pairs of each bucket (or of two of its blocks); whole buckets only, the last one waits for the next batch."""
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table) -> pa.RecordBatch:
             pairs = Bucket(table, percent).pairs()
@@ -257,6 +261,7 @@ def _bucket_pairs(percent: int):
 def _sets(k: int, bits: np.ndarray, mask: int):
     """Shingle sets of the documents whose id hash is in the table."""
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         for batch in batches:
@@ -268,6 +273,7 @@ def _sets(k: int, bits: np.ndarray, mask: int):
 
 
 def _alike(percent: int):
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from staylens.llm.common import doc_batches, id_and_text, texts_of
+from staylens.llm.common import doc_batches, frees_memory, id_and_text, texts_of
 from staylens.session import cut_lineage
 
 WINDOW = 4096
@@ -101,6 +101,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.R
 def _pieces(path: str, window: int, end_id: int):
     """Full windows (start, length, crc) and the rest of each document."""
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = Ids(path), np.array([end_id], "<u4").tobytes()
         for ids, texts, batch in doc_batches(_slices(batches)):
@@ -125,6 +126,7 @@ def _pieces(path: str, window: int, end_id: int):
 def _recut(path: str, end_id: int):
     """Checksums of the cut pieces of a document: cuts is a list of (piece_id, start, length)."""
 
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = Ids(path), np.array([end_id], "<u4").tobytes()
         for _, texts, batch in doc_batches(_slices(batches)):

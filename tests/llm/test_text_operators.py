@@ -637,3 +637,18 @@ def test_shingling_holds_no_words():
     held, _ = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert held < 1_000_000
+
+
+def test_tasks_of_the_pipeline_give_freed_memory_back(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "free_memory", lambda: freed.append(1))
+    bits = np.zeros(1, np.uint8)
+    tasks = [
+        language._features, language._predict(None), language._known(None), exact_dedup._fingerprints(exact_dedup.MODULI),
+        ngram_join._survey(5), ngram_join._prefixes(5, 75, bits), ngram_join._mixed_tokens(bits, 7), ngram_join._bucket_pairs(75),
+        ngram_join._sets(5, bits, 7), ngram_join._alike(75), common._texts(bits, 7),
+        packing._pieces(packing.tokenizer_path(), 4096, 2), packing._recut(packing.tokenizer_path(), 2),
+    ]
+    for n, task in enumerate(tasks):
+        list(task(iter([])))
+        assert len(freed) == n + 1
