@@ -28,6 +28,7 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from staylens.llm.common import id_and_text
+from staylens.llm.common import frees_memory, id_and_text
 from staylens.llm.packing import byte_letters
 from staylens.session import cut_lineage
 
@@ -114,6 +115,12 @@ class Tokenizers:
         return Aligned(good, n_a, n_b, groups, flat_a[last_a] << 32 | flat_b[last_b], written)
 
 
+@functools.lru_cache(1)
+def loaded(paths: tuple[str, str]) -> Tokenizers:
+    """Once a Python worker: a tokenizer leaves some of its memory behind, several MB a task if each task loads its own."""
+    return Tokenizers(paths)
+
+
 class Aligned(NamedTuple):
     good: np.ndarray  # the tokens of both spell the text
     n_a: np.ndarray
@@ -250,8 +257,9 @@ class _Block:
 
 
 def _blocks(paths: tuple[str, str], documents: int, links: int):
+    @frees_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block, number = Pieces(Tokenizers(paths)), _Block(), TaskContext.get().partitionId() << 32
+        known, block, number = Pieces(loaded(paths)), _Block(), TaskContext.get().partitionId() << 32
         step = min(64, documents)
         for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             texts = [_CUT.split(t) if t else [] for t in batch.column("text").to_pylist()]
@@ -282,6 +290,7 @@ def _postings(row: dict) -> Postings:
     return Postings(len(row["doc_id"]), [(p["pairs"], p["sizes"], p["lists"], p["bitmaps"]) for p in row["planes"]])
 
 
+@frees_memory
 def _popcounts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
         pairs = batch.column("pairs").flatten()
@@ -290,6 +299,7 @@ def _popcounts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pairs, pa.array(links), pa.array(docs)], names=["pair", "links", "docs"])
 
 
+@frees_memory
 def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The scores that a block's postings carry to its documents."""
     keep = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import SMOKE
@@ -105,6 +107,23 @@ def test_planes_hold_lists_and_bitmaps():
             assert any(p[2] for p in postings.planes) and any(p[3] for p in postings.planes)
 
 
+def test_tasks_of_a_worker_share_the_tokenizers(monkeypatch):
+    made = []
+
+    class Counted(alignment.Tokenizers):
+        def __init__(self, paths):
+            made.append(paths)
+            super().__init__(paths)
+
+    monkeypatch.setattr(alignment, "Tokenizers", Counted)
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    paths = tuple(alignment.tokenizer_paths())
+    for text in ("the word is", "the word is", "another word"):
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text]})
+        assert [b.num_rows for b in alignment._blocks(paths, 8, 100)(iter([batch]))] == [1]
+    assert len(made) <= 1
+
+
 def test_query_and_empty_table(spark, tokenizers):
     rows = [(r.doc_id, r.text) for r in documents(spark, SMOKE).collect()]
     got = queries.QUERIES["op11_token_alignment"](spark, SMOKE).collect()
