@@ -5,7 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from helpers import demand, rows, ts
-from staylens.operators import funnel as FN, periods as P
+from staylens.operators import funnel as FN, periods as P, summary as S
+from staylens.operators.ranking import global_row_number
 from staylens.sources import feeds
 
 
@@ -23,6 +24,18 @@ def test_fx9_new_rows(spark):
     assert rows(w.baseline, "snapshot_at") == [(ts("12:00:00"),), (ts("13:00:00"),)]
 
 
+def test_reused_tables_are_written_not_cached(spark):
+    prev = _batches(spark, ["10:00:00", "11:00:00"], ProductID=1)
+    latest = _batches(spark, ["10:00:00", "11:00:00", "14:00:00"], ProductID=1)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    w = P.select_periods(latest, prev, 300)
+    summary = S.demand_summary(w.current)
+    ranked = global_row_number(summary, [F.col("ProductID").asc()], "rank")
+    assert rows(ranked, "ProductID", "rank") == [(1, 1)]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert "InMemoryTableScan" not in ranked._jdf.queryExecution().toString()
+
+
 def test_fx9_no_new_rows_uses_latest_day(spark):
     day2 = dt.date(2026, 8, 20)
     stamps = [ts("10:00:00"), ts("11:00:00"), ts("12:00:00"), ts("09:00:00", day2)]
