@@ -15,7 +15,7 @@ row per (length, salt).  The histogram (below ``window`` rows) and the
 combinations are all that reaches the driver.
 
 Tokens are found word by word: the tokenizer drops white space and never
-joins across it, so a worker remembers the ids of frequent words.
+joins across it, so a task remembers the ids of frequent words.
 
 Defined cases: null and empty texts are the end id alone; every row is packed,
 repeated ones too, told apart by ``row_id``; an empty table gives no rows;
@@ -24,19 +24,20 @@ other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from staylens.llm.common import doc_batches, frees_memory, id_and_text, texts_of
+from staylens.llm.common import doc_batches, free_memory, frees_memory, id_and_text, texts_of
 from staylens.session import cut_lineage
 
 WINDOW = 4096
@@ -94,6 +95,28 @@ class Ids(dict):
         return [b"".join(map(self.__getitem__, d)) + end for d in docs]
 
 
+@functools.lru_cache(1)
+def loaded(path: str) -> Ids:
+    """Once a Python worker: a tokenizer leaves some of its memory behind, several MB a task if each task loads its own."""
+    ids_of = Ids(path)
+    free_memory()
+    return ids_of
+
+
+def _with_ids(path: str, run: Callable[[Ids, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function whose worker keeps the tokenizer but forgets the words of the task."""
+
+    @frees_memory
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = loaded(path)
+        try:
+            yield from run(ids_of, batches)
+        finally:
+            ids_of.clear()
+
+    return task
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
@@ -101,9 +124,8 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.R
 def _pieces(path: str, window: int, end_id: int):
     """Full windows (start, length, crc) and the rest of each document."""
 
-    @frees_memory
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = Ids(path), np.array([end_id], "<u4").tobytes()
+    def run(ids_of: Ids, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u4").tobytes()
         for ids, texts, batch in doc_batches(_slices(batches)):
             at, start, length, crc, total = [], [], [], [], []
             for row, data in enumerate(ids_of.of(texts, end)):
@@ -120,15 +142,14 @@ def _pieces(path: str, window: int, end_id: int):
                 [ids.take(take), batch.column("hash").take(take), *numbers], names=["doc_id", "hash", "start", "length", "ids_crc32", "doc_tokens"]
             )
 
-    return run
+    return _with_ids(path, run)
 
 
 def _recut(path: str, end_id: int):
     """Checksums of the cut pieces of a document: cuts is a list of (piece_id, start, length)."""
 
-    @frees_memory
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = Ids(path), np.array([end_id], "<u4").tobytes()
+    def run(ids_of: Ids, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u4").tobytes()
         for _, texts, batch in doc_batches(_slices(batches)):
             piece, start, crc = [], [], []
             for data, cuts in zip(ids_of.of(texts, end), batch.column("cuts").to_pylist(), strict=True):
@@ -138,7 +159,7 @@ def _recut(path: str, end_id: int):
                     crc.append(zlib.crc32(data[4 * c["start"] : 4 * (c["start"] + c["length"])]))
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(start, pa.int64()), pa.array(crc, pa.int64())], names=["piece_id", "start", "crc"])
 
-    return run
+    return _with_ids(path, run)
 
 
 def combinations(histogram: np.ndarray, window: int) -> np.ndarray:

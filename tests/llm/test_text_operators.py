@@ -4,11 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import shutil
 import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -653,3 +655,22 @@ def test_tasks_of_the_pipeline_give_freed_memory_back(monkeypatch):
     for n, task in enumerate(tasks):
         list(task(iter([])))
         assert len(freed) == n + 1
+
+
+def test_packing_tasks_of_a_worker_share_the_tokenizer_and_no_words(monkeypatch, tmp_path):
+    made = []
+
+    class Counted(packing.Ids):
+        def __init__(self, path):
+            made.append(self)
+            super().__init__(path)
+
+    monkeypatch.setattr(packing, "Ids", Counted)
+    path = shutil.copy(packing.tokenizer_path(), tmp_path)  # a path that no worker has loaded
+    cuts = pa.array([[{"piece_id": 5, "start": 0, "length": 2}]])
+    for text in ("the word is", "the word is", "another word"):
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "hash": pa.array([7], pa.int64()), "text": [text], "cuts": cuts})
+        pieces = next(packing._pieces(path, 2, 2)(iter([batch])))
+        assert [b.num_rows for b in packing._pieces(path, 2, 2)(iter([batch]))] == [pieces.num_rows]
+        assert [b.column("crc").to_pylist() for b in packing._recut(path, 2)(iter([batch]))] == [pieces.column("ids_crc32").to_pylist()[:1]]
+    assert len(made) == 1 and not made[0]
